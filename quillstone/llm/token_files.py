@@ -30,22 +30,25 @@ from quillstone.llm.store import Scratch
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 64
-#: Entries of a worker's memo of encoded units; it is emptied when full, which changes speed only.
-MEMO_ENTRIES = 700_000
-#: White space beyond these four, or a special token: the text is encoded in one call.
-UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-RARE_SPACE = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+#: Entries of a worker's memo of encoded pieces; it is emptied when full, which changes speed only.
+MEMO_ENTRIES = 900_000
+#: White space other than single spaces and line ends, or a special token: the text is encoded in one call.
+RARE_SPACE = [0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 WHOLE = re.compile("[" + "".join(map(chr, RARE_SPACE)) + "]|" + re.escape("<|endoftext|>"))
+RUNS = ("  ", " \n", "\n ", "\n\n")
+TAIL = ".,!?;:#$%&*"
 
 
-class UnitEncoder:
-    """Encodes texts of a byte-level BPE by units of white space plus a word.
+class PieceEncoder:
+    """Encodes texts of a byte-level BPE by pieces: a word with the one space or line end before it.
 
-    The pre-tokenizer never joins a non-space with the space that follows it, so the encoding of a text is the
-    concatenation of the encodings of its units. Units are encoded once and remembered.
+    The pre-tokenizer never joins a non-space with the space that follows it, nor a letter or digit with the
+    punctuation that follows it, so the encoding of a text is the concatenation of the encodings of its pieces,
+    and that of a piece is its word's plus its tail's. Each is encoded once and remembered. Texts with runs of
+    white space or rare space characters, where this does not hold, are encoded in one call.
     """
 
-    _of_worker: dict[tuple[str, int], UnitEncoder] = {}
+    _of_worker: dict[tuple[str, int], PieceEncoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,42 +61,61 @@ class UnitEncoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes_of[i] = len(token)
         self.memo: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     @classmethod
-    def get(cls, path: str) -> UnitEncoder:
+    def get(cls, path: str) -> PieceEncoder:
         key = (path, os.getpid())
         if key not in cls._of_worker:
             cls._of_worker[key] = cls(path)
         return cls._of_worker[key]
 
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _learn(self, units: list[str]) -> None:
-        spaced = [u for u in units if u[0] in " \t\n\r" and u[-1] not in " \t\n\r"]
-        rest = [u for u in units if not (u[0] in " \t\n\r" and u[-1] not in " \t\n\r")]
-        for u, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self.memo[u] = self._pack(e.ids)
-        width = self.dtype.itemsize
-        for k in range(0, len(spaced), 2048):
-            part = spaced[k : k + 2048]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum([len(u.encode()) for u in part])
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 1
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Pieces start with a line end, or stand for a space and themselves."""
+        memo, tailed, words = self.memo, [], set()
+        for p in pieces:
+            word = p.rstrip(TAIL)
+            if len(word) < len(p) and word and word[-1].isalpha():
+                tailed.append((p, word, p[len(word) :]))
+                if word not in memo:
+                    words.add(word)
+            else:
+                words.add(p)
+        order, width = list(words), self.dtype.itemsize
+        for k in range(0, len(order), 2048):
+            part = order[k : k + 2048]
+            texts = [w if w[:1] == "\n" else " " + w for w in part]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum([len(t.encode()) for t in texts])
+            cuts = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 1) * width).tolist()
             packed, at = ids.astype(self.dtype).tobytes(), 0
-            for u, cut in zip(part, (cuts * width).tolist()):
-                self.memo[u] = packed[at:cut]
+            for w, cut in zip(part, cuts):
+                memo[w] = packed[at:cut]
                 at = cut
+        for p, word, tail in tailed:
+            if tail not in self.tails:
+                self.tails[tail] = self._whole(tail)
+            memo[p] = memo[word] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        split = [None if WHOLE.search(t) else UNIT.findall(t) for t in texts]
-        memo = self.memo
-        new = {u for units in split if units for u in units if u not in memo}
-        if new:
-            self._learn(list(new))
-        return [self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if units is None else b"".join(map(memo.__getitem__, units)) for t, units in zip(texts, split)]
+        look, split, new = self.memo.get, [], set()
+        for text in texts:
+            if not text or WHOLE.search(text) or any(run in text for run in RUNS) or text[0] in " \n" or text[-1] in " \n":
+                split.append(None)
+                continue
+            first, *pieces = text.replace("\n", " \n").split(" ")
+            found = list(map(look, pieces))
+            if None in found:
+                new.update(p for p, x in zip(pieces, found) if x is None)
+                found = None
+            split.append((first, pieces, found))
+        self._learn(new)
+        return [self._whole(t) if x is None else self._whole(x[0]) + b"".join(map(look, x[1]) if x[2] is None else x[2]) for t, x in zip(texts, split)]
 
 
 def _schema(dtype: np.dtype, seq_len: int) -> pa.Schema:
@@ -146,7 +168,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, id_
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, writer, fs = UnitEncoder.get(tokenizer_path), None, None
+        coder, writer, fs = PieceEncoder.get(tokenizer_path), None, None
         end, shard = np.asarray([end_id], coder.dtype).tobytes(), TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
@@ -163,7 +185,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, id_
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path.rsplit("/", 1)[1], "n_docs": writer.docs, "n_tokens": writer.total}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    return [r.asDict() for r in ordered.mapInArrow(write, MANIFEST).orderBy("shard").collect()]
+    return sorted((r.asDict() for r in ordered.mapInArrow(write, MANIFEST).collect()), key=lambda m: m["shard"])
 
 
 def open_shard(out_dir: str, path: str) -> tuple[pa.Table, pa.Table]:
