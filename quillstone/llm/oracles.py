@@ -1,3 +1,44 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
-SQL: dict[str, str] = {}
+OP2 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source IS NULL, source) - 1 AS no
+  FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CASE no % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+         3.0::DOUBLE * source_size AS most, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM sources),
+filled AS (
+  SELECT *, most / w AS ratio,
+         (total - coalesce(sum(most) OVER (ORDER BY most / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY most / w, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+water AS (SELECT level FROM filled WHERE level <= ratio ORDER BY ratio, no LIMIT 1),
+aimed AS (
+  SELECT source, source_size, no, least(most, coalesce((SELECT level FROM water), 'infinity'::DOUBLE) * w) AS target
+  FROM filled),
+placed AS (
+  SELECT d.doc_id, d.size, s.source_size, s.target, s.no,
+         CAST(sum(d.size) OVER (PARTITION BY s.no ORDER BY d.ord, d.doc_id, d.size
+                                ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS before,
+         CASE WHEN s.source_size = 0 THEN 0 ELSE CAST(floor(s.target / s.source_size) AS BIGINT) END AS passes
+  FROM sized d JOIN aimed s ON d.source IS NOT DISTINCT FROM s.source),
+took AS (
+  SELECT *, passes * size + greatest(0, least(size, CAST(round(target - passes * source_size) AS BIGINT) - before)) AS taken,
+         least(1.0::DOUBLE, (before + size / 2::DOUBLE) / target) AS u
+  FROM placed)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
+       CASE WHEN taken > 0 THEN round(CASE no % 3
+         WHEN 1 THEN u
+         WHEN 0 THEN CASE WHEN u <= 0.625 THEN 2 * u / (1.5 + sqrt(2.25 - 2 * u))
+                          ELSE 0.5 + 2 * (u - 0.625) / (1.0 + sqrt(1.0 - 2 * (u - 0.625))) END
+         ELSE CASE WHEN u <= 0.375 THEN 2 * u / (0.5 + sqrt(0.25 + 2 * u))
+                   ELSE 0.5 + 2 * (u - 0.375) / (1.0 + sqrt(1.0 + 2 * (u - 0.375))) END END, 6) END AS first_position
+FROM took
+"""
+
+SQL: dict[str, str] = {"op2_source_mix": OP2}
