@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from quillstone.llm.store import read_table
 
 
+def op4_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.topk import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
