@@ -37,6 +37,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), held_out=held_out)
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.near_dup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
