@@ -103,7 +103,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     share = F.least(F.lit(1.0), (F.col("before") + F.col("size") / 2) / F.col("target"))
     first = F.when(F.col("taken") > 0, F.round(position(share, F.col("source_no") % len(schedules), schedules), 6))
     rows = rows.withColumn("first_position", first)
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_position").orderBy(F.col("first_position").asc_nulls_last())
+    # The hash order spreads the documents that share a position, above all those that are not taken.
+    rows = rows.orderBy(F.col("first_position").asc_nulls_last(), "order", "doc_id")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def schedule(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, cap: float = CAP, schedules=SCHEDULES) -> DataFrame:
