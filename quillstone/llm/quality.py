@@ -1,7 +1,7 @@
 """Quality classifier: a sparse rule ensemble compiled to a Spark column expression.
 
 Statistics of the whole text are plain column expressions. Small boosted trees are grown in numpy on a bounded
-sample of labelled rows (``MAX_SAMPLE``, the rows with the smallest hash of their id); every path from a root to a
+sample of labelled rows (``MAX_SAMPLE``, drawn by a hash of their id); every path from a root to a
 node is a conjunctive rule. A logistic model with an L1 penalty weighs the rules, most weights become zero, and
 the rest is written out as ``sigmoid(bias + sum(weight * rule))`` over the statistics, evaluated by the JVM.
 
@@ -154,7 +154,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) ->
 
 def fit(featured: DataFrame, labels: DataFrame, names: list[str], *, max_sample: int = MAX_SAMPLE) -> RuleModel:
     """Fit on at most ``max_sample`` rows of ``featured`` (doc_id and statistics) joined with ``labels`` (doc_id, y)."""
-    sample = featured.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_sample).toPandas()
+    known = featured.join(labels, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
+    total = known.count()
+    if total > max_sample:  # leave about a fifth more than needed, so that little is sorted and sent
+        known = known.where(F.pmod("draw", F.lit(1_000_003)) < 1_000_003 * 1.2 * max_sample / total)
+    sample = known.orderBy("draw", "doc_id", "y").limit(max_sample).toPandas()
     return fit_rules(sample[names].to_numpy(float).reshape(-1, len(names)), sample["y"].to_numpy(float), names)
 
 
