@@ -41,6 +41,36 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
 FROM took
 """
 
+OP3 = r"""
+WITH d AS (
+  SELECT doc_id, hash(doc_id, text) AS k, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+ds AS (
+  SELECT DISTINCT doc_id, k, len(w) - 4 AS total, p, array_to_string(w[p + 1 : p + 5], ' ') AS s
+  FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM d WHERE len(w) >= 5)),
+i AS (
+  SELECT item_id, row_number() OVER () AS item_row, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+items AS (
+  SELECT item_id, item_row, len(w) - 4 AS m, array_to_string(w[p + 1 : p + 5], ' ') AS s
+  FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM i WHERE len(w) >= 5)),
+counted AS (SELECT item_id, item_row, m, s, count(*) AS c FROM items GROUP BY ALL),
+anchors AS (
+  SELECT ds.doc_id, ds.k, ds.total, ds.p, counted.item_id, counted.item_row, counted.m
+  FROM ds JOIN counted USING (s)),
+windows AS (
+  SELECT DISTINCT doc_id, k, item_id, item_row, m, least(m, total) AS n, greatest(0, least(p, total - m)) AS start FROM anchors),
+common AS (
+  SELECT v.doc_id, v.k, v.item_id, v.item_row, v.start, v.m, v.n, counted.s, least(count(*), any_value(counted.c)) AS shared
+  FROM windows v
+  JOIN ds ON ds.k = v.k AND ds.doc_id IS NOT DISTINCT FROM v.doc_id AND ds.p >= v.start AND ds.p < v.start + v.n
+  JOIN counted ON counted.item_row = v.item_row AND counted.s = ds.s
+  GROUP BY ALL),
+scored AS (
+  SELECT doc_id, k, item_id, item_row, start, CAST(sum(shared) AS DOUBLE) / (m + n - sum(shared)) AS similarity
+  FROM common GROUP BY doc_id, k, item_id, item_row, start, m, n)
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, CAST(arg_min(start, (-round(similarity, 6), start)) AS INTEGER) AS start_word
+FROM scored WHERE similarity >= 0.8 GROUP BY doc_id, k, item_id, item_row
+"""
+
 OP4 = """
 WITH usable AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
@@ -55,4 +85,4 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-SQL: dict[str, str] = {"op2_source_mix": OP2, "op4_va_topk": OP4}
+SQL: dict[str, str] = {"op2_source_mix": OP2, "op3_decontamination": OP3, "op4_va_topk": OP4}

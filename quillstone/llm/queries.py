@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from quillstone.llm.store import read_table
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.decontam import leaks
+
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
 def op4_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.topk import top_k
 
