@@ -30,6 +30,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.ctw import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.mixing import mix
 
