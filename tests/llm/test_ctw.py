@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quillstone.llm import ctw
-from quillstone.llm.ctw import DEPTH, log_gamma, message_of, score_texts, words_of
+from quillstone.llm.ctw import DEPTH, Tree, log_gamma, message_of, score_texts, upper_levels, words_of
 
 SCHEMA = "score double, text string, doc_id long, chunk string"
 
@@ -108,12 +108,28 @@ def test_without_training_texts_and_empty(spark):
     assert score_texts(df.limit(0)).count() == 0
 
 
-def test_unseen_words_of_known_parts_cost_less_than_base(spark):
+def test_probabilities_of_the_next_byte_sum_to_one():
+    rng = np.random.default_rng(3)
+    contexts = np.unique(rng.integers(97, 101, (40, DEPTH)), axis=0).astype(np.uint64)
+    context = sum(contexts[:, k] << np.uint64(8 * (DEPTH - k)) for k in range(DEPTH))
+    keys = np.sort((context[:, None] | np.arange(256, dtype=np.uint64)).ravel())
+    counts = (rng.random(len(keys)) < 0.05) * rng.integers(1, 50, len(keys))
+    tree = Tree(keys, counts)
+    total = collections.defaultdict(lambda: np.zeros(3))
+    for near, node, *sums in zip(*tree.upward()):
+        total[near, node] += sums
+    p = 10 ** tree.log10(upper_levels([(*k, *v) for k, v in total.items()]))
+    assert np.allclose(p.reshape(-1, 256).sum(1), 1)
+
+
+def test_held_out_structure_is_learned(spark):
+    """Three bits a syllable, and its ends, which come at one of six boundaries, are beyond the depth: 21.9 bits a word."""
     rng = random.Random(9)
     parts = ["ba", "ke", "lo", "mi", "nu", "ra", "so", "ti"]
-    rows = [(0.5, " ".join("".join(rng.choices(parts, k=rng.randint(4, 7))) for _ in range(80)), i, "x") for i in range(400)]
+    rows = [(0.5, " ".join("".join(rng.choices(parts, k=6)) for _ in range(80)), i, "x") for i in range(400)]
     got = [r for r in score_texts(spark.createDataFrame(rows, SCHEMA)).collect() if r.held_out]
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    bits = -sum(r.score for r in got) * math.log2(10) / sum(r.n_bytes for r in got)
+    assert 21.9 / 13 * 0.97 < bits < 21.9 / 13 * 1.04
 
 
 def test_log_gamma():
