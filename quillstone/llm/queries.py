@@ -22,6 +22,12 @@ def op4_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.pii import find_personal_data
+
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
