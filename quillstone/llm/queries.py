@@ -28,6 +28,12 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.substrings import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
