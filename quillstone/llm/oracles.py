@@ -85,4 +85,28 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-SQL: dict[str, str] = {"op2_source_mix": OP2, "op3_decontamination": OP3, "op4_va_topk": OP4}
+OP8 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, rid, unnest(ls) AS content, generate_subscripts(ls, 1) AS place FROM d),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY place) AS line,
+         lead(content) OVER (PARTITION BY rid ORDER BY place) AS following
+  FROM e WHERE NOT regexp_full_match(content, '[\x20\x09-\x0D]*')),
+s AS (
+  SELECT rid, line FROM (
+    SELECT *, row_number() OVER (PARTITION BY content, following ORDER BY doc_id, rid, line) AS nth
+    FROM l WHERE following IS NOT NULL) WHERE nth > 1),
+gone AS (SELECT DISTINCT rid, line + k AS line FROM s, (VALUES (0), (1)) t(k)),
+runs AS (
+  SELECT rid, count(*) AS n_removed, count(*) FILTER (WHERE line - before > 1 OR before IS NULL) AS n_runs
+  FROM (SELECT *, lag(line) OVER (PARTITION BY rid ORDER BY line) AS before FROM gone) GROUP BY rid),
+kept AS (
+  SELECT e.rid, string_agg(e.content, chr(10) ORDER BY e.place) AS kept
+  FROM e LEFT JOIN l ON l.rid = e.rid AND l.place = e.place
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.rid = l.rid AND g.line = l.line) GROUP BY e.rid)
+SELECT d.doc_id, CAST(len(d.ls) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+       CAST(coalesce(n_runs, 0) AS INTEGER) AS n_runs, md5(coalesce(kept, '')) AS kept_md5
+FROM d LEFT JOIN runs USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+SQL: dict[str, str] = {"op2_source_mix": OP2, "op3_decontamination": OP3, "op4_va_topk": OP4, "op8_line_runs": OP8}

@@ -54,6 +54,13 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.line_runs import line_runs
+
+    found = line_runs(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.quality import score_quality
 
