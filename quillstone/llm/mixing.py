@@ -36,10 +36,10 @@ RANGE_ROWS = 2048
 BROADCAST_SOURCES = 20_000
 
 
-def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str, *more: Column) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("order"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("order"), *more)
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -115,19 +115,17 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     without words have no share in the demand and leave the mix.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    key = ["doc_id", "source", "order", "size"]
-    sized = scratch.table("sizes", sizes(docs, id_col, source_col, text_col))
+    key = F.xxhash64(*[F.col(c) for c in (id_col, source_col, text_col)])
+    sized = scratch.table("sizes", sizes(docs, id_col, source_col, text_col, key.alias("key")))
     rows = demand(sized, scratch.table("sources", targets(sized, weights, cap)))
     copies = F.col("passes") + (F.col("extra") * 2 >= F.col("size")).cast("long")
-    rows = rows.where("size > 0").withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies - 1))))
+    rows = rows.withColumn("copies", copies).where("size > 0 AND copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     share = F.least(F.lit(1.0), (F.col("copy") * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.col("target"))
-    rows = rows.withColumn("position", position(share, F.col("source_no") % len(schedules), schedules))
-    # Equal rows share a key; each of them takes its own number, so that none is multiplied.
-    same = Window.partitionBy(*key, "copy").orderBy("position")
-    rows = rows.withColumn("same", F.row_number().over(same)).select(*key, "same", F.struct("position").alias("at"))
-    rows = rows.groupBy(*key, "same").agg(F.collect_list("at").alias("ats"))
-    full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(n) for c, n in zip((F.col(id_col), F.col(source_col)), key)], F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("order"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    full = full.withColumn("same", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.col(f"row.{text_col}")))))
-    on = [F.col(f"f.{c}").eqNullSafe(F.col(f"m.{c}")) for c in [*key, "same"]]
-    joined = full.alias("f").join(rows.alias("m"), on).select("f.row", F.explode("m.ats").alias("at"))
-    return joined.select("row.*", F.col("at.position").alias("position")).orderBy("position")
+    rows = rows.select("key", "before", position(share, F.col("source_no") % len(schedules), schedules).alias("position"))
+    lists = rows.groupBy("key", "before").agg(F.collect_list("position").alias("positions")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("before", "positions"))).alias("lists"))
+    lists = scratch.table("positions", lists)
+    # Equal rows share a key; each of them takes the positions of another place in the demand.
+    marked = docs.withColumn("__key", key).withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1))))
+    joined = marked.join(lists.withColumnRenamed("key", "__key").hint("shuffle_hash"), "__key")
+    taken = joined.select(*docs.columns, F.explode(F.try_element_at("lists", F.col("__nth"))["positions"]).alias("position"))
+    return taken.orderBy("position")

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.store import Scratch
@@ -35,7 +35,7 @@ from quillstone.llm.text_bytes import mix, powers, shingles_of
 _U = np.uint64
 MIN_DEPTH, PATH_DEPTH = 4, 6
 MISS = 4e-7
-SIGNED = "doc_id long, n_shingles long, node binary, signature binary"
+SIGNED = "doc_id long, rk long, n_shingles long, node binary, signature binary"
 
 
 def trees_for(percent: int) -> int:
@@ -71,13 +71,13 @@ def signatures(values: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 def _sign(size: int, trees: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.binary())])
         for batch in batches:
             for row, values, offsets in shingles_of(batch.column(1), size):
                 sizes = np.diff(offsets)
                 signed = iter(signatures(values, offsets, trees * MIN_DEPTH))
                 packed = [next(signed).tobytes() if n else b"" for n in sizes.tolist()]
-                yield pa.record_batch([batch.column(0).slice(row, len(sizes)), pa.array(sizes), pa.array(digests(values, offsets), pa.binary()), pa.array(packed, pa.binary())], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(row, len(sizes)), batch.column(2).slice(row, len(sizes)), pa.array(sizes), pa.array(digests(values, offsets), pa.binary()), pa.array(packed, pa.binary())], schema=schema)
 
     return sign
 
@@ -192,18 +192,19 @@ def link_family(values: np.ndarray, offsets: np.ndarray, percent: int) -> np.nda
 
 
 def _confirm(size: int, percent: int):
-    """Rows (family, node, rep, text) in order of family to rows (node, component)."""
-    schema = pa.schema([("node", pa.binary()), ("component", pa.int64())])
+    """Rows (family, node, rep, text) in order of family to rows (node, component, group)."""
+    schema = pa.schema([("node", pa.binary()), ("component", pa.int64()), ("group", pa.binary())])
 
     def close(held: dict) -> Iterator[pa.RecordBatch]:
         nodes = list(held)
         sizes = np.fromiter((len(held[x][1]) for x in nodes), np.int64, len(nodes))
         labels = link_family(np.concatenate([held[x][1] for x in nodes]), np.concatenate(([0], np.cumsum(sizes))), percent)
         least: dict[int, int | None] = {}
+        name: dict[int, bytes] = {}
         for x, label in zip(nodes, labels.tolist()):
-            rep = held[x][0]
+            rep, name[label] = held[x][0], min(x, name.get(label, x))
             least[label] = rep if least.get(label) is None else least[label] if rep is None else min(rep, least[label])
-        yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array([least[x] for x in labels.tolist()], pa.int64())], schema=schema)
+        yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array([least[x] for x in labels.tolist()], pa.int64()), pa.array([name[x] for x in labels.tolist()], pa.binary())], schema=schema)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, held = None, {}
@@ -225,10 +226,10 @@ def _confirm(size: int, percent: int):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, rk (a hash of id and text), n_shingles, component_id, group (null without shingles)."""
     scratch = Scratch(docs.sparkSession, "near")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"))
     trees = trees_for(percent)
     signed = scratch.table("signed", texts.mapInArrow(_sign(size, trees), SIGNED), "lz4")
     classes = scratch.table("classes", signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "lz4")
@@ -236,9 +237,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch.drop("neighbours")
     members = classes.select("node", "rep").join(families, "node").select("node", "rep", F.col("label").alias("family"))
     own = texts.join(members.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("family", "node", "rep", "text")
-    grouped = own.repartition("family").sortWithinPartitions("family")
-    confirmed = scratch.table("confirmed", grouped.mapInArrow(_confirm(size, percent), "node binary, component long"))
-    named = classes.select("node", "rep").join(confirmed, "node", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    joined = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    by_family = own.repartition("family").sortWithinPartitions("family")
+    confirmed = scratch.table("confirmed", by_family.mapInArrow(_confirm(size, percent), "node binary, component long, group binary"))
+    named = classes.select("node", "rep").join(confirmed, "node", "left").select("node", F.coalesce("component", "rep").alias("component"), F.coalesce("group", "node").alias("group"))
+    joined = signed.select("doc_id", "rk", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "rk", "n_shingles", component.alias("component_id"), "group")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Options are those of ``grouped``."""
+    found = grouped(docs, **options)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group, that of the smallest id; rows without shingles all stay. Columns are kept."""
+    found = Scratch(docs.sparkSession, "groups").table("found", grouped(docs, id_col=id_col, text_col=text_col, **options))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk"))
+    chosen = found.where(F.col("group").isNotNull()).groupBy("group").agg(first.alias("first")).select(F.col("first.rk").alias("__rk"), F.lit(True).alias("__one"))
+    blank = found.where(F.col("group").isNull()).select(F.col("rk").alias("__rk"), F.lit(False).alias("__one")).distinct()
+    marked = docs.withColumn("__rk", F.xxhash64(F.col(id_col), F.col(text_col)))
+    left = marked.join(chosen.unionByName(blank).hint("shuffle_hash"), "__rk")
+    # Equal rows share a key: one of them stays, unless they have no shingles.
+    nth = F.row_number().over(Window.partitionBy("__rk").orderBy(F.lit(1)))
+    return left.withColumn("__nth", nth).where("__nth = 1 OR NOT __one").select(*docs.columns)

@@ -162,14 +162,27 @@ def fit(featured: DataFrame, labels: DataFrame, names: list[str], *, max_sample:
     return fit_rules(sample[names].to_numpy(float).reshape(-1, len(names)), sample["y"].to_numpy(float), names)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: Column | None = None, max_sample: int = MAX_SAMPLE) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted. ``held_out`` is a condition on ``doc_id``."""
+def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: Column | None = None, max_sample: int = MAX_SAMPLE) -> DataFrame:
+    """One row per document: doc_id, rk (a hash of id and text), held_out, score."""
     held = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     stats = statistics(F.coalesce(F.col(text_col), F.lit("")))
     scratch = Scratch(docs.sparkSession, "quality")
     # Written once: the text is read a single time, and the long score expression works on plain columns.
-    featured = scratch.table("statistics", docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in stats.items()]))
+    key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk")
+    featured = scratch.table("statistics", docs.select(F.col(id_col).alias("doc_id"), key, *[c.alias(n) for n, c in stats.items()]))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & ~held)
     model = fit(featured, known, list(stats), max_sample=max_sample)
-    scored = featured.select("doc_id", held.alias("held_out"), model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return featured.select("doc_id", "rk", held.alias("held_out"), model.score().alias("score"))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted. Options are those of ``scored``; ``held_out`` is a condition on ``doc_id``."""
+    found = scored(docs, labels, **options)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, **options) -> DataFrame:
+    """``docs`` without those that score below ``least``; columns and repeated rows are kept."""
+    bad = scored(docs, labels, id_col=id_col, text_col=text_col, **options).where(F.col("score") < least).select(F.col("rk").alias("__rk")).distinct()
+    marked = docs.withColumn("__rk", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return marked.join(bad.hint("shuffle_hash"), "__rk", "left_anti").select(*docs.columns)
