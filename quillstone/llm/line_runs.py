@@ -51,23 +51,29 @@ def repeated_starts(lines: DataFrame, min_lines: int, scratch: Scratch) -> DataF
 def line_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_runs, kept (the text without later copies of runs)."""
     scratch = Scratch(docs.sparkSession, "lines")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    texts = scratch.table("texts", texts)
-    used = F.filter(F.split("text", "\n", -1), lambda x: ~x.rlike(BLANK))
-    lines = texts.select("doc_id", "rid", F.posexplode(used).alias("line", "content"))
-    lines = lines.select("doc_id", "rid", "line", F.xxhash64("content").alias("one"), F.xxhash64(F.lit(1), "content").alias("two"))
-    starts = repeated_starts(lines, min_lines, scratch)
-    # Start s removes lines s .. s + min_lines - 1; a document's starts become one array, in order.
-    gone = scratch.table("gone", starts.groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("starts")))
-    joined = texts.join(gone.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
-    all_lines = F.split("text", "\n", -1)
-    removed = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + min_lines - 1)))))
-    runs = F.size(F.filter("removed", lambda x, i: (i == 0) | (F.coalesce(F.get("removed", i - 1), x) < x - 1)))
-    step = joined.withColumn("all_lines", all_lines).withColumn("removed", removed)
-    # Numbers of the lines that are not blank, by place among all lines; a removed number marks its line.
-    places = F.filter(F.transform("all_lines", lambda x, i: F.when(~x.rlike(BLANK), i)), lambda i: i.isNotNull())
-    step = step.withColumn("places", F.when(F.size("removed") > 0, places))
-    marks = F.map_from_arrays(F.transform("removed", lambda k: F.get("places", k)), F.transform("removed", lambda k: F.lit(True)))
-    step = step.withColumn("marks", F.when(F.size("removed") > 0, marks))
-    kept = F.when(F.size("removed") > 0, F.array_join(F.filter("all_lines", lambda x, i: F.try_element_at("marks", i).isNull()), "\n")).otherwise(F.col("text"))
-    return step.select("doc_id", F.size("all_lines").alias("n_lines"), F.size("removed").alias("n_removed"), runs.alias("n_runs"), kept.alias("kept"))
+    split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    # Lines are stored as an array: below, lambdas may only touch stored columns, as they evaluate anything else anew
+    # for each element.
+    texts = scratch.table("texts", docs.select(F.col(id_col).alias("doc_id"), split.alias("lines")).withColumn("rid", F.monotonically_increasing_id()))
+    used = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("place"), x.alias("content"))), lambda x: ~x["content"].rlike(BLANK))
+    lines = texts.select("doc_id", "rid", F.posexplode(used).alias("line", "x"))
+    lines = lines.select("doc_id", "rid", "line", "x.place", F.xxhash64("x.content").alias("one"), F.xxhash64(F.lit(1), "x.content").alias("two"))
+    lines = scratch.table("lines", lines)
+    # Start s removes lines s .. s + min_lines - 1.
+    starts = repeated_starts(lines.drop("place"), min_lines, scratch)
+    removed = starts.select("rid", F.explode(F.sequence("line", F.col("line") + min_lines - 1)).alias("line")).distinct()
+    before = F.lag("line").over(Window.partitionBy("rid").orderBy("line"))
+    removed = removed.withColumn("first", F.coalesce(before < F.col("line") - 1, F.lit(True)).cast("int"))
+    removed = removed.join(lines.select("rid", "line", "place"), ["rid", "line"])
+    gone = removed.groupBy("rid").agg(F.sort_array(F.collect_list("place")).alias("places"), F.sum("first").cast("int").alias("n_runs"))
+    joined = texts.join(scratch.table("gone", gone).hint("shuffle_hash"), "rid", "left")
+    n = F.size("places")
+
+    def between(k):
+        """The lines between the k-th removed one and the one before."""
+        begin = F.coalesce(F.get("places", k - 1), F.lit(-1)) + 1
+        return F.slice("lines", begin + 1, F.coalesce(F.get("places", k), F.size("lines")) - begin)
+
+    left = F.when(n.isNull(), F.col("lines")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), n), between)))
+    removed_lines = F.coalesce(n, F.lit(0))
+    return joined.select("doc_id", F.size("lines").alias("n_lines"), removed_lines.alias("n_removed"), F.coalesce("n_runs", F.lit(0)).alias("n_runs"), F.array_join(left, "\n").alias("kept"))
