@@ -6,12 +6,19 @@ than SQL's ``trim``, which only removes spaces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once; keeps expressions that use a long one often small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -36,17 +43,21 @@ def preprocess_line(line: Column) -> Column:
 
 def parse_num(s: Column) -> Column:
     """Number of a cell without ``$`` and commas; parentheses mean negative; null if it is none."""
-    bare = strip(F.regexp_replace(s, r"[$,]", ""))
-    inner = strip(F.substring(bare, F.lit(2), F.length(bare) - 2))
-    negative = F.when(inner.rlike(r"^-?[\d.]+$"), -inner.try_cast("double"))
-    return F.when(bare.rlike(r"(?s)^\(.*\)$"), negative).otherwise(bare.try_cast("double"))
+    def number(bare: Column) -> Column:
+        inner = strip(F.substring(bare, F.lit(2), F.length(bare) - 2))
+        negative = F.when(inner.rlike(r"^-?[\d.]+$"), -inner.try_cast("double"))
+        return F.when(bare.rlike(r"(?s)^\(.*\)$"), negative).otherwise(bare.try_cast("double"))
+
+    return let(strip(F.regexp_replace(s, r"[$,]", "")), number)
 
 
 def normalize_value(s: Column) -> Column:
     """As ``parse_num``, but parentheses are stripped wherever they stand at the ends."""
-    bare = strip(F.regexp_replace(s, r"[$,]", ""))
-    value = F.regexp_replace(bare, r"^[()]+|[()]+$", "").try_cast("double")
-    return F.when(bare.rlike(r"(?s)^\(.*\)$"), -value).otherwise(value)
+    def number(bare: Column) -> Column:
+        value = F.regexp_replace(bare, r"^[()]+|[()]+$", "").try_cast("double")
+        return F.when(bare.rlike(r"(?s)^\(.*\)$"), -value).otherwise(value)
+
+    return let(strip(F.regexp_replace(s, r"[$,]", "")), number)
 
 
 def float_text(v: Column) -> Column:
@@ -60,11 +71,13 @@ def float_text(v: Column) -> Column:
 
 def parse_financial_table(line: Column) -> Column:
     """``label | value | value[ | value]`` of a table line, else the preprocessed line."""
-    ready = preprocess_line(strip(line))
-    part = lambda k: F.regexp_extract(ready, fixed.TABLE_LINE, k)
-    cells = [F.when(part(k) != "", float_text(parse_num(part(k)))) for k in (2, 3, 4)]
-    row = F.concat(strip(part(1)), F.lit(" | "), F.concat_ws(" | ", *cells))
-    return F.when(ready.rlike(fixed.TABLE_LINE), row).otherwise(strip(ready))
+    def row(ready: Column) -> Column:
+        part = lambda k: F.regexp_extract(ready, fixed.TABLE_LINE, k)
+        cells = [F.when(part(k) != "", let(parse_num(part(k)), float_text)) for k in (2, 3, 4)]
+        shown = F.concat(strip(part(1)), F.lit(" | "), F.concat_ws(" | ", *cells))
+        return F.when(ready.rlike(fixed.TABLE_LINE), shown).otherwise(strip(ready))
+
+    return let(preprocess_line(strip(line)), row)
 
 
 def render_lines(lines: Column) -> Column:
@@ -116,29 +129,33 @@ def table_row(line: Column) -> Column:
 
 def rule_type(line: Column) -> Column:
     """Type of a line by an ordered list of rules: table_row, single_value, narrative, header, year_header, other."""
-    s = strip(F.replace(no_break_to_space(line), F.lit("TABLE | "), F.lit("")))
-    numbers = F.regexp_extract_all(s, F.lit(f"({fixed.NUMBER})"), F.lit(1))
-    count, short = F.size(numbers), F.length(s) < 60
-    years = F.size(F.regexp_extract_all(s, F.lit(fixed.YEAR), F.lit(1)))
-    label = strip(F.regexp_replace(strip(F.regexp_extract(s, f"(?s)^(.*?){fixed.NUMBER}", 1)), r"[$:]+$", ""))
-    digits, letters = F.regexp_count(label, F.lit(r"\d")), F.regexp_count(label, F.lit(r"\p{L}"))
-    first = normalize_value(F.get(numbers, F.lit(0)))
-    small_percent = F.coalesce((F.abs(first) < 1) & s.contains("%"), F.lit(False))
-    odd = (label == "") | ~label.rlike(r"^\p{L}") | (letters == 0) | (digits > 0.3 * F.length(label)) | small_percent
-    keyword = F.lit(False)
-    for word in fixed.FINANCIAL_KEYWORDS:
-        keyword = keyword | F.lower(s).contains(word)
-    return (
-        F.when(s == "", "other")
-        .when((years >= 2) & short & ~s.rlike("[a-zA-Z]{4,}"), "year_header")
-        .when(short & (count == 0) & s.rlike(fixed.HEADER_WORDS), "header")
-        .when((count >= 2) & odd, "narrative")
-        .when(count >= 2, "table_row")
-        .when((count == 1) & s.rlike(fixed.NARRATIVE_WORDS), "narrative")
-        .when(count == 1, "single_value")
-        .when(keyword, "narrative")
-        .otherwise("other")
-    )
+    keyword = lambda s: F.exists(F.array(*map(F.lit, fixed.FINANCIAL_KEYWORDS)), lambda w: F.contains(F.lower(s), w))
+
+    def odd(s: Column, numbers: Column) -> Column:
+        """A label that no table row has, or a small percentage as first value."""
+        def unlike(label: Column) -> Column:
+            digits, letters = F.regexp_count(label, F.lit(r"\d")), F.regexp_count(label, F.lit(r"\p{L}"))
+            return (label == "") | ~label.rlike(r"^\p{L}") | (letters == 0) | (digits > 0.3 * F.length(label))
+
+        label = strip(F.regexp_replace(strip(F.regexp_extract(s, f"(?s)^(.*?){fixed.NUMBER}", 1)), r"[$:]+$", ""))
+        small_percent = F.coalesce(F.abs(normalize_value(F.get(numbers, F.lit(0)))) < 1, F.lit(False)) & s.contains("%")
+        return let(label, unlike) | small_percent
+
+    def kind(s: Column, numbers: Column) -> Column:
+        count, short = F.size(numbers), F.length(s) < 60
+        years = F.size(F.regexp_extract_all(s, F.lit(fixed.YEAR), F.lit(1)))
+        return (
+            F.when(s == "", "other")
+            .when((years >= 2) & short & ~s.rlike("[a-zA-Z]{4,}"), "year_header")
+            .when(short & (count == 0) & s.rlike(fixed.HEADER_WORDS), "header")
+            .when(count >= 2, F.when(odd(s, numbers), "narrative").otherwise("table_row"))
+            .when(count == 1, F.when(s.rlike(fixed.NARRATIVE_WORDS), "narrative").otherwise("single_value"))
+            .when(keyword(s), "narrative")
+            .otherwise("other")
+        )
+
+    clean = strip(F.replace(no_break_to_space(line), F.lit("TABLE | "), F.lit("")))
+    return let(clean, lambda s: let(F.regexp_extract_all(s, F.lit(f"({fixed.NUMBER})"), F.lit(1)), lambda numbers: kind(s, numbers)))
 
 
 def rule_label(kind: Column, page_number: Column) -> Column:
@@ -196,14 +213,16 @@ def normalize_answer(variable: Column, value: Column) -> Column:
 
 def parse_amount(value: Column) -> Column:
     """First number of a text; a comma before three digits separates thousands. Negative in parentheses or after ``-``."""
-    s = strip(F.coalesce(value.cast("string"), F.lit("")))
-    number = F.replace(F.regexp_extract(s, r"(\d+(?:,\d{3})*(?:\.\d+)?)", 1), F.lit(","), F.lit("")).try_cast("double")
-    return F.when((s.contains("(") & s.contains(")")) | s.startswith("-"), -F.abs(number)).otherwise(number)
+    def amount(s: Column) -> Column:
+        number = F.replace(F.regexp_extract(s, r"(\d+(?:,\d{3})*(?:\.\d+)?)", 1), F.lit(","), F.lit("")).try_cast("double")
+        return F.when((s.contains("(") & s.contains(")")) | s.startswith("-"), -F.abs(number)).otherwise(number)
+
+    return let(strip(F.coalesce(value.cast("string"), F.lit(""))), amount)
 
 
 def values_match(prediction: Column, truth: Column) -> Column:
-    a, b = parse_amount(prediction), parse_amount(truth)
-    return F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= fixed.NUMERIC_TOLERANCE).otherwise(prediction == truth)
+    distance = F.abs(parse_amount(prediction) - parse_amount(truth))
+    return F.coalesce(distance <= fixed.NUMERIC_TOLERANCE, prediction == truth)
 
 
 def value_excerpt(text: Column, aliases: Column) -> Column:
