@@ -114,7 +114,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
     # Only documents with such windows are read on; each of their windows becomes rows of shingles.
     at = F.greatest(F.lit(0), F.least(F.col("start"), F.size("words") - F.col("size") + 1 - F.col("m")))
-    windows = keyed.join(starts.hint("shuffle_hash"), "doc_key").select("doc_key", "doc_id", "item_row", "size", "m", "words", F.explode("starts").alias("start")).withColumn("start", at)
+    # Texts are shuffled as they are; words are cut again on the few rows that join.
+    rows = texts.select(F.xxhash64("doc_id", "text").alias("doc_key"), "doc_id", "text").join(starts.hint("shuffle_hash"), "doc_key").withColumn("words", words(F.col("text")))
+    windows = rows.select("doc_key", "doc_id", "item_row", "size", "m", "words", F.explode("starts").alias("start")).withColumn("start", at)
     span = F.least(F.col("m"), F.size("words") - F.col("size") + 1)
     cells = windows.withColumn("n", span).select("doc_key", "doc_id", "item_row", "size", "m", "n", "start", "words", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("p"))
     h = None
