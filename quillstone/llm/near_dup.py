@@ -240,6 +240,7 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     by_family = own.repartition("family").sortWithinPartitions("family")
     confirmed = scratch.table("confirmed", by_family.mapInArrow(_confirm(size, percent), "node binary, component long, group binary"))
     named = classes.select("node", "rep").join(confirmed, "node", "left").select("node", F.coalesce("component", "rep").alias("component"), F.coalesce("group", "node").alias("group"))
+    named = scratch.table("named", named)  # a plain side lets adaptive execution split a class with very many members
     joined = signed.select("doc_id", "rk", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "rk", "n_shingles", component.alias("component_id"), "group")
