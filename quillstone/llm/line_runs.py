@@ -27,16 +27,25 @@ MIN_LINES = 2
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
-def _ranked(rows: DataFrame, *names: str) -> DataFrame:
-    """Adds the first occurrence (first_rid, first_line) of rows with equal, non-null ``names``; order by (doc_id, rid, line)."""
-    first = rows.dropna(subset=list(names)).groupBy(*names).agg(F.min(F.struct("doc_id", "rid", "line")).alias("first"))
-    found = first.select(*names, F.col("first.rid").alias("first_rid"), F.col("first.line").alias("first_line"))
-    return rows.join(found, list(names), "left").drop(*names)
+def _ranked(rows: DataFrame, scratch: Scratch, name: str, *names: str) -> DataFrame:
+    """Adds the first occurrence (first_rid, first_line) of rows with equal, non-null ``names``; order by (doc_id, rid, line).
+
+    Only ranks that occur again are looked up, from a written table: what occurs once is its own first occurrence,
+    and a plain side lets adaptive execution split a very frequent rank.
+    """
+    known = F.col(names[0]).isNotNull()
+    for n in names[1:]:
+        known = known & F.col(n).isNotNull()
+    first = rows.where(known).groupBy(*names).agg(F.min(F.struct("doc_id", "rid", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = scratch.table(f"first-{name}", first.select(*names, F.col("first.rid").alias("f_rid"), F.col("first.line").alias("f_line")))
+    joined = rows.join(found, list(names), "left")
+    own = lambda c, f: F.when(known, F.coalesce(F.col(f), F.col(c)))
+    return joined.select("doc_id", "rid", "line", own("rid", "f_rid").alias("first_rid"), own("line", "f_line").alias("first_line"))
 
 
 def repeated_starts(lines: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
     """(rid, line) of every run of ``min_lines`` lines that occurred before; ``lines`` has doc_id, rid, line, one, two."""
-    ranks = scratch.table("ranks-1", _ranked(lines, "one", "two"))
+    ranks = scratch.table("ranks-1", _ranked(lines, scratch, "1", "one", "two"))
     h = 1
     order = Window.partitionBy("rid").orderBy("line")
     while h < min_lines:
@@ -44,7 +53,7 @@ def repeated_starts(lines: DataFrame, min_lines: int, scratch: Scratch) -> DataF
         both = ranks.withColumn("next_rid", F.lead("first_rid", ahead).over(order)).withColumn("next_line", F.lead("first_line", ahead).over(order))
         both = both.withColumnsRenamed({"first_rid": "own_rid", "first_line": "own_line"})
         h += ahead
-        ranks = scratch.table(f"ranks-{h}", _ranked(both, "own_rid", "own_line", "next_rid", "next_line"))
+        ranks = scratch.table(f"ranks-{h}", _ranked(both, scratch, str(h), "own_rid", "own_line", "next_rid", "next_line"))
     return ranks.where("first_rid <> rid OR first_line <> line").select("rid", "line")
 
 
