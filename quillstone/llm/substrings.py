@@ -253,7 +253,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     chunks = int(max(spark.sparkContext.defaultParallelism, -(-size // CHUNK_BYTES)))
     chunk = F.pmod(F.col("rk"), F.lit(chunks)).alias("chunk")
 
-    again = spans.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Written, so that the join has a plain side and adaptive execution can split a very frequent anchor.
+    again = scratch.table("again", spans.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     twice = scratch.table("twice", spans.join(again, "key", "left_semi"))
     scratch.drop("spans")
     distinct = scratch.table("distinct", twice.groupBy("key", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "lo", "hi", "m")).alias("at")))
