@@ -7,7 +7,9 @@
    neighbours agree. The number of candidates is linear: one a class and tree. The number of trees is set so that
    a pair at the threshold shares a region of no tree with probability 4e-7.
 3. Candidates are closed to families by contracting each class to its smallest neighbour until no edge is left.
-4. Families are confirmed exactly on full sets. All links that matter to the components are found, without all
+4. Families are confirmed exactly on full sets. A family of up to ``FAMILY_ROWS`` classes is confirmed by one task; a
+   larger one is dealt to blocks of ``BLOCK_ROWS`` classes, and rounds of hubs, at most ``HUBS`` a family, go against
+   all its blocks. All links that matter to the components are found, without all
    pairs: a class is compared with the whole family until every class that was not compared lies in one component;
    classes with many links go first, so a family around one original needs few rounds.
 
@@ -35,6 +37,7 @@ from quillstone.llm.text_bytes import mix, powers, shingles_of
 _U = np.uint64
 MIN_DEPTH, PATH_DEPTH = 4, 6
 MISS = 4e-7
+FAMILY_ROWS, BLOCK_ROWS, HUBS = 20_000, 2_000, 256
 SIGNED = "doc_id long, rk long, n_shingles long, node binary, signature binary"
 
 
@@ -226,6 +229,93 @@ def _confirm(size: int, percent: int):
     return confirm
 
 
+def _sets(size: int):
+    """Rows (family, block, node, rep, text) to their shingle sets; rows whose text is another one's are left out."""
+    schema = pa.schema([("family", pa.binary()), ("block", pa.int64()), ("node", pa.binary()), ("rep", pa.int64()), ("values", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(2).to_pylist()
+            for row, values, offsets in shingles_of(batch.column(4), size):
+                made = digests(values, offsets)
+                keep = [k for k, digest in enumerate(made) if digest == nodes[row + k]]
+                packed = pa.array([values[offsets[k] : offsets[k + 1]].tobytes() for k in keep], pa.binary())
+                yield pa.record_batch([*(batch.column(c).take(pa.array([row + k for k in keep], pa.int64())) for c in range(4)), packed], schema=schema)
+
+    return sets
+
+
+def _meet(percent: int):
+    """A block's classes against its family's hubs: edges (a, b), and as (a, null, n) the links that a class has."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
+
+    def meet(members: pa.Table, hubs: pa.Table) -> pa.Table:
+        if not members.num_rows or not hubs.num_rows:
+            return schema.empty_table()
+        nodes, names = members.column("node").to_pylist(), hubs.column("node").to_pylist()
+        sets = [np.frombuffer(v, np.uint64) for v in members.column("values").to_pylist()]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        starts = np.cumsum(sizes) - sizes
+        known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        linked = np.zeros((len(names), len(nodes)), bool)
+        for h, raw in enumerate(hubs.column("values").to_pylist()):
+            own = np.frombuffer(raw, np.uint64)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            mark = np.zeros(len(known), np.int64)
+            mark[at[known[at] == own]] = 1
+            shared = np.add.reduceat(mark[ids], starts)
+            linked[h] = 100 * shared >= percent * (sizes + len(own) - shared)
+        edges = set()
+        for m in np.flatnonzero(linked.any(0)).tolist():
+            of = np.flatnonzero(linked[:, m]).tolist()
+            # One edge to the class, and hubs that share it are joined in a chain.
+            edges.update((names[x], names[y]) for x, y in zip(of, of[1:]) if names[x] != names[y])
+            if names[of[0]] != nodes[m]:
+                edges.add((names[of[0]], nodes[m]))
+        rows = [(min(e), max(e), None) for e in edges]
+        rows += [(n, None, int(c)) for n, c in zip(names, linked.sum(1)) if c] + [(n, None, int(c)) for n, c in zip(nodes, linked.sum(0)) if c]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
+
+    return meet
+
+
+def link_large(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component, group) of families of any size; ``sets`` has family, block, node, rep, values. Exact.
+
+    A class that was a hub has met its whole family. Once all others of a family lie in one component, no link that
+    changes the components is left. Hubs are classes with many links, half of them from the largest component.
+    """
+    nodes = scratch.table("large-nodes", sets.select("family", "node", "rep"))
+    blocks = scratch.table("blocks", sets.select("family", "block").distinct())
+    labels, links, done, k = nodes.select("family", "node", F.col("node").alias("label")), None, None, 0
+    while True:
+        k += 1
+        waiting = labels.join(done, "node", "left_anti") if done is not None else labels
+        counts = waiting.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+        giants = scratch.table(f"giants-{k}", counts.groupBy("family").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("family", F.col("most.label").alias("giant")))
+        if giants.isEmpty():
+            break
+        waiting = waiting.join(giants, "family").withColumn("inside", F.col("label") == F.col("giant"))
+        if links is not None:
+            degree = links.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("degree")).withColumnRenamed("a", "node")
+            waiting = waiting.join(degree, "node", "left")
+        else:
+            waiting = waiting.withColumn("degree", F.lit(0))
+        best = Window.partitionBy("family", "inside").orderBy(F.col("degree").desc_nulls_last(), "node")
+        chosen = waiting.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= min(HUBS, 16 << k) // 2)
+        hubs = scratch.table(f"hubs-{k}", chosen.select("node").join(sets, "node").select("family", "node", "values"))
+        dealt = hubs.join(blocks, "family")
+        met = sets.groupBy("family", "block").cogroup(dealt.groupBy("family", "block")).applyInArrow(_meet(percent), "a binary, b binary, links long")
+        new = scratch.table(f"links-{k}", met if links is None else links.unionByName(met))
+        links = new.groupBy("a", "b").agg(F.sum("links").alias("links"))
+        done = hubs.select("node") if done is None else done.union(hubs.select("node"))
+        found = components(links.where("b IS NOT NULL").select("a", "b"), Scratch(scratch.spark, "near-large"))
+        labels = scratch.table(f"large-labels-{k}", nodes.join(found, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label")))
+    named = labels.join(nodes.select("node", "rep"), "node")
+    least = named.groupBy("label").agg(F.min("rep").alias("component"), F.min("node").alias("group"))
+    return named.join(least, "label").select("node", "component", "group")
+
+
 def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, rk (a hash of id and text), n_shingles, component_id, group (null without shingles)."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -236,9 +326,17 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     families = components(candidates(classes, trees, scratch), scratch)
     scratch.drop("neighbours")
     members = classes.select("node", "rep").join(families, "node").select("node", "rep", F.col("label").alias("family"))
+    large = scratch.table("large", members.groupBy("family").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > FAMILY_ROWS))
     own = texts.join(members.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("family", "node", "rep", "text")
-    by_family = own.repartition("family").sortWithinPartitions("family")
+    small = own if large.isEmpty() else own.join(large, "family", "left_anti")
+    by_family = small.repartition("family").sortWithinPartitions("family")
     confirmed = scratch.table("confirmed", by_family.mapInArrow(_confirm(size, percent), "node binary, component long, group binary"))
+    if not large.isEmpty():
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BLOCK_ROWS)).alias("block")
+        dealt = members.join(large, "family").select("family", block, "node", "rep")
+        told = texts.join(dealt.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("family", "block", "node", "rep", "text")
+        sets = told.mapInArrow(_sets(size), "family binary, block long, node binary, rep long, values binary").dropDuplicates(["node"])
+        confirmed = confirmed.unionByName(link_large(scratch.table("sets", sets, "lz4"), percent, scratch))
     named = classes.select("node", "rep").join(confirmed, "node", "left").select("node", F.coalesce("component", "rep").alias("component"), F.coalesce("group", "node").alias("group"))
     named = scratch.table("named", named)  # a plain side lets adaptive execution split a class with very many members
     joined = signed.select("doc_id", "rk", "n_shingles", "node").join(named, "node", "left")

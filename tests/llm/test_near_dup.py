@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quillstone.llm import near_dup
 from quillstone.llm.near_dup import link_family, near_duplicates
 
 SCHEMA = "component_id string, text string, doc_id long, family int"
@@ -62,6 +63,17 @@ def test_matches_brute_force(spark, size, percent):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in got) == brute(rows, size, percent)
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
+def test_large_families_in_blocks(spark, size, percent, monkeypatch):
+    monkeypatch.setattr(near_dup, "FAMILY_ROWS", 5)
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(near_dup, "HUBS", 6)
+    rows = corpus()
+    df = spark.createDataFrame([("x", t, d, 1) for d, t in rows], SCHEMA).repartition(5)
+    got = near_duplicates(df, size=size, percent=percent).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in got) == brute(rows, size, percent)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in near_duplicates(spark.createDataFrame([("x", None, 3, 1)], SCHEMA)).collect()] == [(3, 0, 3, True)]
