@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and spans added by a character-level bidirectional LSTM with CRF transitions.
 
 Base spans come from the four patterns below, leftmost and non-overlapping for each kind, on the whole text. The
-model is trained in numpy on labelled spans: base spans of a bounded sample of documents (``MAX_SAMPLE``), variants
+model is trained in numpy on labelled spans: base spans of a bounded sample of documents (``MAX_SAMPLE`` whole
+texts of at most ``SAMPLE_BYTES``), variants
 of them that the patterns miss (numbers without a plus, other separators, spaced at-signs), and drawn examples
 where the sample has few. A window of ``WINDOW`` characters starts every ``STRIDE``; a span of any kind holds a
 digit or an at-sign, so windows without them hold none and are not decoded. Each window is decoded by Viterbi; a
@@ -32,6 +33,8 @@ from quillstone.llm.bilstm_crf import BiLstmCrf
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, MARGIN, SURE = 128, 64, 2, 0.8
 MAX_SAMPLE, DRAWN = 400, 700
+#: Longest text that is drawn for training.
+SAMPLE_BYTES = 50_000
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A number that starts inside a run of digits would match from the run's start as well, so the look-behind changes
@@ -260,8 +263,11 @@ OUT_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_sample: int = MAX_SAMPLE) -> DataFrame:
     """One row per document: doc_id, counts of base spans by kind, base_sha256, spans (all), n_added."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # At most max_sample texts with a digit or at-sign, at most 20,000 characters of each, chosen by a hash.
-    some = texts.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id").alias("draw"), "doc_id", F.substring("text", 1, 20_000).alias("text"))
+    # Whole texts with a digit or at-sign, drawn by a hash; long ones are left to be scanned, not learned from.
+    some = texts.where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike("[0-9@]")).withColumn("draw", F.xxhash64("doc_id"))
+    total = some.count()
+    if total > max_sample:  # about a fifth more than needed, so that little is sorted and sent
+        some = some.where(F.pmod("draw", F.lit(1_000_003)) < 1_000_003 * 1.2 * max_sample / total)
     sample = [r.text for r in some.orderBy("draw", "doc_id", "text").limit(max_sample).collect()]
     model = docs.sparkSession.sparkContext.broadcast(train(sample))
 
