@@ -2,9 +2,8 @@
 
 Base spans come from the four patterns below, leftmost and non-overlapping for each kind, on the whole text. The
 model is trained in numpy on labelled spans: base spans of a bounded sample of documents (``MAX_SAMPLE`` whole
-texts of at most ``SAMPLE_BYTES``), variants
-of them that the patterns miss (numbers without a plus, other separators, spaced at-signs), and drawn examples
-where the sample has few. A window of ``WINDOW`` characters starts every ``STRIDE``; a span of any kind holds a
+texts of at most ``SAMPLE_BYTES``), variants of them that the patterns miss (numbers without a plus, other
+separators, spaced at-signs), and drawn examples. A window of ``WINDOW`` characters starts every ``STRIDE``; a span of any kind holds a
 digit or an at-sign, so windows without them hold none and are not decoded. Each window is decoded by Viterbi; a
 span's score is the mean marginal of its characters. Spans that touch a window's inner edge are left to the next
 window. All windows' spans of a text are then reconciled at once: what overlaps a base span goes, and of the rest

@@ -89,9 +89,22 @@ def brute(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("segment", [3 << 20, 64])
-def test_matches_brute_force(spark, segment, monkeypatch):
+@pytest.mark.parametrize("segment", [7, 64, 1 << 20])
+def test_cut_messages_keep_their_context(segment, monkeypatch):
+    """Cutting long messages into segments changes neither the pairs nor the documents they belong to."""
+    messages = [message_of(words_of((t or "").encode())) for t, _ in corpus()]
+    want = collections.Counter()
+    for doc, m in enumerate(messages):
+        s = b"\n" * DEPTH + m
+        want.update((doc, s[i - DEPTH : i][::-1] + s[i : i + 1]) for i in range(DEPTH, len(s)))
     monkeypatch.setattr(ctw, "SEGMENT_BYTES", segment)
+    got = collections.Counter()
+    for docs, combined in ctw.segments(messages):
+        got.update((int(docs[c & 0xFFFF]), (c >> 16).to_bytes(DEPTH + 1, "big")) for c in combined.tolist())
+    assert got == want
+
+
+def test_matches_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(0.5, t, d, "x") for t, d in rows], SCHEMA).repartition(3)
     got = sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 2)) for r in score_texts(df).collect())
