@@ -20,9 +20,14 @@ def weight(name: str) -> float:
     return float(os.environ.get(f"{name}_SCORE_WEIGHT", os.environ.get(f"{name}_RRF_WEIGHT", "1.0")))
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether a table, and whatever has at most a row for each of its rows, may be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if its row count is within the bound."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if fits(df) else df
 
 
 def in_scope(chunks: DataFrame, year: Column, year_col: str = "year") -> DataFrame:
@@ -31,7 +36,7 @@ def in_scope(chunks: DataFrame, year: Column, year_col: str = "year") -> DataFra
 
 @dataclass
 class Bm25Index:
-    """postings (scope, id, term, tf), documents (scope, id, dl), terms (scope, term, df, idf), scopes (scope, n, avgdl).
+    """postings (scope, id, dl, term, tf), documents (scope, id, dl), terms (scope, term, df, idf), scopes (scope, n, avgdl).
 
     Frames are lazy; ``persist`` keeps the postings for many queries.
     """
@@ -49,10 +54,10 @@ class Bm25Index:
 
 def bm25_index(docs: DataFrame, id_col: str, text_col: str, scope_col: str) -> Bm25Index:
     """Okapi BM25 statistics per scope; a negative idf becomes a quarter of the mean idf of the vocabulary."""
-    words = docs.select(F.col(scope_col).alias("scope"), F.col(id_col).alias("id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    documents = words.select("scope", "id", F.size("words").alias("dl"))
+    words = docs.select(F.col(scope_col).alias("scope"), F.col(id_col).alias("id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).withColumn("dl", F.size("words"))
+    documents = words.select("scope", "id", "dl")
     scopes = documents.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = words.select("scope", "id", F.explode("words").alias("term")).groupBy("scope", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = words.select("scope", "id", "dl", F.explode("words").alias("term")).groupBy("scope", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(scopes), "scope")
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean_idf"))
@@ -67,8 +72,9 @@ def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     Case-sensitive words between white space; a word that a query repeats counts as often.
     """
     asked = queries.select("query_id", "scope", F.explode(T.tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "scope", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = small(asked.join(index.terms, ["scope", "term"]))
-    found = index.postings.join(asked, ["scope", "term"]).join(F.broadcast(index.scopes), "scope").join(index.documents, ["scope", "id"])
+    few = fits(asked)
+    weighed = index.terms.join(F.broadcast(asked) if few else asked, ["scope", "term"])  # at most a row for each asked word
+    found = index.postings.join(F.broadcast(weighed) if few else weighed, ["scope", "term"]).join(F.broadcast(index.scopes), "scope")
     norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.col("avgdl"))
     gain = F.col("times") * F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm)
     return found.groupBy("query_id", "scope", "id").agg(F.sum(gain).alias("score"))
@@ -105,7 +111,8 @@ def bm25_normalized(index: Bm25Index, queries: DataFrame, k: int | None = None)
     bounds = bounds.select("query_id", "scope", low.alias("low"), high.alias("high"))
     span = F.col("high") - F.col("low")
     flat = F.when(F.col("score") > 0, 1.0).otherwise(0.0)
-    return every.join(small(bounds), ["query_id", "scope"]).select("query_id", "scope", "id", "score", F.when(span <= 1e-12, flat).otherwise((F.col("score") - F.col("low")) / span).alias("norm"))
+    bounds = F.broadcast(bounds) if fits(asked) else bounds
+    return every.join(bounds, ["query_id", "scope"]).select("query_id", "scope", "id", "score", F.when(span <= 1e-12, flat).otherwise((F.col("score") - F.col("low")) / span).alias("norm"))
 
 
 def best(rows: DataFrame, column: str, k: int, *by: str, descending: bool = True, tie: str = "id", out: str = "rank") -> DataFrame:
