@@ -35,8 +35,8 @@ from quillstone.llm.store import Scratch
 from quillstone.llm.text_bytes import mix
 
 DEPTH = 5
-CHUNK_BYTES = 12 << 20
-SEGMENT_BYTES, SEGMENT_DOCS = 3 << 20, 60_000
+CHUNK_BYTES = 8 << 20
+SEGMENT_BYTES, SEGMENT_DOCS = 2 << 20, 60_000
 SMOOTHING = 0.1
 GRAMS, WORDS = 0, 1
 _PAD = b"\n" * DEPTH
