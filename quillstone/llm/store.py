@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark knows, if it is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what all operator runs have left in the shared folder; their results cannot be read afterwards."""
+    delete(spark, f"{shared_dir(spark)}/quillstone")
+
+
 class Scratch:
     """Named tables of one operator run; ``drop()`` deletes those that are no longer read."""
 
@@ -41,8 +52,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, self.path(name))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
