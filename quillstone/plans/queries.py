@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,7 +98,7 @@ def _scratch(spark) -> str:
     """A new folder below the shared one, or a temporary one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return f"{named.rstrip('/')}/quillstone-{tempfile.mktemp(dir='', prefix='')}"
+        return f"{named.rstrip('/')}/quillstone-{uuid.uuid4().hex}"
     return "file://" + tempfile.mkdtemp(prefix="quillstone-")
 
 
@@ -306,7 +308,7 @@ def chunk_split(spark, d):
     def bounds(batches):
         for pdf in batches:
             found = [(s, n, a, b) for s, costs in zip(pdf["section_id"], pdf["costs"]) for n, (_, _, a, b) in enumerate(chunking.split_bounds([int(c) for c in costs], 2000))]
-            yield __import__("pandas").DataFrame(found, columns=["section_id", "piece", "first_line", "end_line"])
+            yield pd.DataFrame(found, columns=["section_id", "piece", "first_line", "end_line"])
 
     return grouped.mapInPandas(bounds, "section_id long, piece int, first_line int, end_line int")
 
