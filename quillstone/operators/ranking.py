@@ -58,7 +58,8 @@ def bm25_index(docs: DataFrame, id_col: str, text_col: str, scope_col: str) -> B
     documents = words.select("scope", "id", "dl")
     scopes = documents.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     postings = words.select("scope", "id", "dl", F.explode("words").alias("term")).groupBy("scope", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(scopes), "scope")
+    # Counting over tf keeps both uses of the postings equal, so that their exchange is made once and reused.
+    df = postings.groupBy("scope", "term").agg(F.count_if(F.col("tf") > 0).alias("df")).join(F.broadcast(scopes), "scope")
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
