@@ -117,8 +117,9 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale)).alias("q")
     blocks = scratch.table("blocks", usable.select(F.col(id_col).cast("long"), whole).mapInArrow(_pack_blocks, BLOCK_SCHEMA), "lz4")
     asked = scratch.table("queries", usable.where(is_query).select(F.col(id_col).cast("long").alias("query_id"), whole).withColumn("query_row", F.monotonically_increasing_id()))
-    # Rounds: consecutive query rows whose components sum up to the bound at most.
-    sized = asked.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.size("q") + 1).alias("values"), F.min("query_row").alias("first"), F.max("query_row").alias("last"), F.count(F.lit(1)).alias("rows"))
+    # Rounds: consecutive query rows whose components sum up to the bound at most. The upper bits of a query row are the
+    # partition that wrote it, so that ranges never overlap, however files are packed when they are read.
+    sized = asked.groupBy(F.shiftright("query_row", 33).alias("part")).agg(F.sum(F.size("q") + 1).alias("values"), F.min("query_row").alias("first"), F.max("query_row").alias("last"), F.count(F.lit(1)).alias("rows"))
     rounds = [r for r in sized.orderBy("first").collect()]
     results = None
     for ranges in _rounds(rounds):

@@ -47,3 +47,17 @@ def test_large_components_stay_exact(spark):
     rows = [("x", i, [float(2**20 + 3 * i), -float(2**19 - i)], 1) for i in range(60)]
     got = sorted(map(tuple, top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()))
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("values", [topk.ROUND_VALUES, 200])
+def test_all_queries_answered_from_many_files(spark, values, monkeypatch):
+    """Far more files than cores; Spark reads several at once, ordered by size: here the first and the last together."""
+    monkeypatch.setattr(topk, "ROUND_VALUES", values)
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-40, 40, (820, 4))
+    rows = [(i, (v / 256).tolist(), (40, 0, 1 + i % 39)[i % 3]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, part int").repartitionById(41, "part")
+    got = sorted(map(tuple, top_k(df.drop("part"), F.lit(True), k=2).collect()))
+    scores = vectors @ vectors.T
+    best = [(q, sorted((-s, i) for i, s in enumerate(scores[q].tolist()) if i != q)[:2]) for q in range(len(vectors))]
+    assert got == [(q, r + 1, i, -s) for q, found in best for r, (s, i) in enumerate(found)]
