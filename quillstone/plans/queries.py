@@ -368,16 +368,25 @@ def chunk_review(spark, d):
 # Ranking.
 
 
+def _scoped(spark, d):
+    """Documents with their language as a struct, so that a missing one is a scope like any other in joins."""
+    return _docs(spark, d).withColumn("scope", F.struct("lang"))
+
+
 def _bm25_queries(spark, d):
-    """Every benchmark item's first eight words, asked in every language's pool."""
-    items = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 8), " ").alias("query"))
-    return items.withColumn("scope", F.explode(F.array(*map(F.lit, ("en", "de", "fr", "es")))))
+    """Every benchmark item's whole text, asked in every pool there is."""
+    items = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return items.crossJoin(F.broadcast(_scoped(spark, d).select("scope").distinct()))
 
 
 def _index(spark, d):
     return ranking.bm25_index(_docs(spark, d), "doc_id", "text", "lang")
 
 
+def _scoped_index(spark, d):
+    return ranking.bm25_index(_scoped(spark, d), "doc_id", "text", "scope")
+
+
 @query
 def bm25_idf(spark, d):
     return _index(spark, d).terms.select("scope", "term", "df", F.round("idf", 6).alias("idf"))
@@ -385,7 +394,8 @@ def bm25_idf(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return ranking.bm25_topk(_index(spark, d), _bm25_queries(spark, d), 5).select("query_id", "scope", "id", "bm25_score", "rank")
+    found = ranking.bm25_topk(_scoped_index(spark, d), _bm25_queries(spark, d), 5)
+    return found.select("query_id", F.col("scope.lang").alias("scope"), "id", "bm25_score", "rank")
 
 
 def _vectors(spark, d):
@@ -414,7 +424,7 @@ def minmax_normalize(spark, d):
 
 def _fused(spark, d, **options):
     """BM25 over the English pool for each item; vectors stand for chunks of the same number."""
-    bm25 = ranking.bm25_scores(_index(spark, d), _bm25_queries(spark, d).where("scope = 'en'"))
+    bm25 = ranking.bm25_scores(_scoped_index(spark, d), _bm25_queries(spark, d).where("scope.lang = 'en'"))
     bm25 = ranking.minmax(bm25, "score", "query_id")
     v = _vectors(spark, d).where("id < 200")
     asked = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("id")).join(v, "id").select("query_id", "embedding")
