@@ -147,9 +147,11 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, *, prefilter
     return best(vector_distances(vectors, queries, prefilter=prefilter), "distance", k, "query_id", descending=False)
 
 
-def fuse(bm25: DataFrame, embedding: DataFrame, chunks: DataFrame, *, table_bonus: bool = True, polarity: str = "similarity", bm25_weight: float | None = None, embedding_weight: float | None = None) -> DataFrame:
+def fuse(bm25: DataFrame, embedding: DataFrame, chunks: DataFrame, *, table_bonus: bool = True, polarity: str = "similarity", bm25_weight: float | None = None, embedding_weight: float | None = None, scope: str | None = None) -> DataFrame:
     """Weighted sum of both normalised scores on (query_id, id), missing sides as 0; chunks are (id, chunk_nature).
 
+    ``scope`` names a column of both sides: each query then has its own scale and result in each scope.
+
     ``bm25`` has norm. ``embedding`` has distance: as similarity its scale is turned round, so that near is high; as
     distance it is not. With the bonus, the BM25 part of chunks that are mainly tables counts twice. Without
     embedding rows the result is the BM25 part.
@@ -158,16 +160,17 @@ def fuse(bm25: DataFrame, embedding: DataFrame, chunks: DataFrame, *, table_bonu
     we = weight("EMBEDDING") if embedding_weight is None else embedding_weight
     if polarity not in ("similarity", "distance"):
         raise ValueError(f"Unknown polarity: {polarity}")
-    scaled = minmax(embedding.withColumn("value", -F.col("distance") if polarity == "similarity" else F.col("distance")), "value", "query_id", out="embedding_score")
-    both = bm25.select("query_id", "id", F.col("norm").alias("bm25_score")).join(scaled.select("query_id", "id", "embedding_score"), ["query_id", "id"], "full")
+    pool = ["query_id", scope] if scope else ["query_id"]
+    scaled = minmax(embedding.withColumn("value", -F.col("distance") if polarity == "similarity" else F.col("distance")), "value", *pool, out="embedding_score")
+    both = bm25.select(*pool, "id", F.col("norm").alias("bm25_score")).join(scaled.select(*pool, "id", "embedding_score"), [*pool, "id"], "full")
     both = both.join(chunks.select("id", "chunk_nature"), "id", "left").fillna(0.0, ["bm25_score", "embedding_score"])
     factor = F.when(F.col("chunk_nature") == "table_main", 2.0).otherwise(1.0) if table_bonus else F.lit(1.0)
-    return both.select("query_id", "id", "bm25_score", "embedding_score", (wb * factor * F.col("bm25_score") + we * F.col("embedding_score")).alias("hybrid_score"))
+    return both.select(*pool, "id", "bm25_score", "embedding_score", (wb * factor * F.col("bm25_score") + we * F.col("embedding_score")).alias("hybrid_score"))
 
 
-def hybrid_topk(fused: DataFrame, k: int = 5) -> DataFrame:
+def hybrid_topk(fused: DataFrame, k: int = 5, scope: str | None = None) -> DataFrame:
     rounded = fused.withColumns({c: F.round(c, 6) for c in ("bm25_score", "embedding_score")})
-    return best(rounded, "hybrid_score", k, "query_id")
+    return best(rounded, "hybrid_score", k, "query_id", *([scope] if scope else []))
 
 
 def retriever(kind: str):

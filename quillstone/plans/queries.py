@@ -423,13 +423,13 @@ def minmax_normalize(spark, d):
 
 
 def _fused(spark, d, **options):
-    """BM25 over the English pool for each item; vectors stand for chunks of the same number."""
-    bm25 = ranking.bm25_scores(_scoped_index(spark, d), _bm25_queries(spark, d).where("scope.lang = 'en'"))
-    bm25 = ranking.minmax(bm25, "score", "query_id")
-    v = _vectors(spark, d).where("id < 200")
-    asked = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("id")).join(v, "id").select("query_id", "embedding")
+    """Every item over the whole pool of each scope; vectors stand for chunks of the same number, others are in no pool."""
+    bm25 = ranking.bm25_normalized(_scoped_index(spark, d), _bm25_queries(spark, d))
+    asked = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("id")).join(_vectors(spark, d), "id").select("query_id", "embedding")
+    v = _vectors(spark, d).join(_scoped(spark, d).select(F.col("doc_id").alias("id"), "scope"), "id")
+    distances = ranking.vector_distances(v.select(F.struct("id", "scope").alias("id"), "embedding"), asked).select("query_id", "id.scope", "id.id", "distance")
     chunks = _chunks(spark, d).select(F.col("doc_id").alias("id"), "chunk_nature")
-    return ranking.fuse(bm25, ranking.vector_distances(v, asked), chunks, bm25_weight=1.0, embedding_weight=1.0, **options)
+    return ranking.fuse(bm25, distances, chunks, bm25_weight=1.0, embedding_weight=1.0, scope="scope", **options)
 
 
 @query
@@ -439,7 +439,8 @@ def hybrid_fusion(spark, d):
 
 @query
 def hybrid_topk(spark, d):
-    return ranking.hybrid_topk(_fused(spark, d, polarity="distance"), 5).select("query_id", "id", "hybrid_score", "rank")
+    found = ranking.hybrid_topk(_fused(spark, d, polarity="distance"), 5, "scope")
+    return found.select("query_id", F.col("scope.lang").alias("scope"), "id", "hybrid_score", "rank")
 
 
 @query
