@@ -5,13 +5,16 @@ their first 1, 2, 4, ... lines: equal prefixes get equal ranks, the place of the
 2h comes from the ranks of length h of a suffix and of the suffix h lines on, one grouping a round. Suffixes with
 equal ranks at ``min_lines`` form the intervals of the suffix order whose longest common prefix reaches
 ``min_lines``. In each interval the first occurrence, by document id and line, stays; the others lose their run.
-Runs that overlap or touch are one maximal run, so longer repeats go as a whole, whatever their length.
+Runs that overlap or touch are one maximal run, so longer repeats go as a whole, whatever their length: a repeat of
+more lines is the union of its windows of ``min_lines``, none of which occurs first after it. Longer ranks would remove
+the same lines, so the doubling ends there. A line of more than ``long_words`` words is a run by itself, judged by the
+ranks of single lines.
 
 A rank is a minimum, so groupings combine on the map side; ranks go back to their lines by a join whose other side
 has one row a rank, which adaptive execution splits where a line is very frequent.
 
 Defined results. Null text is the empty text and has one, blank, line. Blank lines (white space only) never match
-and always stay. Documents with fewer lines than ``min_lines`` keep all. Repeated rows: one of them is the first.
+and always stay. Documents with fewer lines than ``min_lines`` keep all but long lines. Repeated rows: one of them is the first.
 Null ids come before all others. Runs are judged on the input, also where they overlap themselves. An empty table
 gives no rows. Extra columns are ignored.
 """
@@ -24,10 +27,13 @@ from pyspark.sql import functions as F
 from quillstone.llm.store import Scratch
 
 MIN_LINES = 2
+#: Lines of more words than this are repeats by themselves.
+LONG_WORDS = 50
+WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
-def _ranked(rows: DataFrame, scratch: Scratch, name: str, *names: str) -> DataFrame:
+def _ranked(rows: DataFrame, scratch: Scratch, name: str, *names: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds the first occurrence (first_rid, first_line) of rows with equal, non-null ``names``; order by (doc_id, rid, line).
 
     Only ranks that occur again are looked up, from a written table: what occurs once is its own first occurrence,
@@ -40,12 +46,17 @@ def _ranked(rows: DataFrame, scratch: Scratch, name: str, *names: str) -> DataFr
     found = scratch.table(f"first-{name}", first.select(*names, F.col("first.rid").alias("f_rid"), F.col("first.line").alias("f_line")))
     joined = rows.join(found, list(names), "left")
     own = lambda c, f: F.when(known, F.coalesce(F.col(f), F.col(c)))
-    return joined.select("doc_id", "rid", "line", own("rid", "f_rid").alias("first_rid"), own("line", "f_line").alias("first_line"))
+    return joined.select("doc_id", "rid", "line", *keep, own("rid", "f_rid").alias("first_rid"), own("line", "f_line").alias("first_line"))
 
 
 def repeated_starts(lines: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
-    """(rid, line) of every run of ``min_lines`` lines that occurred before; ``lines`` has doc_id, rid, line, one, two."""
-    ranks = scratch.table("ranks-1", _ranked(lines, scratch, "1", "one", "two"))
+    """(rid, line, length) of every run of ``min_lines`` lines, and of every long line, that occurred before.
+
+    ``lines`` has doc_id, rid, line, long, one, two.
+    """
+    ranks = scratch.table("ranks-1", _ranked(lines, scratch, "1", "one", "two", keep=("long",)))
+    again = F.expr("first_rid <> rid OR first_line <> line")
+    single = ranks.where("long").where(again).select("rid", "line", F.lit(1).alias("length"))
     h = 1
     order = Window.partitionBy("rid").orderBy("line")
     while h < min_lines:
@@ -54,10 +65,10 @@ def repeated_starts(lines: DataFrame, min_lines: int, scratch: Scratch) -> DataF
         both = both.withColumnsRenamed({"first_rid": "own_rid", "first_line": "own_line"})
         h += ahead
         ranks = scratch.table(f"ranks-{h}", _ranked(both, scratch, str(h), "own_rid", "own_line", "next_rid", "next_line"))
-    return ranks.where("first_rid <> rid OR first_line <> line").select("rid", "line")
+    return ranks.where(again).select("rid", "line", F.lit(min_lines).alias("length")).unionByName(single)
 
 
-def line_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def line_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_runs, kept (the text without later copies of runs)."""
     scratch = Scratch(docs.sparkSession, "lines")
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
@@ -66,11 +77,13 @@ def line_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     texts = scratch.table("texts", docs.select(F.col(id_col).alias("doc_id"), split.alias("lines")).withColumn("rid", F.monotonically_increasing_id()))
     used = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("place"), x.alias("content"))), lambda x: ~x["content"].rlike(BLANK))
     lines = texts.select("doc_id", "rid", F.posexplode(used).alias("line", "x"))
-    lines = lines.select("doc_id", "rid", "line", "x.place", F.xxhash64("x.content").alias("one"), F.xxhash64(F.lit(1), "x.content").alias("two"))
+    # So many words need at least one character each and one between them.
+    long = (F.length("x.content") > 2 * long_words) & (F.regexp_count("x.content", F.lit(WORD)) > long_words)
+    lines = lines.select("doc_id", "rid", "line", "x.place", long.alias("long"), F.xxhash64("x.content").alias("one"), F.xxhash64(F.lit(1), "x.content").alias("two"))
     lines = scratch.table("lines", lines)
-    # Start s removes lines s .. s + min_lines - 1.
+    # Start s removes lines s .. s + length - 1.
     starts = repeated_starts(lines.drop("place"), min_lines, scratch)
-    removed = starts.select("rid", F.explode(F.sequence("line", F.col("line") + min_lines - 1)).alias("line")).distinct()
+    removed = starts.select("rid", F.explode(F.sequence("line", F.col("line") + F.col("length") - 1)).alias("line")).distinct()
     before = F.lag("line").over(Window.partitionBy("rid").orderBy("line"))
     removed = removed.withColumn("first", F.coalesce(before < F.col("line") - 1, F.lit(True)).cast("int"))
     removed = removed.join(lines.select("rid", "line", "place"), ["rid", "line"])

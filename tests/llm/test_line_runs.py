@@ -50,3 +50,15 @@ def test_matches_brute_force(spark, m):
 
 def test_empty(spark):
     assert line_runs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_single_lines(spark):
+    """A line of more than 50 words goes where it occurred before, also alone in its document; shorter ones stay."""
+    long, short = " ".join(f"w{k}" for k in range(51)), " \t".join(f"w{k}" for k in range(50))
+    texts = [f"a\n{long}\nb", f"c\n{long}\nd", long, f"\n{long}\n{long}", short, f"e\n{short}", f"x\n{long}", f"y\nx\n{long}\nz", f"{long} more"]
+    df = spark.createDataFrame([("x", t, i, 1, "x") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, r.kept) for r in line_runs(df).collect()}
+    assert got == {
+        0: (3, 0, 0, texts[0]), 1: (3, 1, 1, "c\nd"), 2: (1, 1, 1, ""), 3: (3, 2, 1, ""), 4: (1, 0, 0, short),
+        5: (2, 0, 0, texts[5]), 6: (2, 1, 1, "x"), 7: (4, 2, 1, "y\nz"), 8: (1, 0, 0, texts[8]),
+    }
