@@ -208,9 +208,8 @@ def build_queries(spark, d):
 
 @query
 def query_plan_terms(spark, d):
-    """Up to eight different normalised terms of a plan; the plan here is a document's first words."""
-    words = F.slice(T.tokens(F.col("text")), 1, 14)
-    clean = F.filter(F.transform(words, T.normalize_alias), lambda t: t != "")
+    """Up to eight different normalised terms of a plan; the plan here is a document's words."""
+    clean = F.filter(F.transform(T.tokens(F.col("text")), T.normalize_alias), lambda t: t != "")
     return _docs(spark, d).select("doc_id", F.array_join(F.slice(F.array_distinct(clean), 1, 8), ";").alias("terms"))
 
 
