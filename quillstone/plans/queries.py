@@ -638,7 +638,7 @@ def _windows(spark, d):
 def train_line_clf(spark, d):
     """Accuracy on the held-out fifth of a classifier trained on the rule labels."""
     rows = evaluation.stratified_split(_windows(spark, d).withColumn("key", F.concat_ws("-", "section_id", "line_no")), "label", "key")
-    model = learning.train(rows.where("is_train"), features=4096, max_iter=30)
+    model = learning.train(rows.where("is_train"))
     held = learning.predict(model, rows.where("NOT is_train"))
     return evaluation.classification_report(held)
 
@@ -646,7 +646,7 @@ def train_line_clf(spark, d):
 @query
 def predict_lines(spark, d):
     rows = _windows(spark, d)
-    return learning.predict(learning.train(rows, features=4096, max_iter=30), rows).select("section_id", "line_no", "label", "predicted")
+    return learning.predict(learning.train(rows), rows).select("section_id", "line_no", "label", "predicted")
 
 
 @query
