@@ -3,8 +3,8 @@
 1. Every text becomes its set of word shingles and a MinHash signature. Texts with equal sets form a class, found
    by a digest; only one member of a class goes on, so copies are never compared with one another.
 2. Each tree of the forest orders the classes by a different run of signature values. Neighbours in an order whose
-   common prefix reaches ``MIN_DEPTH`` are candidates; how deep a region is looked at follows from how far its
-   neighbours agree. The number of candidates is linear: one a class and tree. The number of trees is set so that
+   common prefix reaches ``MIN_DEPTH`` are candidates. That depth is the same in every region: the number of
+   trees is computed for it, and a greater one in dense regions would lose pairs. Further values only sort. The number of candidates is linear: one a class and tree. The number of trees is set so that
    a pair at the threshold shares a region of no tree with probability 4e-7.
 3. Candidates are closed to families by contracting each class to its smallest neighbour until no edge is left.
 4. Families are confirmed exactly on full sets. A family of up to ``FAMILY_ROWS`` classes is confirmed by one task; a
