@@ -14,29 +14,33 @@ yields no shard. Extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.store import Scratch
+from quillstone.llm.text_bytes import bytes_of, row_slices
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 64
-#: Entries of a worker's memo of encoded pieces; it is emptied when full, which changes speed only.
+#: Words of a worker's memo; it is emptied when full, which changes speed only.
 MEMO_ENTRIES = 900_000
-#: White space other than single spaces and line ends, or a special token: the text is encoded in one call.
-RARE_SPACE = [0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
-WHOLE = re.compile("[" + "".join(map(chr, RARE_SPACE)) + "]|" + re.escape("<|endoftext|>"))
-RUNS = ("  ", " \n", "\n ", "\n\n")
-TAIL = ".,!?;:#$%&*"
+#: Bytes of text that are cut into pieces at once.
+CHUNK_BYTES = 16 << 20
+#: White space other than single spaces and line ends between words, or a special token: the text is encoded in one call.
+WHOLE = (
+    r"[\x09\x0B\x0C\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+    r"|<\|endoftext\|>|  | \n|\n |\n\n|^[ \n]|[ \n]$"
+)
+TAILED = r"^(?P<word>(?s:.*)\p{L})(?P<tail>[.,!?;:#$%&*]+)$"
 
 
 class PieceEncoder:
@@ -44,8 +48,9 @@ class PieceEncoder:
 
     The pre-tokenizer never joins a non-space with the space that follows it, nor a letter or digit with the
     punctuation that follows it, so the encoding of a text is the concatenation of the encodings of its pieces,
-    and that of a piece is its word's plus its tail's. Each is encoded once and remembered. Texts with runs of
-    white space or rare space characters, where this does not hold, are encoded in one call.
+    and that of a piece is its word's plus its tail's. Texts are cut, and equal pieces found, column-wise; only
+    different words meet the tokenizer, once each. Texts with runs of white space or rare space characters, where
+    this does not hold, are encoded in one call.
     """
 
     _of_worker: dict[tuple[str, int], PieceEncoder] = {}
@@ -61,7 +66,6 @@ class PieceEncoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes_of[i] = len(token)
         self.memo: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
 
     @classmethod
     def get(cls, path: str) -> PieceEncoder:
@@ -73,49 +77,64 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Pieces start with a line end, or stand for a space and themselves."""
-        memo, tailed, words = self.memo, [], set()
-        for p in pieces:
-            word = p.rstrip(TAIL)
-            if len(word) < len(p) and word and word[-1].isalpha():
-                tailed.append((p, word, p[len(word) :]))
-                if word not in memo:
-                    words.add(word)
-            else:
-                words.add(p)
-        order, width = list(words), self.dtype.itemsize
-        for k in range(0, len(order), 2048):
-            part = order[k : k + 2048]
+    def _learn(self, words: list[str]) -> None:
+        """Words start with a line end, or stand for a space and themselves."""
+        width = self.dtype.itemsize
+        for k in range(0, len(words), 2048):
+            part = words[k : k + 2048]
             texts = [w if w[:1] == "\n" else " " + w for w in part]
             ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.cumsum([len(t.encode()) for t in texts])
             cuts = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 1) * width).tolist()
             packed, at = ids.astype(self.dtype).tobytes(), 0
             for w, cut in zip(part, cuts):
-                memo[w] = packed[at:cut]
+                self.memo[w] = packed[at:cut]
                 at = cut
-        for p, word, tail in tailed:
-            if tail not in self.tails:
-                self.tails[tail] = self._whole(tail)
-            memo[p] = memo[word] + self.tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        look, split, new = self.memo.get, [], set()
-        for text in texts:
-            if not text or WHOLE.search(text) or any(run in text for run in RUNS) or text[0] in " \n" or text[-1] in " \n":
-                split.append(None)
-                continue
-            first, *pieces = text.replace("\n", " \n").split(" ")
-            found = list(map(look, pieces))
-            if None in found:
-                new.update(p for p, x in zip(pieces, found) if x is None)
-                found = None
-            split.append((first, pieces, found))
-        self._learn(new)
-        return [self._whole(t) if x is None else self._whole(x[0]) + b"".join(map(look, x[1]) if x[2] is None else x[2]) for t, x in zip(texts, split)]
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of different pieces, each cut into its word and the punctuation at its end."""
+        cut = pc.extract_regex(pieces, TAILED)
+        words = pc.coalesce(pc.struct_field(cut, "word"), pieces).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(cut, "tail"), "").dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.memo.get, different))
+        if None in found:
+            if len(self.memo) > MEMO_ENTRIES:
+                self.memo.clear()
+                found = [None] * len(found)
+            self._learn([w for w, x in zip(different, found) if x is None])
+            found = list(map(self.memo.__getitem__, different))
+        ends = [self._whole(t) for t in tails.dictionary.to_pylist()]
+        parts = (pa.array(x, pa.binary()).take(c.indices) for x, c in ((found, words), (ends, tails)))
+        return pc.binary_join_element_wise(*parts, b"")
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, ``end_id`` after each text, and the number of ids of each text."""
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, WHOLE)
+        lists = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        offsets, pieces = lists.offsets.to_numpy().astype(np.int64), lists.values
+        coded = pieces.dictionary_encode()
+        different, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        # The first piece has no space before it; of an odd text, it is the whole text.
+        first = pc.if_else(odd, texts, pieces.take(pa.array(offsets[:-1]))).dictionary_encode()
+        inner = np.ones(len(code), bool)
+        inner[offsets[:-1]] = False
+        used = np.zeros(len(different), bool)
+        used[code[inner]] = True
+        number = np.cumsum(used) - 1
+        table = self._pieces(different.filter(pa.array(used)))
+        code = number[code]
+        code[offsets[:-1]] = len(table) + first.indices.to_numpy().astype(np.int64)
+        others = [*(self._whole(t) for t in first.dictionary.to_pylist()), np.asarray([end_id], self.dtype).tobytes()]
+        row = np.arange(n)
+        places = np.empty(len(code) + n, np.int64)
+        places[np.arange(len(code)) + np.repeat(row, np.diff(offsets))] = code
+        places[offsets[1:] + row] = len(table) + len(others) - 1
+        found = pa.concat_arrays([table, pa.array(others, pa.binary())]).take(pa.array(places))
+        _, bounds, data = found.buffers()
+        bounds = np.frombuffer(bounds, np.int32)[: len(places) + 1][np.concatenate(([0], offsets[1:] + row + 1))].astype(np.int64)
+        return np.frombuffer(data, np.uint8)[: bounds[-1]].view(self.dtype), np.diff(bounds) // self.dtype.itemsize
 
 
 def _schema(dtype: np.dtype, seq_len: int) -> pa.Schema:
@@ -140,16 +159,15 @@ class _ShardWriter:
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
         self.stream.write_batch(pa.record_batch(lists, schema=self.schema))
 
-    def add(self, doc_ids: pa.Array, encoded: list[bytes]) -> None:
-        sizes = np.fromiter((len(x) // self.dtype.itemsize for x in encoded), np.int64, len(encoded))
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         starts = self.total + np.cumsum(sizes) - sizes
         self.index.write_batch(pa.record_batch([doc_ids, pa.array(starts), pa.array(sizes)], schema=INDEX))
-        flat = np.concatenate([self.left, np.frombuffer(b"".join(encoded), self.dtype)])
+        flat = np.concatenate([self.left, ids])
         step = self.seq_len * BATCH_SEQUENCES
         whole = len(flat) // step * step
         for k in range(0, whole, step):
             self._batch(flat[k : k + step], step)
-        self.left, self.total, self.docs = flat[whole:].copy(), self.total + int(sizes.sum()), self.docs + len(encoded)
+        self.left, self.total, self.docs = flat[whole:].copy(), self.total + int(sizes.sum()), self.docs + len(sizes)
 
     def close(self) -> None:
         if n := len(self.left):
@@ -168,8 +186,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, id_
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, writer, fs = PieceEncoder.get(tokenizer_path), None, None
-        end, shard = np.asarray([end_id], coder.dtype).tobytes(), TaskContext.get().partitionId()
+        coder, writer, fs, shard = PieceEncoder.get(tokenizer_path), None, None, TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -178,9 +195,9 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, id_
                 fs.create_dir(folder, recursive=True)
                 path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}"
                 writer = _ShardWriter(fs, path, coder.dtype, seq_len)
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                writer.add(part.column(0), [x + end for x in coder.encode(part.column(1).to_pylist())])
+            for row, stop in row_slices(bytes_of(batch.column(1))[1], CHUNK_BYTES):
+                part = batch.slice(row, stop - row)
+                writer.add(part.column(0), *coder.encode(part.column(1), end_id))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path.rsplit("/", 1)[1], "n_docs": writer.docs, "n_tokens": writer.total}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from quillstone.llm.store import Scratch
-from quillstone.llm.token_files import BATCH_SEQUENCES, open_shard, read_token_files, token_files, write_token_files
+from quillstone.llm.token_files import BATCH_SEQUENCES, PieceEncoder, open_shard, read_token_files, token_files, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "lang string, text string, doc_id long, start string"
@@ -56,3 +57,27 @@ def test_fixed_size_sequences_round_trip(spark):
         assert index.num_rows == m["n_docs"]
     assert ids == [x for _, t, _, _ in rows for x in [*tok.encode(t, add_special_tokens=False).ids, 0]]
     assert read_token_files(spark, out, manifest).count() == 60
+
+
+def test_pieces_equal_whole_texts():
+    rng, tok = random.Random(5), Tokenizer.from_file(PATH)
+    marks = ["a", "B", "é", "ß", "日", "🙂", "1", "42", "'s", "'", ".", "?!", "#", "-", "_", " ", " ", " ", "\n", "word", "Wort", "١", "̈", "ª", "½", "\t"]
+    texts = ["".join(rng.choice(marks[: rng.choice([5, 19, 26])]) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    coder = PieceEncoder(PATH)
+    for part in (texts[:1000], texts[1000:], [], ["", ""]):
+        ids, sizes = coder.encode(pa.array(part, pa.string()), 7)
+        ends = np.cumsum(sizes)
+        assert [ids[b - n : b].tolist() for b, n in zip(ends, sizes)] == [[*tok.encode(t, add_special_tokens=False).ids, 7] for t in part]
+
+
+def test_full_memo_changes_nothing(monkeypatch):
+    monkeypatch.setattr("quillstone.llm.token_files.MEMO_ENTRIES", 3)
+    coder, tok, texts = PieceEncoder(PATH), Tokenizer.from_file(PATH), ["one two three four five six", "five six seven, eight! nine", "one ten"]
+    assert [coder.encode(pa.array([t]), 0)[0].tolist() for t in texts] == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(1)
+    text = " ".join(f"{rng.choice(['Alpha', 'beta', 'gamma'])}{rng.randint(0, 9999)}{rng.choice(['', ',', '.'])}" for _ in range(400_000))
+    rows = [("en", text, 2, ""), ("en", "short", 1, "")]
+    assert sorted(map(tuple, token_files(spark.createDataFrame(rows, SCHEMA), PATH).collect())) == expected([(1, "short"), (2, text)])
