@@ -2,13 +2,16 @@
 
 1. Every text becomes its set of word shingles and a MinHash signature. Texts with equal sets form a class, found
    by a digest; only one member of a class goes on, so copies are never compared with one another.
-2. Each tree of the forest orders the classes by a different run of signature values. Neighbours in an order whose
-   common prefix reaches ``MIN_DEPTH`` are candidates. That depth is the same in every region: the number of
-   trees is computed for it, and a greater one in dense regions would lose pairs. Further values only sort. The number of candidates is linear: one a class and tree. The number of trees is set so that
-   a pair at the threshold shares a region of no tree with probability 4e-7.
+2. Each tree of the forest orders the classes by a run of ``MAX_DEPTH`` signature values of its own. Classes with a
+   common prefix form a region; its depth is adapted to its size: a region of more than ``REGION_ROWS`` classes at
+   depth ``MIN_DEPTH`` is cut into those of the next depth, and so on up to ``MAX_DEPTH``. Neighbours in an order whose
+   longest common prefix reaches the depth of their region are candidates, so their number is linear: one a class and
+   tree at most. The number of trees is set for the greatest depth: a pair at the threshold shares a region of
+   ``MAX_DEPTH`` in no tree with probability 4e-7; lower depths only add candidates where there are few. A region that
+   partitions of an order cut is linked at ``MIN_DEPTH`` across the cut.
 3. Candidates are closed to families by contracting each class to its smallest neighbour until no edge is left.
-4. Families are confirmed exactly on full sets. A family of up to ``FAMILY_ROWS`` classes is confirmed by one task; a
-   larger one is dealt to blocks of ``BLOCK_ROWS`` classes, and rounds of hubs, at most ``HUBS`` a family, go against
+4. Families are confirmed exactly on full sets. A family that fits a block of ``BLOCK_ROWS`` classes is confirmed at
+   once; a larger one is dealt to blocks, and rounds of hubs, at most ``HUBS`` a family, go against
    all its blocks. All links that matter to the components are found, without all
    pairs: a class is compared with the whole family until every class that was not compared lies in one component;
    classes with many links go first, so a family around one original needs few rounds.
@@ -32,17 +35,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.store import Scratch
-from quillstone.llm.text_bytes import mix, powers, shingles_of
+from quillstone.llm.text_bytes import bytes_of, mix, powers, shingles_of
 
 _U = np.uint64
-MIN_DEPTH, PATH_DEPTH = 4, 6
+MIN_DEPTH, MAX_DEPTH, REGION_ROWS = 4, 6, 8
 MISS = 4e-7
-FAMILY_ROWS, BLOCK_ROWS, HUBS = 20_000, 2_000, 256
+BLOCK_ROWS, HUBS = 256, 256
 SIGNED = "doc_id long, rk long, n_shingles long, node binary, signature binary"
 
 
 def trees_for(percent: int) -> int:
-    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** MIN_DEPTH))
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** MAX_DEPTH))
 
 
 def digests(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -78,13 +81,19 @@ def _sign(size: int, trees: int):
         for batch in batches:
             for row, values, offsets in shingles_of(batch.column(1), size):
                 sizes = np.diff(offsets)
-                signed = iter(signatures(values, offsets, trees * MIN_DEPTH))
+                signed = iter(signatures(values, offsets, trees * MAX_DEPTH))
                 packed = [next(signed).tobytes() if n else b"" for n in sizes.tolist()]
                 yield pa.record_batch([batch.column(0).slice(row, len(sizes)), batch.column(2).slice(row, len(sizes)), pa.array(sizes), pa.array(digests(values, offsets), pa.binary()), pa.array(packed, pa.binary())], schema=schema)
 
     return sign
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A matrix of bytes as a column of its rows."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
 def _orders(trees: int):
     """A row for each class and tree: the tree, the path of signature values in that order, the class."""
     def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,13 +101,11 @@ def _orders(trees: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                n = part.num_rows
-                signed = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u4").reshape(n, trees * MIN_DEPTH)
+                n, width = part.num_rows, 4 * MAX_DEPTH
+                signed = bytes_of(part.column(1))[0].reshape(n, trees, width)
                 for tree in range(trees):
-                    picked = signed[:, (tree * MIN_DEPTH + np.arange(PATH_DEPTH)) % signed.shape[1]]
-                    raw, width = np.ascontiguousarray(picked).tobytes(), 4 * PATH_DEPTH
-                    paths = [raw[k * width : k * width + width] for k in range(n)]
-                    yield pa.record_batch([pa.array(np.full(n, tree, np.int32)), pa.array(paths, pa.binary()), part.column(0)], schema=schema)
+                    paths = _binary(np.ascontiguousarray(signed[:, tree]))
+                    yield pa.record_batch([pa.array(np.full(n, tree, np.int32)), paths, part.column(0)], schema=schema)
 
     return orders
 
@@ -106,29 +113,52 @@ def _orders(trees: int):
 EDGES = pa.schema([("kind", pa.int32()), ("tree", pa.int32()), ("path", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
 
+def linked(common: np.ndarray) -> np.ndarray:
+    """Which neighbours are candidates, from the length of each pair's common prefix, in order.
+
+    A pair's region at a depth is the run of pairs around it whose common prefix reaches the depth.
+    """
+    out = common >= MAX_DEPTH
+    for depth in range(MIN_DEPTH, MAX_DEPTH):
+        inside = common >= depth
+        run = np.cumsum(~inside)
+        pairs = np.bincount(run, inside)
+        out |= inside & (pairs[run] < REGION_ROWS)
+    return out
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate edges of a sorted partition (kind 0), and its first and last row (kinds 1 and 2)."""
-    previous, depth = None, 4 * MIN_DEPTH
-    last = None
+    def end(kind: int, tree: np.ndarray, path: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"kind": kind, "tree": int(tree), "path": path.tobytes(), "a": node.tobytes(), "b": None}], schema=EDGES)
+
+    def edges(trees: np.ndarray, paths: np.ndarray, nodes: np.ndarray, done: int, last: bool) -> tuple[pa.RecordBatch, int]:
+        """Edges of the pairs from ``done`` to those whose region may go on in the next batch, and where those begin."""
+        same = (paths[1:].view(">u4") == paths[:-1].view(">u4")) & (trees[1:] == trees[:-1])[:, None]
+        stop = len(same) if last else max(done, len(same) - REGION_ROWS)
+        at = np.flatnonzero(linked(np.minimum.accumulate(same, 1).sum(1))[done:stop]) + done
+        n = len(at)
+        found = [pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), _binary(nodes[at]), _binary(nodes[at + 1])]
+        return pa.record_batch(found, schema=EDGES), stop
+
+    held, done = None, 0
     for batch in batches:
-        a, b = [], []
-        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-        if not rows:
+        n = batch.num_rows
+        if not n:
             continue
-        if last is None:
-            tree, path, node = rows[0]
-            yield pa.RecordBatch.from_pylist([{"kind": 1, "tree": tree, "path": path, "a": node, "b": None}], schema=EDGES)
-        for row in rows:
-            if previous is not None and previous[0] == row[0] and previous[1][:depth] == row[1][:depth]:
-                a.append(previous[2])
-                b.append(row[2])
-            previous = row
-        last = previous
-        if a:
-            n = len(a)
-            yield pa.record_batch([pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=EDGES)
-    if last is not None:
-        yield pa.RecordBatch.from_pylist([{"kind": 2, "tree": last[0], "path": last[1], "a": last[2], "b": None}], schema=EDGES)
+        rows = [batch.column(0).to_numpy(), bytes_of(batch.column(1))[0].reshape(n, -1), bytes_of(batch.column(2))[0].reshape(n, -1)]
+        if held is None:
+            yield end(1, *(x[0] for x in rows))
+            held = rows
+        else:
+            held = [np.concatenate(x) for x in zip(held, rows)]
+        out, done = edges(*held, done, False)
+        yield out
+        cut = max(0, done - REGION_ROWS)  # rows that tell how far a pair's region reaches back
+        held, done = [x[cut:].copy() for x in held], done - cut
+    if held is not None:
+        yield edges(*held, done, True)[0]
+        yield end(2, *(x[-1] for x in held))
 
 
 def candidates(classes: DataFrame, trees: int, scratch: Scratch) -> DataFrame:
@@ -139,7 +169,7 @@ def candidates(classes: DataFrame, trees: int, scratch: Scratch) -> DataFrame:
     # Neighbours across a partition's border: two rows a partition, stitched on the driver.
     ends = sorted((bytes(r.path), r.kind, bytes(r.a), r.tree) for r in found.where("kind > 0").collect())
     ends.sort(key=lambda e: (e[3], e[0], e[2]))
-    depth = 4 * MIN_DEPTH
+    depth = 4 * MIN_DEPTH  # a border tells nothing of its region's size
     stitched = [(x[2], y[2]) for x, y in zip(ends, ends[1:]) if x[3] == y[3] and x[0][:depth] == y[0][:depth] and x[2] != y[2]]
     borders = classes.sparkSession.createDataFrame(stitched, "a binary, b binary")
     edges = found.where("kind = 0").select("a", "b").unionByName(borders).where("a <> b")
@@ -326,7 +356,7 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     families = components(candidates(classes, trees, scratch), scratch)
     scratch.drop("neighbours")
     members = classes.select("node", "rep").join(families, "node").select("node", "rep", F.col("label").alias("family"))
-    large = scratch.table("large", members.groupBy("family").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > FAMILY_ROWS))
+    large = scratch.table("large", members.groupBy("family").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK_ROWS))
     own = texts.join(members.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("family", "node", "rep", "text")
     small = own if large.isEmpty() else own.join(large, "family", "left_anti")
     by_family = small.repartition("family").sortWithinPartitions("family")

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstone.llm import near_dup
-from quillstone.llm.near_dup import link_family, near_duplicates
+from quillstone.llm.near_dup import EDGES, MAX_DEPTH, MIN_DEPTH, REGION_ROWS, link_family, linked, near_duplicates, trees_for
 
 SCHEMA = "component_id string, text string, doc_id long, family int"
 
@@ -65,7 +66,6 @@ def test_matches_brute_force(spark, size, percent):
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
 def test_large_families_in_blocks(spark, size, percent, monkeypatch):
-    monkeypatch.setattr(near_dup, "FAMILY_ROWS", 5)
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 3)
     monkeypatch.setattr(near_dup, "HUBS", 6)
     rows = corpus()
@@ -94,3 +94,35 @@ def test_link_family_is_exact():
                     x, y = want[i], want[j]
                     want = [y if v == x else v for v in want]
         assert len({*zip(want, got.tolist())}) == len(set(want)) == len(set(got.tolist()))
+
+
+def test_depth_adapts_to_the_region():
+    small = [4] * (REGION_ROWS - 1)
+    large = [4] * REGION_ROWS
+    assert linked(np.array([*small, 0, *large, 3, 6, 4])).tolist() == [True] * len(small) + [False] * (len(large) + 2) + [True, True]
+    # A large region is cut at the next depth: its small parts are linked there, its large ones at the greatest depth.
+    part = [5] * REGION_ROWS
+    assert linked(np.array([4, 5, 4, *part, 6, 6, 4, 5])).tolist() == [False, True, False, *[False] * len(part), True, True, False, True]
+
+
+def test_neighbours_do_not_depend_on_batches():
+    """A sorted order in batches of one row to all rows gives the same candidates as the regions of the whole order."""
+    rng = np.random.default_rng(7)
+    paths = np.sort(np.ascontiguousarray(rng.integers(0, 3, (300, MAX_DEPTH)).astype(">u4")).view(f"V{4 * MAX_DEPTH}")[:, 0].astype(object))
+    paths = [bytes(p) for p in sorted(map(bytes, paths))]
+    nodes = [b"%016d" % k for k in range(300)]
+    cut = [0] * 200 + [1] * 100
+    paths = sorted(paths[:200]) + sorted(paths[200:])
+    common = [next((d for d in range(MAX_DEPTH) if a[4 * d : 4 * d + 4] != b[4 * d : 4 * d + 4]), MAX_DEPTH) if x == y else 0 for a, b, x, y in zip(paths, paths[1:], cut, cut[1:])]
+    want = {(nodes[k], nodes[k + 1]) for k in np.flatnonzero(linked(np.array(common)))}
+    table = pa.table([pa.array(cut, pa.int32()), pa.array(paths, pa.binary()), pa.array(nodes, pa.binary())], names=["tree", "path", "node"])
+    for size in (1, 2, 7, 50, 300):
+        found = pa.Table.from_batches(near_dup._neighbours(iter(table.to_batches(max_chunksize=size))), schema=EDGES).to_pylist()
+        assert {(r["a"], r["b"]) for r in found if r["kind"] == 0} == want
+        assert [r["a"] for r in found if r["kind"] == 1] == [nodes[0]] and [r["a"] for r in found if r["kind"] == 2] == [nodes[-1]]
+
+
+def test_trees_keep_the_miss_at_the_greatest_depth():
+    for percent in (80, 85):
+        share = (1 - (percent / 100) ** MAX_DEPTH) ** trees_for(percent)
+        assert share <= near_dup.MISS and MIN_DEPTH < MAX_DEPTH
