@@ -1,17 +1,20 @@
-"""Line de-duplication: repeated runs of lines, found by distributed prefix doubling over line ids.
+"""Line de-duplication: maximal repeated runs of lines, from the suffix array of line-id sequences.
 
 A document is the sequence of its lines that are not blank. Prefix doubling ranks all suffixes of all sequences by
-their first 1, 2, 4, ... lines: equal prefixes get equal ranks, the place of their first occurrence. A rank of length
-2h comes from the ranks of length h of a suffix and of the suffix h lines on, one grouping a round. Suffixes with
-equal ranks at ``min_lines`` form the intervals of the suffix order whose longest common prefix reaches
-``min_lines``. In each interval the first occurrence, by document id and line, stays; the others lose their run.
-Runs that overlap or touch are one maximal run, so longer repeats go as a whole, whatever their length: a repeat of
-more lines is the union of its windows of ``min_lines``, none of which occurs first after it. Longer ranks would remove
-the same lines, so the doubling ends there. A line of more than ``long_words`` words is a run by itself, judged by the
+their first 1, 2, 4, ... lines until no rank is shared: suffixes with equal ranks at length ``h`` are an interval of the
+suffix array whose longest common prefix reaches ``h``, named by the place of its first occurrence. A rank of length 2h comes
+from the ranks of length h of a suffix and of the suffix h lines on, one grouping a round. A suffix whose rank is its
+own is settled and leaves, so rounds shrink to what still repeats; copies settle at the end of their document.
+
+In each interval the first occurrence, by document id and line, stays; the others lose their run. The longest interval of
+each suffix counts: a maximal run of m lines is covered by those of its first and its last 2^k lines, so the union
+of these runs is that of all maximal repeated runs; runs that overlap or touch are one. ``min_lines`` is the least length
+of a run, and doubling goes through it. A line of more than ``long_words`` words is a run by itself, judged by the
 ranks of single lines.
 
 A rank is a minimum, so groupings combine on the map side; ranks go back to their lines by a join whose other side
-has one row a rank, which adaptive execution splits where a line is very frequent.
+has one row a rank, which adaptive execution splits where a line is very frequent. A window holds the lines of one
+document.
 
 Defined results. Null text is the empty text and has one, blank, line. Blank lines (white space only) never match
 and always stay. Documents with fewer lines than ``min_lines`` keep all but long lines. Repeated rows: one of them is the first.
@@ -33,39 +36,50 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
-def _ranked(rows: DataFrame, scratch: Scratch, name: str, *names: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the first occurrence (first_rid, first_line) of rows with equal, non-null ``names``; order by (doc_id, rid, line).
+def _ranked(rows: DataFrame, scratch: Scratch, name: str, *names: str) -> DataFrame:
+    """Rows whose ``names`` occur again, with the first occurrence (first_rid, first_line); order by (doc_id, rid, line).
 
-    Only ranks that occur again are looked up, from a written table: what occurs once is its own first occurrence,
-    and a plain side lets adaptive execution split a very frequent rank.
+    Ranks that occur once are left out. Shared ones are looked up from a written table: a plain side lets adaptive
+    execution split a very frequent rank.
     """
-    known = F.col(names[0]).isNotNull()
-    for n in names[1:]:
-        known = known & F.col(n).isNotNull()
-    first = rows.where(known).groupBy(*names).agg(F.min(F.struct("doc_id", "rid", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = scratch.table(f"first-{name}", first.select(*names, F.col("first.rid").alias("f_rid"), F.col("first.line").alias("f_line")))
-    joined = rows.join(found, list(names), "left")
-    own = lambda c, f: F.when(known, F.coalesce(F.col(f), F.col(c)))
-    return joined.select("doc_id", "rid", "line", *keep, own("rid", "f_rid").alias("first_rid"), own("line", "f_line").alias("first_line"))
+    first = rows.groupBy(*names).agg(F.min(F.struct("doc_id", "rid", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = scratch.table(f"first-{name}", first.select(*names, F.col("first.rid").alias("first_rid"), F.col("first.line").alias("first_line")))
+    kept = [c for c in rows.columns if c not in names]
+    return scratch.table(f"ranks-{name}", rows.join(found, list(names)).select(*kept, "first_rid", "first_line"))
 
 
 def repeated_starts(lines: DataFrame, min_lines: int, scratch: Scratch) -> DataFrame:
-    """(rid, line, length) of every run of ``min_lines`` lines, and of every long line, that occurred before.
+    """(rid, line, length): for every suffix the longest doubled length at which it occurred before, and long lines.
 
-    ``lines`` has doc_id, rid, line, long, one, two.
+    ``lines`` has doc_id, rid, line, long, one, two. Lengths are ``min_lines`` times powers of two.
     """
-    ranks = scratch.table("ranks-1", _ranked(lines, scratch, "1", "one", "two", keep=("long",)))
     again = F.expr("first_rid <> rid OR first_line <> line")
-    single = ranks.where("long").where(again).select("rid", "line", F.lit(1).alias("length"))
-    h = 1
+    ranks = _ranked(lines, scratch, "1", "one", "two")
+    found = ranks.where("long").where(again).select("rid", "line", F.lit(1).alias("length"))
+    ranks, h = ranks.drop("long"), 1
     order = Window.partitionBy("rid").orderBy("line")
-    while h < min_lines:
-        ahead = min(h, min_lines - h)  # the last round overlaps its halves where the length is no power of two
-        both = ranks.withColumn("next_rid", F.lead("first_rid", ahead).over(order)).withColumn("next_line", F.lead("first_line", ahead).over(order))
-        both = both.withColumnsRenamed({"first_rid": "own_rid", "first_line": "own_line"})
+    while True:
+        if h >= min_lines:
+            found = found.unionByName(ranks.where(again).select("rid", "line", F.lit(h).alias("length")))
+        # On the way to ``min_lines`` the halves overlap where that is no power of two.
+        ahead = min(h, min_lines - h) if h < min_lines else h
+        there = order.rangeBetween(ahead, ahead)  # the suffix ``ahead`` lines on, if it shares its rank
+        both = ranks.withColumn("next", F.first(F.struct("first_rid", "first_line")).over(there)).where("next IS NOT NULL")
+        both = both.select("doc_id", "rid", "line", F.col("first_rid").alias("own_rid"), F.col("first_line").alias("own_line"), F.col("next.first_rid").alias("next_rid"), F.col("next.first_line").alias("next_line"))
         h += ahead
-        ranks = scratch.table(f"ranks-{h}", _ranked(both, scratch, str(h), "own_rid", "own_line", "next_rid", "next_line"))
-    return ranks.where(again).select("rid", "line", F.lit(min_lines).alias("length")).unionByName(single)
+        ranks = _ranked(both, scratch, str(h), "own_rid", "own_line", "next_rid", "next_line")
+        if ranks.isEmpty():
+            break
+    return found.groupBy("rid", "line").agg(F.max("length").alias("length"))
+
+
+def maximal_runs(starts: DataFrame) -> DataFrame:
+    """(rid, first, last) of the union of runs; runs that overlap or touch are one."""
+    by = Window.partitionBy("rid")
+    reached = F.max(F.col("line") + F.col("length")).over(by.orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    marked = starts.withColumn("begins", F.coalesce(F.col("line") > reached, F.lit(True)).cast("int"))
+    numbered = marked.withColumn("run", F.sum("begins").over(by.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("rid", "run").agg(F.min("line").alias("first"), (F.max(F.col("line") + F.col("length")) - 1).alias("last")).drop("run")
 
 
 def line_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
@@ -81,13 +95,10 @@ def line_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     long = (F.length("x.content") > 2 * long_words) & (F.regexp_count("x.content", F.lit(WORD)) > long_words)
     lines = lines.select("doc_id", "rid", "line", "x.place", long.alias("long"), F.xxhash64("x.content").alias("one"), F.xxhash64(F.lit(1), "x.content").alias("two"))
     lines = scratch.table("lines", lines)
-    # Start s removes lines s .. s + length - 1.
-    starts = repeated_starts(lines.drop("place"), min_lines, scratch)
-    removed = starts.select("rid", F.explode(F.sequence("line", F.col("line") + F.col("length") - 1)).alias("line")).distinct()
-    before = F.lag("line").over(Window.partitionBy("rid").orderBy("line"))
-    removed = removed.withColumn("first", F.coalesce(before < F.col("line") - 1, F.lit(True)).cast("int"))
+    runs = maximal_runs(repeated_starts(lines.drop("place"), min_lines, scratch))
+    removed = runs.select("rid", F.explode(F.sequence("first", "last")).alias("line"), F.col("first"))
     removed = removed.join(lines.select("rid", "line", "place"), ["rid", "line"])
-    gone = removed.groupBy("rid").agg(F.sort_array(F.collect_list("place")).alias("places"), F.sum("first").cast("int").alias("n_runs"))
+    gone = removed.groupBy("rid").agg(F.sort_array(F.collect_list("place")).alias("places"), F.count_if(F.col("line") == F.col("first")).cast("int").alias("n_runs"))
     joined = texts.join(scratch.table("gone", gone).hint("shuffle_hash"), "rid", "left")
     n = F.size("places")
 

@@ -96,7 +96,13 @@ s AS (
   SELECT rid, line FROM (
     SELECT *, row_number() OVER (PARTITION BY content, following ORDER BY doc_id, rid, line) AS nth
     FROM l WHERE following IS NOT NULL) WHERE nth > 1),
-gone AS (SELECT DISTINCT rid, line + k AS line FROM s, (VALUES (0), (1)) t(k)),
+single AS (
+  SELECT rid, line FROM (
+    SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, rid, line) AS nth
+    FROM l WHERE len(regexp_extract_all(content, '[^\x20\x09-\x0D]+')) > 50) WHERE nth > 1),
+gone AS (
+  SELECT rid, line + k AS line FROM s, (VALUES (0), (1)) t(k)
+  UNION SELECT rid, line FROM single),
 runs AS (
   SELECT rid, count(*) AS n_removed, count(*) FILTER (WHERE line - before > 1 OR before IS NULL) AS n_runs
   FROM (SELECT *, lag(line) OVER (PARTITION BY rid ORDER BY line) AS before FROM gone) GROUP BY rid),
