@@ -11,8 +11,8 @@
    partitions of an order cut is linked at ``MIN_DEPTH`` across the cut.
 3. Candidates are closed to families by contracting each class to its smallest neighbour until no edge is left.
 4. Families are confirmed exactly on full sets. A family that fits a block of ``BLOCK_ROWS`` classes is confirmed at
-   once; a larger one is dealt to blocks, and rounds of hubs, at most ``HUBS`` a family, go against
-   all its blocks. All links that matter to the components are found, without all
+   once; a larger one is dealt to blocks, and rounds of ever more hubs, at most ``HUBS`` a family and round, go
+   against all its blocks. All links that matter to the components are found, without all
    pairs: a class is compared with the whole family until every class that was not compared lies in one component;
    classes with many links go first, so a family around one original needs few rounds.
 
@@ -40,7 +40,9 @@ from quillstone.llm.text_bytes import bytes_of, mix, powers, shingles_of
 _U = np.uint64
 MIN_DEPTH, MAX_DEPTH, REGION_ROWS = 4, 6, 8
 MISS = 4e-7
-BLOCK_ROWS, HUBS = 256, 256
+BLOCK_ROWS = 256
+#: Hubs of a family in the first round, four times as many in each further one, and the most in a round.
+FIRST_HUBS, HUBS = 128, 4096
 SIGNED = "doc_id long, rk long, n_shingles long, node binary, signature binary"
 
 
@@ -317,30 +319,33 @@ def link_large(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """
     nodes = scratch.table("large-nodes", sets.select("family", "node", "rep"))
     blocks = scratch.table("blocks", sets.select("family", "block").distinct())
-    labels, links, done, k = nodes.select("family", "node", F.col("node").alias("label")), None, None, 0
+    labels, seen, done, k = nodes.select("family", "node", F.col("node").alias("label")), None, None, 0
     while True:
-        k += 1
         waiting = labels.join(done, "node", "left_anti") if done is not None else labels
         counts = waiting.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
         giants = scratch.table(f"giants-{k}", counts.groupBy("family").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("family", F.col("most.label").alias("giant")))
         if giants.isEmpty():
             break
         waiting = waiting.join(giants, "family").withColumn("inside", F.col("label") == F.col("giant"))
-        if links is not None:
-            degree = links.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("degree")).withColumnRenamed("a", "node")
-            waiting = waiting.join(degree, "node", "left")
+        if seen is not None:
+            waiting = waiting.join(seen.groupBy("node").agg(F.sum("links").alias("degree")), "node", "left")
         else:
             waiting = waiting.withColumn("degree", F.lit(0))
         best = Window.partitionBy("family", "inside").orderBy(F.col("degree").desc_nulls_last(), "node")
-        chosen = waiting.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= min(HUBS, 16 << k) // 2)
+        chosen = waiting.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= min(HUBS, FIRST_HUBS << (2 * k)) // 2)
         hubs = scratch.table(f"hubs-{k}", chosen.select("node").join(sets, "node").select("family", "node", "values"))
         dealt = hubs.join(blocks, "family")
-        met = sets.groupBy("family", "block").cogroup(dealt.groupBy("family", "block")).applyInArrow(_meet(percent), "a binary, b binary, links long")
-        new = scratch.table(f"links-{k}", met if links is None else links.unionByName(met))
-        links = new.groupBy("a", "b").agg(F.sum("links").alias("links"))
+        met = scratch.table(f"links-{k}", sets.groupBy("family", "block").cogroup(dealt.groupBy("family", "block")).applyInArrow(_meet(percent), "a binary, b binary, links long"))
+        counted = met.where("b IS NULL").select(F.col("a").alias("node"), "links")
+        seen = counted if seen is None else seen.unionByName(counted)
         done = hubs.select("node") if done is None else done.union(hubs.select("node"))
-        found = components(links.where("b IS NOT NULL").select("a", "b"), Scratch(scratch.spark, "near-large"))
-        labels = scratch.table(f"large-labels-{k}", nodes.join(found, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label")))
+        # New links join the components so far, which stand for their classes.
+        own, other = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        between = met.where("b IS NOT NULL").select("a", "b").join(own, "a").join(other, "b").where("x <> y")
+        found = components(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), Scratch(scratch.spark, "near-large"))
+        moved = found.select(F.col("node").alias("label"), F.col("label").alias("into"))
+        labels = scratch.table(f"large-labels-{k}", labels.join(moved, "label", "left").select("family", "node", F.coalesce("into", "label").alias("label")))
+        k += 1
     named = labels.join(nodes.select("node", "rep"), "node")
     least = named.groupBy("label").agg(F.min("rep").alias("component"), F.min("node").alias("group"))
     return named.join(least, "label").select("node", "component", "group")

@@ -67,7 +67,8 @@ def test_matches_brute_force(spark, size, percent):
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
 def test_large_families_in_blocks(spark, size, percent, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 3)
-    monkeypatch.setattr(near_dup, "HUBS", 6)
+    monkeypatch.setattr(near_dup, "FIRST_HUBS", 2)
+    monkeypatch.setattr(near_dup, "HUBS", 8)
     rows = corpus()
     df = spark.createDataFrame([("x", t, d, 1) for d, t in rows], SCHEMA).repartition(5)
     got = near_duplicates(df, size=size, percent=percent).collect()
