@@ -35,6 +35,14 @@ def clean(spark: SparkSession) -> None:
     delete(spark, f"{shared_dir(spark)}/quillstone")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class Scratch:
     """Named tables of one operator run; ``drop()`` deletes those that are no longer read."""
 
