@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.store import Scratch
+from quillstone.llm.store import Scratch, free_name
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -125,7 +125,14 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     lists = rows.groupBy("key", "before").agg(F.collect_list("position").alias("positions")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("before", "positions"))).alias("lists"))
     lists = scratch.table("positions", lists)
     # Equal rows share a key; each of them takes the positions of another place in the demand.
-    marked = docs.withColumn("__key", key).withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1))))
-    joined = marked.join(lists.withColumnRenamed("key", "__key").hint("shuffle_hash"), "__key")
-    taken = joined.select(*docs.columns, F.explode(F.try_element_at("lists", F.col("__nth"))["positions"]).alias("position"))
-    return taken.orderBy("position")
+    own, nth, places = (free_name(docs, n) for n in ("key", "nth", "lists"))
+    marked = docs.withColumn(own, key).withColumn(nth, F.row_number().over(Window.partitionBy(own).orderBy(F.lit(1))))
+    joined = marked.join(lists.select(F.col("key").alias(own), F.col("lists").alias(places)).hint("shuffle_hash"), own)
+    position_col = position_name(docs)
+    taken = joined.select(*docs.columns, F.explode(F.try_element_at(places, F.col(nth))["positions"]).alias(position_col))
+    return taken.orderBy(position_col)
+
+
+def position_name(docs: DataFrame) -> str:
+    """The column that ``schedule`` adds to ``docs``: ``position``, with underscores before it where that is taken."""
+    return free_name(docs, "position")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.store import Scratch
+from quillstone.llm.store import Scratch, free_name
 from quillstone.llm.text_bytes import bytes_of, mix, powers, shingles_of
 
 _U = np.uint64
@@ -64,16 +64,16 @@ def digests(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
-    """Smallest scrambled value of each non-empty set under ``n`` permutations, its upper 32 bits."""
+    """Smallest scrambled value of each non-empty set under ``n`` permutations, its lower 16 bits: the upper ones are small."""
     starts = offsets[:-1][np.diff(offsets) > 0]
-    out = np.empty((len(starts), n), ">u4")
+    out = np.empty((len(starts), n), ">u2")
     if len(starts):
         up = powers(2 * n + 2)[0]
         work = np.empty_like(values)
         for k in range(n):
             np.bitwise_xor(values, mix(up[2 * k + 1 : 2 * k + 2])[0], out=work)
             np.multiply(work, up[2 * k + 2] | _U(1), out=work)
-            out[:, k] = np.minimum.reduceat(work, starts) >> _U(32)
+            out[:, k] = np.minimum.reduceat(work, starts) & _U(0xFFFF)
     return out
 
 
@@ -103,7 +103,7 @@ def _orders(trees: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                n, width = part.num_rows, 4 * MAX_DEPTH
+                n, width = part.num_rows, 2 * MAX_DEPTH
                 signed = bytes_of(part.column(1))[0].reshape(n, trees, width)
                 for tree in range(trees):
                     paths = _binary(np.ascontiguousarray(signed[:, tree]))
@@ -136,7 +136,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def edges(trees: np.ndarray, paths: np.ndarray, nodes: np.ndarray, done: int, last: bool) -> tuple[pa.RecordBatch, int]:
         """Edges of the pairs from ``done`` to those whose region may go on in the next batch, and where those begin."""
-        same = (paths[1:].view(">u4") == paths[:-1].view(">u4")) & (trees[1:] == trees[:-1])[:, None]
+        same = (paths[1:].view(">u2") == paths[:-1].view(">u2")) & (trees[1:] == trees[:-1])[:, None]
         stop = len(same) if last else max(done, len(same) - REGION_ROWS)
         at = np.flatnonzero(linked(np.minimum.accumulate(same, 1).sum(1))[done:stop]) + done
         n = len(at)
@@ -171,7 +171,7 @@ def candidates(classes: DataFrame, trees: int, scratch: Scratch) -> DataFrame:
     # Neighbours across a partition's border: two rows a partition, stitched on the driver.
     ends = sorted((bytes(r.path), r.kind, bytes(r.a), r.tree) for r in found.where("kind > 0").collect())
     ends.sort(key=lambda e: (e[3], e[0], e[2]))
-    depth = 4 * MIN_DEPTH  # a border tells nothing of its region's size
+    depth = 2 * MIN_DEPTH  # a border tells nothing of its region's size
     stitched = [(x[2], y[2]) for x, y in zip(ends, ends[1:]) if x[3] == y[3] and x[0][:depth] == y[0][:depth] and x[2] != y[2]]
     borders = classes.sparkSession.createDataFrame(stitched, "a binary, b binary")
     edges = found.where("kind = 0").select("a", "b").unionByName(borders).where("a <> b")
@@ -389,10 +389,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each group, that of the smallest id; rows without shingles all stay. Columns are kept."""
     found = Scratch(docs.sparkSession, "groups").table("found", grouped(docs, id_col=id_col, text_col=text_col, **options))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk"))
-    chosen = found.where(F.col("group").isNotNull()).groupBy("group").agg(first.alias("first")).select(F.col("first.rk").alias("__rk"), F.lit(True).alias("__one"))
-    blank = found.where(F.col("group").isNull()).select(F.col("rk").alias("__rk"), F.lit(False).alias("__one")).distinct()
-    marked = docs.withColumn("__rk", F.xxhash64(F.col(id_col), F.col(text_col)))
-    left = marked.join(chosen.unionByName(blank).hint("shuffle_hash"), "__rk")
+    rk, one, nth = (free_name(docs, n) for n in ("rk", "one_of_group", "nth_of_row"))
+    chosen = found.where(F.col("group").isNotNull()).groupBy("group").agg(first.alias("first")).select(F.col("first.rk").alias(rk), F.lit(True).alias(one))
+    blank = found.where(F.col("group").isNull()).select(F.col("rk").alias(rk), F.lit(False).alias(one)).distinct()
+    marked = docs.withColumn(rk, F.xxhash64(F.col(id_col), F.col(text_col)))
+    left = marked.join(chosen.unionByName(blank).hint("shuffle_hash"), rk)
     # Equal rows share a key: one of them stays, unless they have no shingles.
-    nth = F.row_number().over(Window.partitionBy("__rk").orderBy(F.lit(1)))
-    return left.withColumn("__nth", nth).where("__nth = 1 OR NOT __one").select(*docs.columns)
+    number = F.row_number().over(Window.partitionBy(rk).orderBy(F.lit(1)))
+    return left.withColumn(nth, number).where((F.col(nth) == 1) | ~F.col(one)).select(*docs.columns)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.store import Scratch
+from quillstone.llm.store import Scratch, free_name
 
 MAX_SAMPLE = 20_000
 TREES, DEPTH, BINS, SHRINK, LASSO, ROUNDS = 40, 3, 32, 0.3, 0.002, 400
@@ -183,6 +183,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, **options) -> DataFrame:
     """``docs`` without those that score below ``least``; columns and repeated rows are kept."""
-    bad = scored(docs, labels, id_col=id_col, text_col=text_col, **options).where(F.col("score") < least).select(F.col("rk").alias("__rk")).distinct()
-    marked = docs.withColumn("__rk", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return marked.join(bad.hint("shuffle_hash"), "__rk", "left_anti").select(*docs.columns)
+    key = free_name(docs, "rk")
+    bad = scored(docs, labels, id_col=id_col, text_col=text_col, **options).where(F.col("score") < least).select(F.col("rk").alias(key)).distinct()
+    marked = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    return marked.join(bad.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)

@@ -52,10 +52,13 @@ def test_targets_and_taken(spark):
 
 def test_schedule_keeps_columns_and_order(spark):
     rows, df = corpus(spark)
-    out = schedule(df.drop("position"))
-    assert out.columns == ["doc_id", "text", "source", "taken", "position"]
+    clash = df.withColumns({n: F.col("taken") for n in ("lists", "key", "nth", "positions")})
+    out = schedule(clash)
+    assert out.columns == [*clash.columns, "_position"]
     got = out.toPandas()
-    assert got["position"].between(0, 1).all() and got["position"].is_monotonic_increasing
+    assert got["_position"].between(0, 1).all() and got["_position"].is_monotonic_increasing
+    assert {(repr(r.doc_id), r.position, r.lists) for r in clash.collect() if r.text} >= {(repr(None if d != d else int(d)), p, n) for d, p, n in zip(got.doc_id, got.position, got.lists)}
+    assert schedule(df.drop("position")).columns == ["doc_id", "text", "source", "taken", "position"]
     taken = mix(df).groupBy("doc_id", "size").agg(F.sum("taken").alias("t"), F.count("*").alias("n")).collect()
     copies = collections.Counter((None if d != d else int(d), len((t or "").split())) for d, t in zip(got.doc_id, got.text))
     for r in taken:
@@ -78,7 +81,7 @@ def test_schedule_is_inverted(spark):
 
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert mix(empty).count() == 0 and schedule(empty.drop("position")).count() == 0
+    assert mix(empty).count() == 0 and schedule(empty).count() == 0
     blank = spark.createDataFrame([(1, "", "a", 1, "x")], SCHEMA)
     assert [(r.taken, r.target) for r in mix(blank).collect()] == [(0, 0.0)]
     assert targets(blank.selectExpr("source", "0L size")).count() == 1

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from quillstone.llm import near_dup
-from quillstone.llm.near_dup import EDGES, MAX_DEPTH, MIN_DEPTH, REGION_ROWS, link_family, linked, near_duplicates, trees_for
+from quillstone.llm.near_dup import EDGES, MAX_DEPTH, MIN_DEPTH, REGION_ROWS, link_family, linked, keep_one, near_duplicates, trees_for
 
 SCHEMA = "component_id string, text string, doc_id long, family int"
 
@@ -109,12 +109,11 @@ def test_depth_adapts_to_the_region():
 def test_neighbours_do_not_depend_on_batches():
     """A sorted order in batches of one row to all rows gives the same candidates as the regions of the whole order."""
     rng = np.random.default_rng(7)
-    paths = np.sort(np.ascontiguousarray(rng.integers(0, 3, (300, MAX_DEPTH)).astype(">u4")).view(f"V{4 * MAX_DEPTH}")[:, 0].astype(object))
-    paths = [bytes(p) for p in sorted(map(bytes, paths))]
+    paths = [row.tobytes() for row in rng.integers(0, 3, (300, MAX_DEPTH)).astype(">u2")]
     nodes = [b"%016d" % k for k in range(300)]
     cut = [0] * 200 + [1] * 100
     paths = sorted(paths[:200]) + sorted(paths[200:])
-    common = [next((d for d in range(MAX_DEPTH) if a[4 * d : 4 * d + 4] != b[4 * d : 4 * d + 4]), MAX_DEPTH) if x == y else 0 for a, b, x, y in zip(paths, paths[1:], cut, cut[1:])]
+    common = [next((d for d in range(MAX_DEPTH) if a[2 * d : 2 * d + 2] != b[2 * d : 2 * d + 2]), MAX_DEPTH) if x == y else 0 for a, b, x, y in zip(paths, paths[1:], cut, cut[1:])]
     want = {(nodes[k], nodes[k + 1]) for k in np.flatnonzero(linked(np.array(common)))}
     table = pa.table([pa.array(cut, pa.int32()), pa.array(paths, pa.binary()), pa.array(nodes, pa.binary())], names=["tree", "path", "node"])
     for size in (1, 2, 7, 50, 300):
@@ -127,3 +126,11 @@ def test_trees_keep_the_miss_at_the_greatest_depth():
     for percent in (80, 85):
         share = (1 - (percent / 100) ** MAX_DEPTH) ** trees_for(percent)
         assert share <= near_dup.MISS and MIN_DEPTH < MAX_DEPTH
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [("a b c d e f", 1, 0, 0, 0, 0), ("a b c d e f", 2, 0, 0, 0, 0), ("", 3, 7, 7, 7, 7), ("", 3, 7, 7, 7, 7), (None, None, 1, 1, 1, 1), ("a b c d e f", 1, 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "text string, doc_id long, rk int, one_of_group int, nth_of_row int, _rk int")
+    kept = keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[3], rows[4]], key=repr)

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillstone.llm.quality import fit_rules, score_quality, statistics
+from quillstone.llm.quality import fit_rules, keep_good, score_quality, statistics
 
 SCHEMA = "doc_id long, text string, score string, y int"
 LABELS = "doc_id long, quality int, text string"
@@ -65,3 +65,10 @@ def test_rules_are_sparse_and_compile_to_what_numpy_computes(spark):
 def test_statistics_of_empty_text_are_zero(spark):
     row = spark.createDataFrame([("",)], "text string").select(*[c.alias(n) for n, c in statistics(F.col("text")).items()]).first()
     assert all(v == 0 for v in row)
+
+
+def test_keep_good_with_clashing_columns(spark):
+    rows, labels = corpus()
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], SCHEMA + ", rk int")
+    kept = keep_good(df, spark.createDataFrame(labels, LABELS))
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, q, _ in labels if q}
