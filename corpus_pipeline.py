@@ -3,6 +3,11 @@
 Every stage works on all rows that the one before kept, and returns the columns of ``documents``; the last one
 returns what the token files hold: doc_id, start, n_tokens, ids_crc32, a row for each document it was given.
 Stages are written as Parquet and read again, so a lost executor costs a stage at most.
+
+Defined results. A null text counts as empty, is never a near-duplicate or a leak, has no share in the mix and so leaves
+there. Null ids are larger than others among near-duplicates and come first in the token files. Of equal rows one
+stays, but of those without words all do until the mix. Extra columns are carried to the mix, whatever their names.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, repeated as often as their source's target asks for."""
-    return schedule(docs).drop("position")
+    return schedule(docs).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
