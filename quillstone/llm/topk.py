@@ -1,19 +1,24 @@
 """Exact top-k inner-product search by a vector-approximation file.
 
-Components become integers ``floor(scale * x)``. Vectors are stored in blocks; a block holds each component's cell
-number (one byte, ``CELLS`` equal cells between the block's lowest and highest value of that component) beside the
-exact integers. A query first scans the cells: from a cell's centre and half width follow a lower and an upper
-bound of the score. The k-th largest lower bound already decides which vectors can matter; those are read exactly,
-by falling upper bound, until the k-th exact score exceeds the next bound. The result is exact.
+Components become integers ``floor(scale * x)``. The approximation file holds vectors in blocks, by the number of
+each component's cell alone: one byte, ``CELLS`` equal cells between the block's lowest and highest value of that
+component. The exact vectors lie in a table of their own.
+
+1. Every query scans the cells. From a cell's lower edge and width follow a lower and an upper bound of the score:
+   a product of bytes with the query, in single precision, plus a slack that covers the cells' widths and the
+   rounding. The k-th largest lower bound that a task has seen decides which vectors it passes on, and then that of all tasks
+   which of those remain.
+2. Exact vectors are read in order of the bound: first the ``FIRST * k`` with the highest upper bounds; then, of the rest,
+   those whose upper bound still reaches the k-th exact score. No other can be among the k best: the result is exact.
 
 Queries go against all blocks in rounds of at most ``ROUND_VALUES`` components, so what is broadcast has a fixed
-size however many queries there are. Each task returns at most k rows a query, merged by a ranked window.
+size however many queries there are.
 
 Defined results. Vectors that are null or hold a null or non-finite component take no part, as query or candidate.
-Vectors only meet vectors of their own length; empty vectors score 0. A candidate that shares the query's id is
-not returned, so that repeated rows of an id never answer themselves; repeated candidate ids all count. Every query
-row has its own ranks, also where ids repeat. Rows with null ids take no part. An empty table gives no rows. Extra
-columns are ignored. Scores are 64-bit integers; exact below 2**63.
+Vectors only meet vectors of their own length; empty vectors score 0. A query's own row is not returned; other rows of the
+same id are, and repeated candidates all count. Every query row has its own ranks, also where ids repeat. Null ids are
+candidates like others, after all ids where scores are equal. An empty table gives no rows. Extra columns are ignored.
+Scores are 64-bit integers; exact below 2**63.
 """
 
 from __future__ import annotations
@@ -30,26 +35,29 @@ from quillstone.llm.store import Scratch
 CELLS = 64
 BLOCK = 4096
 QUERY_TILE = 128
+#: Exact vectors read for a query before the k-th exact score is known, in multiples of k.
+FIRST = 4
 #: Components of the queries of a round: 32 MB as 64-bit integers.
 ROUND_VALUES = 4_000_000
-BLOCK_SCHEMA = "dim int, n int, ids binary, low binary, step binary, cells binary, exact binary"
-ANSWERS = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+BLOCK_SCHEMA = "dim int, n int, rows binary, low binary, step binary, cells binary"
+BOUNDS = pa.schema([("query_row", pa.int64()), ("row", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
+BOUNDS_DDL = "query_row long, row long, lower double, upper double"
 
 
 def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of (vec_id, list of longs) to blocks of one dimension each."""
-    schema = pa.schema([("dim", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("ids", "low", "step", "cells", "exact"))])
+    """Arrow batches of (row, list of longs) to blocks of one dimension each."""
+    schema = pa.schema([("dim", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("rows", "low", "step", "cells"))])
     waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def block(dim: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        ids, x = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+        rows, x = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
         low = x.min(0)
         step = (x.max(0) - low) // CELLS + 1
         cells = ((x - low) // step).astype(np.uint8)
-        return pa.RecordBatch.from_pylist([{"dim": dim, "n": len(ids), "ids": ids.tobytes(), "low": low.tobytes(), "step": step.tobytes(), "cells": cells.tobytes(), "exact": x.tobytes()}], schema=schema)
+        return pa.RecordBatch.from_pylist([{"dim": dim, "n": len(rows), "rows": rows.tobytes(), "low": low.tobytes(), "step": step.tobytes(), "cells": cells.tobytes()}], schema=schema)
 
     for batch in batches:
-        ids, lists = batch.column(0).to_numpy(), batch.column(1)
+        numbers, lists = batch.column(0).to_numpy(), batch.column(1)
         flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
         lengths = np.diff(offsets)
         for dim in np.unique(lengths).tolist():
@@ -57,7 +65,7 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = flat[offsets[rows][:, None] + np.arange(dim)].astype(np.int64)
             parts = waiting.setdefault(dim, [])
             for k in range(0, len(rows), BLOCK):
-                parts.append((ids[rows[k : k + BLOCK]], x[k : k + BLOCK]))
+                parts.append((numbers[rows[k : k + BLOCK]], x[k : k + BLOCK]))
                 if sum(len(a) for a, _ in parts) >= BLOCK:
                     yield block(dim, waiting.pop(dim))
                     parts = waiting.setdefault(dim, [])
@@ -66,43 +74,31 @@ def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield block(dim, parts)
 
 
-def _search(query: np.ndarray, query_id: int, ids: np.ndarray, exact: np.ndarray, upper: np.ndarray, enough: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block for one query: exact vectors in falling order of the upper bound until certain."""
-    maybe = np.flatnonzero((upper >= enough) & (ids != query_id))
-    maybe = maybe[np.argsort(-upper[maybe], kind="stable")]
-    best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-    for at in range(0, len(maybe), 4 * k):
-        if len(best) >= k and upper[maybe[at]] < best[k - 1]:
-            break
-        rows = maybe[at : at + 4 * k]
-        best_ids, best = np.concatenate([best_ids, ids[rows]]), np.concatenate([best, exact[rows] @ query])
-        keep = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[keep], best[keep]
-    return best_ids, best
-
-
-def scan_block(dim: int, ids: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray, exact: np.ndarray, queries: list[tuple[int, int, np.ndarray]], k: int, floor: dict[int, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(query row, query id, vec ids, scores) of a block; ``floor`` holds a task's best scores so far by query row."""
-    half = (step - 1) / 2.0
-    centre = low + cells * step.astype(np.float64) + half
+def bounds(low: np.ndarray, step: np.ndarray, cells: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores, query by vector, from cells alone."""
+    weight = queries * step.astype(np.float64)
+    inner = weight.astype(np.float32) @ cells.astype(np.float32).T
+    rest = (step - 1) * queries  # how far a component may lie above its cell's lower edge, times the query's
+    base = queries.astype(np.float64) @ low.astype(np.float64)
+    rounding = (len(step) + 4) * 2.0**-22 * np.abs(weight).sum(1) * CELLS + 1e-9 * (np.abs(queries) @ np.abs(low).astype(np.float64)) + 1e-9
+    edge = base[:, None] + inner
+    return edge + (np.minimum(rest, 0).sum(1) - rounding)[:, None], edge + (np.maximum(rest, 0).sum(1) + rounding)[:, None]
+
+
+def scan_block(rows: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray, query_rows: np.ndarray, own: np.ndarray, queries: np.ndarray, floor: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query row, row, lower, upper) of what may be among the k best; ``floor`` has the k highest lower bounds so far
+    of each query, and is raised. ``own`` is each query's own row."""
+    k = floor.shape[1]
     for at in range(0, len(queries), QUERY_TILE):
-        tile = queries[at : at + QUERY_TILE]
-        q = np.stack([x for _, _, x in tile]).astype(np.float64).reshape(len(tile), dim)
-        middle, slack = q @ centre.T, np.abs(q) @ half
-        slack = slack + 1e-9 * (np.abs(q).sum(1) * (np.abs(centre).max() if centre.size else 0) + 1)
-        for row, (query_row, query_id, query) in enumerate(tile):
-            # A lower bound of the k-th best: among k + 1 vectors, as one may be the query itself; repeated ids are looked up.
-            own = int((ids == query_id).sum())
-            need = k + own
-            enough = np.partition(middle[row], -need)[-need] - slack[row] if len(ids) >= need else -np.inf
-            have = floor.get(query_row)
-            if have is not None and len(have) >= k:
-                enough = max(enough, have[k - 1])
-            found, scores = _search(query, query_id, ids, exact, middle[row] + slack[row], enough, k)
-            if len(found):
-                merged = np.sort(np.concatenate([scores, have if have is not None else scores[:0]]))[::-1][:k]
-                floor[query_row] = merged
-                yield query_row, query_id, found, scores
+        tile = slice(at, at + QUERY_TILE)
+        lower, upper = bounds(low, step, cells, queries[tile])
+        itself = rows[None, :] == own[tile][:, None]
+        lower[itself], upper[itself] = -np.inf, -np.inf
+        best = np.partition(lower, -k, 1)[:, -k:] if len(rows) > k else lower
+        floor[tile] = np.sort(np.concatenate([floor[tile], best], 1), 1)[:, -k:]
+        q, v = np.nonzero((upper >= floor[tile][:, :1]) & ~itself)
+        if len(q):
+            yield query_rows[tile][q], rows[v], lower[q, v], upper[q, v]
 
 
 def _usable(vector: Column) -> Column:
@@ -113,19 +109,17 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
     """query_id, rank, vec_id, score of the k best candidates of each row for which ``is_query`` holds."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    usable = vectors.where(_usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale)).alias("q")
-    blocks = scratch.table("blocks", usable.select(F.col(id_col).cast("long"), whole).mapInArrow(_pack_blocks, BLOCK_SCHEMA), "lz4")
-    asked = scratch.table("queries", usable.where(is_query).select(F.col(id_col).cast("long").alias("query_id"), whole).withColumn("query_row", F.monotonically_increasing_id()))
+    usable = vectors.where(_usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), whole, F.coalesce(is_query, F.lit(False)).alias("asked"))
+    exact = scratch.table("exact", usable.withColumn("row", F.monotonically_increasing_id()))
+    blocks = scratch.table("cells", exact.select("row", "q").mapInArrow(_pack_blocks, BLOCK_SCHEMA), "lz4")
+    asked = scratch.table("queries", exact.where("asked").select("row", F.col("vec_id").alias("query_id"), "q").withColumn("query_row", F.monotonically_increasing_id()))
     # Rounds: consecutive query rows whose components sum up to the bound at most. The upper bits of a query row are the
     # partition that wrote it, so that ranges never overlap, however files are packed when they are read.
     sized = asked.groupBy(F.shiftright("query_row", 33).alias("part")).agg(F.sum(F.size("q") + 1).alias("values"), F.min("query_row").alias("first"), F.max("query_row").alias("last"), F.count(F.lit(1)).alias("rows"))
-    rounds = [r for r in sized.orderBy("first").collect()]
     results = None
-    for ranges in _rounds(rounds):
-        chosen = asked.where(F.col("query_row").between(ranges[0], ranges[1])).collect()
-        answers = _round(blocks, [(r.query_row, r.query_id, np.array(r.q, np.int64)) for r in chosen], k)
-        answers = scratch.table(f"round-{ranges[0]}", answers)
+    for first, last in _rounds(sized.orderBy("first").collect()):
+        answers = scratch.table(f"round-{first}", _round(blocks, exact, asked.where(F.col("query_row").between(first, last)), k, scratch, first))
         results = answers if results is None else results.unionByName(answers)
     if results is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -155,36 +149,42 @@ def _rounds(parts) -> Iterator[tuple[int, int]]:
         yield first, last
 
 
-def _round(blocks: DataFrame, queries: list[tuple[int, int, np.ndarray]], k: int) -> DataFrame:
-    by_dim: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-    for q in queries:
-        by_dim.setdefault(len(q[2]), []).append(q)
-    shared = blocks.sparkSession.sparkContext.broadcast(by_dim)
+def _round(blocks: DataFrame, exact: DataFrame, asked: DataFrame, k: int, scratch: Scratch, name: int) -> DataFrame:
+    by_dim: dict[int, list[tuple[int, int, list[int]]]] = {}
+    for r in asked.collect():
+        by_dim.setdefault(len(r.q), []).append((r.query_row, r.row, r.q))
+    shared = blocks.sparkSession.sparkContext.broadcast({d: tuple(np.array(x, np.int64) for x in zip(*q)) for d, q in by_dim.items()})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor: dict[int, np.ndarray] = {}
-        best: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        floors: dict[int, np.ndarray] = {}
         for batch in batches:
             for r in range(batch.num_rows):
                 dim, n = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
                 if dim not in shared.value:
                     continue
+                query_rows, own, queries = shared.value[dim]
                 raw = lambda c, t: np.frombuffer(batch.column(c)[r].as_buffer(), t)  # noqa: B023, E731
-                ids, low, step = raw(2, np.int64), raw(3, np.int64), raw(4, np.int64)
-                cells, exact = raw(5, np.uint8).reshape(n, dim), raw(6, np.int64).reshape(n, dim)
-                for query_row, query_id, found, scores in scan_block(dim, ids, low, step, cells, exact, shared.value[dim], k, floor):
-                    if query_row in best:
-                        _, old, old_scores = best[query_row]
-                        found, scores = np.concatenate([old, found]), np.concatenate([old_scores, scores])
-                        keep = np.lexsort((found, -scores))[:k]
-                        found, scores = found[keep], scores[keep]
-                    best[query_row] = (query_id, found, scores)
-        if best:
-            sizes = [len(b[1]) for b in best.values()]
-            columns = [np.repeat(np.fromiter(best, np.int64, len(best)), sizes), np.repeat(np.array([b[0] for b in best.values()], np.int64), sizes), np.concatenate([b[1] for b in best.values()]), np.concatenate([b[2] for b in best.values()])]
-            yield pa.record_batch([pa.array(c) for c in columns], schema=ANSWERS)
-
-    found = blocks.mapInArrow(scan, "query_row long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                floor = floors.setdefault(dim, np.full((len(queries), k), -np.inf))
+                for found in scan_block(raw(2, np.int64), raw(3, np.int64), raw(4, np.int64), raw(5, np.uint8).reshape(n, dim), query_rows, own, queries, floor):
+                    yield pa.record_batch([pa.array(x) for x in found], schema=BOUNDS)
+
+    def kth(rows: DataFrame, column: str) -> DataFrame:
+        """The k-th highest of a query's values, for queries that have as many."""
+        best = rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc(column)))).where(F.col("nth") <= k)
+        return best.groupBy("query_row").agg(F.min(column).alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("query_row", "least")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        both = rows.join(exact.select("row", "vec_id", "q"), "row").join(asked.select("query_row", "query_id", F.col("q").alias("other")), "query_row")
+        score = F.aggregate(F.zip_with("q", "other", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+        return both.select("query_row", "query_id", "vec_id", "row", score.alias("score"))
+
+    passed = scratch.table(f"bounds-{name}", blocks.mapInArrow(scan, BOUNDS_DDL))
+    enough = F.col("least").isNull() | (F.col("upper") >= F.col("least"))
+    alive = passed.join(kth(passed, "lower"), "query_row", "left").where(enough).drop("least")
+    order = Window.partitionBy("query_row").orderBy(F.desc("upper"), "row")
+    alive = scratch.table(f"alive-{name}", alive.withColumn("nth", F.row_number().over(order)))
+    first = scratch.table(f"first-{name}", scored(alive.where(F.col("nth") <= FIRST * k)))
+    rest = alive.where(F.col("nth") > FIRST * k).join(kth(first, "score"), "query_row", "left").where(enough)
+    ranked = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
+    every = first.unionByName(scored(rest)).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return every.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

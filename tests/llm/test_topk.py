@@ -11,13 +11,13 @@ SCHEMA = "score string, vec_id long, embedding array<float>, rank int"
 
 
 def brute(rows, k=5):
-    usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for _, i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for _, i, v, _ in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for qi, q in usable:
-        if qi % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in usable if i != qi and len(v) == len(q))[:k]
-            out += [(qi, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    return sorted(out)
+    for own, (qi, q) in enumerate(usable):
+        if qi is not None and qi % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), i is None, i or 0) for row, (i, v) in enumerate(usable) if row != own and len(v) == len(q))[:k]
+            out += [(qi, r + 1, None if null else i, -s) for r, (s, null, i) in enumerate(best)]
+    return sorted(out, key=repr)
 
 
 def rows_of(n, seed=1):
@@ -33,22 +33,45 @@ def test_matches_brute_force(spark, n, monkeypatch):
     monkeypatch.setattr(topk, "ROUND_VALUES", 60)  # several rounds
     rows = rows_of(n) if n else []
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    got = sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0).collect()), key=repr)
     assert got == brute(rows)
 
 
 def test_repeated_ids(spark):
     rows = [("x", 0, [1.0, 0.0], 1), ("x", 0, [0.0, 1.0], 1), ("x", 7, [0.5, 0.25], 1), ("x", 7, [0.5, 0.25], 1)]
     got = sorted(map(tuple, top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()))
-    assert got == sorted([(0, 1, 7, 128 * 256), (0, 2, 7, 128 * 256), (0, 1, 7, 64 * 256), (0, 2, 7, 64 * 256)])
+    # A query's own row is left out, the other row of its id is not.
+    assert got == sorted([(0, 1, 7, 128 * 256), (0, 2, 7, 128 * 256), (0, 3, 0, 0), (0, 1, 7, 64 * 256), (0, 2, 7, 64 * 256), (0, 3, 0, 0)])
 
 
 def test_large_components_stay_exact(spark):
     rows = [("x", i, [float(2**20 + 3 * i), -float(2**19 - i)], 1) for i in range(60)]
-    got = sorted(map(tuple, top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()))
+    got = sorted(map(tuple, top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()), key=repr)
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("scale", [30, 3000, 2**24])
+def test_bounds_hold_the_scores(scale):
+    rng = np.random.default_rng(scale)
+    for dim in (0, 1, 7, 200):
+        x, q = (rng.integers(-scale, scale, (n, dim)) for n in (50, 9))
+        low = x.min(0)
+        step = (x.max(0) - low) // topk.CELLS + 1
+        lower, upper = topk.bounds(low, step, ((x - low) // step).astype(np.uint8), q)
+        assert (lower <= q @ x.T).all() and (q @ x.T <= upper).all()
+
+
+def test_few_exact_vectors_are_read(monkeypatch):
+    """The cells leave few of many vectors to be read exactly."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(0, 32, (4000, 64))).astype(np.int64)
+    low = x.min(0)
+    step = (x.max(0) - low) // topk.CELLS + 1
+    floor = np.full((20, 5), -np.inf)
+    found = list(topk.scan_block(np.arange(4000), low, step, ((x - low) // step).astype(np.uint8), np.arange(20), np.arange(20), x[:20], floor))
+    assert sum(len(f[0]) for f in found) < 20 * 4000 * 0.05
+
+
 @pytest.mark.parametrize("values", [topk.ROUND_VALUES, 200])
 def test_all_queries_answered_from_many_files(spark, values, monkeypatch):
     """Far more files than cores; Spark reads several at once, ordered by size: here the first and the last together."""
