@@ -121,9 +121,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     some = marked.where(F.size("at") >= F.col("need")).withColumn("starts", enough).withColumn("step", step).where(F.size("starts") > 0)
     starts = scratch.table("starts", some.select("doc_key", "size", "m", begins.alias("starts")).where(F.size("starts") > 0))
 
+    # Only documents with such windows are read on. Texts are shuffled as they are, and once; equal rows become one.
+    own_texts = texts.select(F.xxhash64("doc_id", "text").alias("doc_key"), "doc_id", "text")
+    held = own_texts.join(starts.select("doc_key").distinct().hint("shuffle_hash"), "doc_key", "left_semi")
+    held = scratch.table("held", held.groupBy("doc_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")))
+
     # 2. Their fingerprints, looked up among the items'.
     key = ["doc_key", "size", "m", "start"]
-    prints = _cells(texts, starts, used).groupBy(*key).agg(fingerprint("h", F.count(F.lit(1))).alias("window_print"))
+    prints = _cells(held, starts, used).groupBy(*key).agg(fingerprint("h", F.count(F.lit(1))).alias("window_print"))
     blocks = F.array(*[F.struct(F.lit(b).alias("block"), block(F.col("window_print"), b).alias("value")) for b in range(BLOCKS)])
     looked = prints.select("doc_key", "size", "m", "window_print").distinct().select("*", F.explode(blocks).alias("b")).select("doc_key", "size", "m", "window_print", "b.block", "b.value")
     near = looked.join(_sized(index), ["size", "m", "block", "value"]).where(F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
@@ -131,12 +136,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
     # 3. Exact similarity of the candidates, on all windows that start at a shingle of the item.
     own = _sized(shingles.select("item_row", "item_id", "size", "m", "h", "c"))
-    few = keyed.join(candidates.select("doc_key").distinct().hint("shuffle_hash"), "doc_key", "left_semi")
+    few = held.join(candidates.select("doc_key").distinct(), "doc_key", "left_semi").withColumn("words", words(F.col("text")))
     found = _union(_positions(few, n, "doc_key").join(own.where(F.col("size") == n).select("item_row", "size", "m", "h"), "h").select("doc_key", "item_row", "size", "m", "p") for n in used)
     placed = found.join(candidates, ["doc_key", "item_row", "size", "m"], "left_semi").groupBy("doc_key", "item_row", "size", "m").agg(F.sort_array(F.collect_set("p")).alias("at")).withColumn("need", need)
     exact = scratch.table("exact", placed.withColumn("starts", enough).where(F.size("starts") > 0).select("doc_key", "item_row", "size", "m", "starts"))
     key = ["doc_key", "doc_id", "item_row", "m", "n", "start"]
-    counted = _cells(texts, exact, used, "item_row").groupBy(*key, "h").agg(F.count(F.lit(1)).alias("w"))
+    counted = _cells(held, exact, used, "item_row").groupBy(*key, "h").agg(F.count(F.lit(1)).alias("w"))
     common = counted.join(own.select("item_row", "item_id", "h", "c"), ["item_row", "h"]).groupBy(*key, "item_id").agg(F.sum(F.least("w", "c")).alias("common"))
     verified = common.withColumn("similarity", F.col("common") / (F.col("m") + F.col("n") - F.col("common"))).where(F.col("similarity") >= threshold)
     best = F.max(F.struct(F.round("similarity", 6).alias("similarity"), (-F.col("start")).alias("before")))
@@ -151,15 +156,12 @@ def _union(parts) -> DataFrame:
     return whole
 
 
-def _cells(texts: DataFrame, starts: DataFrame, used: list[int], *keep: str) -> DataFrame:
+def _cells(held: DataFrame, starts: DataFrame, used: list[int], *keep: str) -> DataFrame:
     """A row for each shingle of each window: doc_key, doc_id, kept columns, size, m, n (the window's shingles), start, h.
 
     ``starts`` has an array of starts for each document; those that would go beyond its end are moved back and count once.
-    Only documents with windows are read on. Texts are shuffled as they are; words are cut again on the rows that join.
     """
-    one = texts.select(F.xxhash64("doc_id", "text").alias("doc_key"), "doc_id", "text").join(starts.select("doc_key").distinct().hint("shuffle_hash"), "doc_key", "left_semi")
-    one = one.groupBy("doc_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))  # equal rows
-    rows = one.join(starts.hint("shuffle_hash"), "doc_key").withColumn("words", words(F.col("text")))
+    rows = held.join(starts, "doc_key").withColumn("words", words(F.col("text")))
     total = F.size("words") - F.col("size") + 1
     clipped = F.array_distinct(F.transform("starts", lambda s: F.greatest(F.lit(0), F.least(s, F.col("total") - F.col("m")))))
     rows = rows.withColumn("total", total).select("doc_key", "doc_id", *keep, "size", "m", F.least("m", "total").alias("n"), "words", F.explode(clipped).alias("start"))
