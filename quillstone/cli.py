@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 from quillstone.functions import text as T
-from quillstone.operators import chunking, evaluation, extraction, learning, lines, ranking
+from quillstone.operators import chunking, embedding, evaluation, extraction, learning, lines, ranking
 from quillstone.sources import tables
 
 
@@ -28,7 +28,8 @@ def _chunks(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         made = chunking.simple_chunks(named, "section_id", "text", "year", "section", size=a.max_chunk_chars, overlap=a.chunk_overlap_chars)
         plain = {"summary": F.lit(None).cast("string"), "chunk_type": F.lit("narrative"), "chunk_nature": F.lit("narrative_main"), "table_row_count": F.lit(0), "page_number": F.lit(0), **{f"page_{n}": F.lit("") for n in ("context", "section", "subsection", "subsubsection")}}
         return made.withColumns(plain)
-    made = chunking.table_aware_chunks(named, "section_id", "text", "year", size=a.max_chunk_chars, overlap=a.chunk_overlap_chars)
+    labeller = learning.labeller(learning.load(spark, a.line_model)) if a.line_model else None
+    made = chunking.table_aware_chunks(named, "section_id", "text", "year", size=a.max_chunk_chars, overlap=a.chunk_overlap_chars, labeller=labeller)
     return made.join(named.select("section_id", "section").distinct(), "section_id")
 
 
@@ -36,22 +37,33 @@ def index(spark: SparkSession, a: argparse.Namespace) -> None:
     chunks = _chunks(spark, a)
     key = tables.doc_id(F.col("year"), F.col("section"), F.concat_ws("_", "section_id", "chunk_no"))
     tables.upsert(tables.index_rows(chunks, key), a.index)
-    print(json.dumps(chunking.totals(spark.read.parquet(a.index)).first().asDict()))
+    stats = chunking.summary(spark.read.parquet(a.index).withColumnRenamed("document", "text"))
+    stats.write.mode("overwrite").json(f"{a.index}/_chunk_stats")  # names that begin with a line are not read as rows
+    print(json.dumps(stats.first().asDict(recursive=True)))
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    """BM25 over an index for every ground-truth row and variable, offline extraction, summary."""
+    """BM25, vectors or both over an index for every ground-truth row and variable, offline extraction, summary."""
     chunks = spark.read.parquet(a.index)
     truth = tables.read_ground_truth(spark, a.eval_path)
     truth = truth.where(F.col("year") == a.year) if a.year else truth
     variables = spark.createDataFrame([(n, al, t) for n, _, al, t in fixed.VARIABLES], "variable string, aliases array<string>, template string")
     none = F.array().cast("array<string>")
-    plan = variables.withColumn("q", T.build_queries(F.col("aliases"), F.col("template"), none, none, none))
+    plan = variables.withColumn("q", T.build_queries(F.col("aliases"), F.col("template"), none, none, none)).select("variable", "aliases", "q")
     cases = evaluation.eval_cases(truth, variables).join(F.broadcast(plan), "variable").withColumn("case_id", F.concat_ws("-", "year", "variable"))
     built = ranking.bm25_index(chunks, "id", "document", "year")
-    ranked = ranking.bm25_normalized(built, cases.select(F.col("case_id").alias("query_id"), F.col("year").alias("scope"), F.col("q.bm25_query").alias("query")))
-    ranked = ranking.fuse(ranked, ranked.select("query_id", "id", F.lit(0.0).alias("distance")).limit(0), chunks.select("id", "chunk_nature"), table_bonus=a.table_bonus and a.match_method == "hybrid")
-    top = ranking.hybrid_topk(ranked, fixed.TOP_K).join(chunks.select("id", "document", "section", "table_row_count", F.col("year").alias("filing_year")), "id")
+    asked = cases.select(F.col("case_id").alias("query_id"), F.col("year").alias("scope"), F.col("q.bm25_query").alias("query"), F.col("q.embedding_query").alias("meant"))
+    if a.match_method != "bm25":
+        vectors = embedding.embed(chunks.select("id", F.col("year").alias("scope"), "hybrid_embedding_text"), "hybrid_embedding_text").drop("hybrid_embedding_text")
+        meant = embedding.embed(asked.select("query_id", "scope", "meant"), "meant").drop("meant")
+    if a.match_method == "embedding":
+        ranked = ranking.vector_topk(vectors, meant, fixed.TOP_K, prefilter="scope")
+    else:
+        words = ranking.bm25_normalized(built, asked)
+        near = words.select("query_id", "id", F.lit(0.0).alias("distance")).limit(0) if a.match_method == "bm25" else ranking.vector_distances(vectors, meant, prefilter="scope")
+        fused = ranking.fuse(words, near, chunks.select("id", "chunk_nature"), table_bonus=a.table_bonus and a.match_method == "hybrid")
+        ranked = ranking.hybrid_topk(fused, fixed.TOP_K)
+    top = ranked.join(chunks.select("id", "document", "section", "table_row_count", F.col("year").alias("filing_year")), "id")
     joined = top.withColumnRenamed("query_id", "case_id").join(cases.select("case_id", F.col("year").alias("target_year"), "aliases"), "case_id")
     docs = extraction.collect_docs(joined.withColumnRenamed("document", "text"))
     asked = extraction.doc_blocks(docs).join(cases, "case_id").select("case_id", "documents", F.replace("variable", F.lit("_"), F.lit(" ")).alias("target"), "year", "aliases")
@@ -72,6 +84,9 @@ def review(spark: SparkSession, a: argparse.Namespace) -> None:
     lines_ = F.split("text", "\n", -1)
     rows = chunks.select(F.row_number().over(Window.partitionBy("year").orderBy("section_id", "chunk_no")).alias("id"), "year", F.size(lines_).alias("line_count"), F.length("text").alias("char_count"), "table_row_count", lines_.alias("text_lines"))
     rows.write.mode("overwrite").json(a.out)
+    header = chunking.review_header(rows.select("char_count"), a.max_filings)
+    header.write.mode("overwrite").json(f"{a.out}/_stats")
+    print(json.dumps(header.first().asDict(recursive=True)))
 
 
 def pseudo_label(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -93,7 +108,9 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
     parts = evaluation.stratified_split(windows, "label", "line_no")
     model = learning.train(parts.where("is_train"))
     model.write().overwrite().save(a.model)
-    evaluation.classification_report(learning.predict(model, parts.where("NOT is_train"))).show()
+    held = learning.predictions(model, parts.where("NOT is_train"))
+    held.write.mode("overwrite").option("header", True).option("escape", '"').csv(a.predictions or f"{a.model}_predictions")
+    evaluation.classification_report(held, "true_label", "predicted_label").show()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -106,12 +123,12 @@ def parser() -> argparse.ArgumentParser:
         for name, settings in options:
             p.add_argument(name, **settings)
 
-    chunked = [("--filings", {"required": True}), ("--max-chunk-chars", {"type": int, "default": 2000}), ("--chunk-overlap-chars", {"type": int, "default": 400}), ("--chunker", {"choices": ["simple", "table-aware"], "default": "table-aware"})]
+    chunked = [("--filings", {"required": True}), ("--max-chunk-chars", {"type": int, "default": 2000}), ("--chunk-overlap-chars", {"type": int, "default": 400}), ("--chunker", {"choices": ["simple", "table-aware"], "default": "table-aware"}), ("--line-model", {"help": "label lines by a trained model instead of the rules"})]
     command(index, *chunked, ("--max-filings", {"type": int, "default": 6}), ("--index", {"default": "db"}))
-    command(evaluate, ("--index", {"default": "db"}), ("--eval-path", {"required": True}), ("--output-path", {"required": True}), ("--output-summary-path", {}), ("--year", {"type": int}), ("--match-method", {"choices": ["hybrid", "bm25"], "default": "hybrid"}), ("--table-bonus", {"action": argparse.BooleanOptionalAction, "default": True}))
+    command(evaluate, ("--index", {"default": "db"}), ("--eval-path", {"required": True}), ("--output-path", {"required": True}), ("--output-summary-path", {}), ("--year", {"type": int}), ("--match-method", {"choices": ["hybrid", "bm25", "embedding"], "default": "hybrid"}), ("--table-bonus", {"action": argparse.BooleanOptionalAction, "default": True}))
     command(review, *chunked, ("--max-filings", {"type": int, "default": 3}), ("--out", {"required": True}))
     command(pseudo_label, ("--input-dir", {"default": "data"}), ("--output-dir", {}), ("--pattern", {"default": "*.csv"}), ("--suffix", {"default": "_annotated"}))
-    command(train, ("--input-dir", {"default": "data"}), ("--model", {"default": "model/line_classifier"}))
+    command(train, ("--input-dir", {"default": "data"}), ("--model", {"default": "model/line_classifier"}), ("--predictions", {}))
     return top
 
 

@@ -1,7 +1,6 @@
 """Patterns, word lists and the variable catalogue that results depend on. Not to be tuned."""
 
 # Line patterns.
-NUMERIC_CELL = r"[\$\d,\(\)]+"
 TABLE_LINE = r"^(.+?)\s+([\$\d,\(\)]+)\s+([\$\d,\(\)]+)(?:\s+([\$\d,\(\)]+))?$"
 TABLE_ROW = r"^(.{3,60}?)\s*([\$\(]?[\d,]+\.?\d*[\)]?)\s+([\$\(]?[\d,]+\.?\d*[\)]?)(?:\s+([\$\(]?[\d,]+\.?\d*[\)]?))?"
 NUMBER = r"\$?-?\(?\d[\d,]+\.?\d*[BMK]?\)?"
@@ -11,6 +10,9 @@ NARRATIVE_WORDS = r"(?i)\b(was|were|is|are|increased|decreased|compared|million|
 FINANCIAL_KEYWORDS = ["net income", "net loss", "total revenues", "total revenue", "revenues", "earnings", "income from operations"]
 MENTION = r"(?i)(net income(?:\s*\(loss\))?|total revenues?|net loss)[^$\d]{0,30}?(\$?\(?[\d,]+\.?\d*\)?)\s*(?:million|billion|M|B)?(?:[^.]{0,20}?\b(20\d{2})\b)?"
 PAGE_NUMBER = r"^\s*(\d{1,3})\s*$"
+NUMBER_TOKEN = r"\(\s*[-+]?\$?\d[\d,]*(?:\.\d+)?\s*\)|[-+]?\$?\d[\d,]*(?:\.\d+)?"
+CLOSE_OPEN, LETTER_NUMBER = r"\)\s*(\$?\()", r"([a-zA-Z])\s*(\$?\(?\d)"
+NEGATIVE_CELL = r"-?[\d.]+"
 FORM_LABEL = r"(?i)(AIG\s*\|\s*\d{4}\s*Form\s*10-[KQ])"
 FOOTER_SECTION = r"(?i)^(ITEM\s*\d+[A-Z]?)\s*\|\s*([^|]+?)(?:\|\s*(.+))?$"
 TABLE_INTRO = r"(?i)^\s*the following table\b[\s:,-]*(.*)$"
@@ -19,7 +21,8 @@ TABLE_INTRO = r"(?i)^\s*the following table\b[\s:,-]*(.*)$"
 SMALL_CHUNK_CHARS = 500
 SPLIT_OVERLAP_CHARS = 200
 MAX_LINE_CHARS = 300
-EXCERPT_CHARS, EXCERPT_RADIUS = 500, 2
+EXCERPT_CHARS, EXCERPT_RADIUS, SHOWN_CHARS = 500, 2, 120
+PLAN_TERMS = 8
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 NUMERIC_TOLERANCE = 100.0
 

@@ -38,14 +38,14 @@ def no_break_to_space(c: Column) -> Column:
 
 def preprocess_line(line: Column) -> Column:
     """Separates a closing from an opening parenthesis, and a letter from the number that follows it."""
-    return F.regexp_replace(F.regexp_replace(line, r"\)\s*(\$?\()", ") $1"), r"([a-zA-Z])\s*(\$?\(?\d)", "$1 $2")
+    return F.regexp_replace(F.regexp_replace(line, fixed.CLOSE_OPEN, ") $1"), fixed.LETTER_NUMBER, "$1 $2")
 
 
 def parse_num(s: Column) -> Column:
     """Number of a cell without ``$`` and commas; parentheses mean negative; null if it is none."""
     def number(bare: Column) -> Column:
         inner = strip(F.substring(bare, F.lit(2), F.length(bare) - 2))
-        negative = F.when(inner.rlike(r"^-?[\d.]+$"), -inner.try_cast("double"))
+        negative = F.when(inner.rlike(f"^{fixed.NEGATIVE_CELL}$"), -inner.try_cast("double"))
         return F.when(bare.rlike(r"(?s)^\(.*\)$"), negative).otherwise(bare.try_cast("double"))
 
     return let(strip(F.regexp_replace(s, r"[$,]", "")), number)
@@ -158,6 +158,29 @@ def rule_type(line: Column) -> Column:
     return let(clean, lambda s: let(F.regexp_extract_all(s, F.lit(f"({fixed.NUMBER})"), F.lit(1)), lambda numbers: kind(s, numbers)))
 
 
+def parse_any_line(line: Column) -> Column:
+    """(type, label, values, years, mentions, original) of a line: what its type by the rules has, null else.
+
+    Rows and single values have a label, what stands before the first number, and values; year headers have years;
+    narrative lines have mentions.
+    """
+    def parsed(s: Column, kind: Column) -> Column:
+        valued, numbers = kind.isin("table_row", "single_value"), F.regexp_extract_all(s, F.lit(f"({fixed.NUMBER})"), F.lit(1))
+        label = strip(F.regexp_replace(strip(F.regexp_extract(s, f"(?s)^(.*?){fixed.NUMBER}", 1)), r"[$:]+$", ""))
+        years = F.transform(F.regexp_extract_all(s, F.lit(fixed.YEAR), F.lit(1)), lambda y: y.cast("int"))
+        return F.struct(
+            kind.alias("type"),
+            F.when(valued, label).alias("label"),
+            F.when(valued, F.transform(numbers, normalize_value)).alias("values"),
+            F.when(kind == "year_header", years).alias("years"),
+            F.when(kind == "narrative", mentions(s)).alias("mentions"),
+            s.alias("original"),
+        )
+
+    clean = strip(F.replace(no_break_to_space(line), F.lit("TABLE | "), F.lit("")))
+    return let(F.struct(clean.alias("s"), rule_type(line).alias("kind")), lambda x: parsed(x["s"], x["kind"]))
+
+
 def rule_label(kind: Column, page_number: Column) -> Column:
     """Label of a line from its rule type; ``page_number`` tells lines that are lone page numbers."""
     label = F.when(kind == "table_row", "table_row").when(kind == "narrative", "narrative").when(kind.isin("header", "year_header"), "footer").otherwise("narrative")
@@ -167,17 +190,18 @@ def rule_label(kind: Column, page_number: Column) -> Column:
 def mentions(line: Column) -> Column:
     """Array of (label, value, year, raw): amounts that prose names; billions count as thousands of millions.
 
-    A mention is in billions if ``billion`` or a final ``B`` stands in it or in the ten characters after it. Both
-    are read off one match that is widened by up to ten characters, so a mention that begins inside those is not seen.
+    A mention is in billions if ``billion`` or a final ``B`` stands in it or in the ten characters after it, which are
+    looked at from the mention's own place.
     """
-    raw = F.regexp_extract_all(line, F.lit(f"({fixed.MENTION.replace('(?i)', '(?i:')}))"), F.lit(1))
-    def one(m: Column) -> Column:
+    pattern = F.lit(f"({fixed.MENTION.replace('(?i)', '(?i:')}))(?=((?s:.{{0,10}})))")
+
+    def one(m: Column, rest: Column) -> Column:
         label, amount, year = (F.regexp_extract(m, fixed.MENTION, k) for k in (1, 2, 3))
-        after = F.substring(line, F.position(m, line), F.length(m) + 10)
+        after = F.concat(m, rest)
         value = normalize_value(amount)
         return F.struct(strip(F.lower(label)).alias("label"), F.when(after.rlike(r"(?i)billion|B\b") & (value != 0), value * 1000).otherwise(value).alias("value"), year.try_cast("int").alias("year"), m.alias("raw"))
 
-    return F.transform(raw, one)
+    return F.zip_with(F.regexp_extract_all(line, pattern, F.lit(1)), F.regexp_extract_all(line, pattern, F.lit(5)), one)
 
 
 def normalize_alias(alias: Column) -> Column:
@@ -225,6 +249,17 @@ def values_match(prediction: Column, truth: Column) -> Column:
     return F.coalesce(distance <= fixed.NUMERIC_TOLERANCE, prediction == truth)
 
 
+def excerpt_around(lines: Column, at: Column, radius: int = fixed.EXCERPT_RADIUS, most: int = fixed.EXCERPT_CHARS) -> Column:
+    """The lines of an array within ``radius`` of place ``at``, stripped, at most ``most`` characters."""
+    start = F.greatest(at - radius, F.lit(0))
+    return F.left(strip(F.array_join(F.slice(lines, start + 1, at + radius + 1 - start), "\n")), F.lit(most))
+
+
+def excerpt_display(text: Column) -> Column:
+    """A text as a list shows it: on one line, cut."""
+    return F.left(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(fixed.SHOWN_CHARS))
+
+
 def value_excerpt(text: Column, aliases: Column) -> Column:
     """Lines around the first that holds a table mark and an alias, else an alias, else a table mark; else the start."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0B\x0C\x85\u2028\u2029]"), lambda x: strip(x) != "")
@@ -235,9 +270,7 @@ def value_excerpt(text: Column, aliases: Column) -> Column:
         return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()))
 
     at = F.coalesce(first(lambda x: mark(x) & alias(x)), first(alias), first(mark))
-    start = F.greatest(at - fixed.EXCERPT_RADIUS, F.lit(0))
-    around = F.slice(lines, start + 1, at + fixed.EXCERPT_RADIUS + 1 - start)
-    excerpt = F.when(at.isNotNull(), F.left(strip(F.array_join(around, "\n")), F.lit(fixed.EXCERPT_CHARS))).otherwise(F.left(text, F.lit(fixed.EXCERPT_CHARS)))
+    excerpt = F.when(at.isNotNull(), excerpt_around(lines, at)).otherwise(F.left(text, F.lit(fixed.EXCERPT_CHARS)))
     return F.when(F.size(lines) > 0, excerpt).otherwise(F.lit(""))
 
 

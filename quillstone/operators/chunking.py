@@ -1,16 +1,17 @@
 """Chunk builders: fixed windows, and table-aware chunks of labelled lines.
 
 Table-aware chunks are built in stages that depend on their predecessor's output (split, merge, overlap), so a
-section's islands go through one grouped pass; sections are independent of one another.
+section's islands go through one pass over its lines, many sections an Arrow batch; sections are independent.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def _number(cell: str) -> str:
     sign = 1
     if bare.startswith("(") and bare.endswith(")"):
         bare, sign = bare[1:-1].strip(), -1
-        if not re.fullmatch(r"-?[\d.]+", bare):
+        if not re.fullmatch(fixed.NEGATIVE_CELL, bare):
             return "None"
     try:
         return str(sign * float(bare))
@@ -59,7 +60,7 @@ def _number(cell: str) -> str:
 
 
 def table_text(line: str) -> str:
-    ready = re.sub(r"([a-zA-Z])\s*(\$?\(?\d)", r"\1 \2", re.sub(r"\)\s*(\$?\()", r") \1", line.strip()))
+    ready = re.sub(fixed.LETTER_NUMBER, r"\1 \2", re.sub(fixed.CLOSE_OPEN, r") \1", line.strip()))
     m = re.match(fixed.TABLE_LINE, ready)
     return " | ".join([m[1].strip(), *(_number(c) for c in m.groups()[1:] if c)]) if m else ready.strip()
 
@@ -75,6 +76,7 @@ class Chunk:
     context: dict
     split: bool = False
     context_lines: list[str] = field(default_factory=list)
+    titles: list[str] = field(default_factory=list)
     text: str = ""
 
     def refresh(self) -> Chunk:
@@ -130,7 +132,7 @@ def split_oversized(chunks: list[Chunk], most: int) -> list[Chunk]:
             out.append(c)
             continue
         for first, last, _, _ in split_bounds([line_cost(x) for x, _ in c.lines], most):
-            out.append(Chunk(c.lines[first:last], c.context, True, list(c.context_lines)).refresh())
+            out.append(Chunk(c.lines[first:last], c.context, True, list(c.context_lines), list(c.titles)).refresh())
     return out
 
 
@@ -140,6 +142,7 @@ def merge_small(chunks: list[Chunk], small: int = fixed.SMALL_CHUNK_CHARS) -> li
         if out and len(c.text) <= small and not c.split and not out[-1].split:
             last = out[-1]
             last.lines, last.context_lines = last.lines + c.lines, (last.context_lines + c.context_lines)[-5:]
+            last.titles = last.titles + c.titles
             last.refresh()
         else:
             out.append(c)
@@ -156,48 +159,77 @@ def add_overlap(chunks: list[Chunk], overlap: int) -> None:
             c.refresh()
 
 
+def summary_prompt(c: Chunk, lines: int = 5, chars: int = 500) -> str:
+    """What a summariser is told of a chunk: page, titles, context, and its first lines while they fit. May be empty."""
+    first, total = [], 0
+    for x, _ in c.lines[:lines]:
+        if total + len(x) > chars:
+            break
+        first, total = [*first, x], total + len(x)
+    parts = (("Page", c.context["page_context"]), ("Titles", " | ".join(c.titles)), ("Context", " | ".join(c.context_lines)), ("Start", " ".join(first).strip()))
+    return "\n".join(f"{name}: {said}" for name, said in parts if said)
+
+
 def summary_of(c: Chunk, summarise: Callable[[str], str] | None = None, words: int = 30) -> str:
-    """The completer's summary, else the page context, the first context line or ``No summary``; at most 30 words."""
-    made = summarise(c.text) if summarise else ""
-    return " ".join((made or c.context["page_context"] or (c.context_lines[0] if c.context_lines else "") or "No summary").split()[:words])
+    """The summariser's answer, else the page context, the first title, the first context line or ``No summary``; at
+    most 30 words. Without anything to tell, the summariser is not asked."""
+    prompt = summary_prompt(c) if summarise else ""
+    made = summarise(prompt).strip().strip('"') if prompt else ""
+    first = lambda x: x[0] if x else ""
+    return " ".join((made or c.context["page_context"] or first(c.titles) or first(c.context_lines) or "No summary").split()[:words])
 
 
 CHUNK_SCHEMA = (
     "section_id long, year int, chunk_no int, text string, summary string, chunk_source string, chunk_type string, chunk_nature string, table_row_count int, "
     "page_number int, page_context string, page_section string, page_subsection string, page_subsubsection string, context_lines array<string>"
 )
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+CHUNK_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split(" ") for f in CHUNK_SCHEMA.split(", "))])
 
 
 def table_aware_chunks(sections: DataFrame, id_col: str, text_col: str, year_col: str, *, size: int = 1000, overlap: int = 100, labeller=None, summarise: Callable[[str], str] | None = None) -> DataFrame:
     """Chunks that end where table lines and prose meet; large ones are split, small ones merged, then overlapped."""
     options = {"labeller": labeller} if labeller else {}
     labelled = classify(sections, id_col, text_col, year_col, **options)
-    rows = line_islands(labelled).select("section_id", F.col(year_col).alias("year"), "line_no", "line", "label", "island", "page_number", "page_section", "page_subsection", "page_subsubsection")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, chunks = pdf.sort_values("line_no"), []
-        for _, part in pdf.groupby("island", sort=True):
-            head = part.iloc[0]
-            names = [head[f"page_{n}"] for n in ("section", "subsection", "subsubsection")]
-            page = None if pd.isna(head["page_number"]) else int(head["page_number"])
-            context = {"page_number": page, "page_context": " - ".join(n for n in names if n), "names": names}
-            lines = list(zip(part["line"], part["label"]))
-            said = [x for x, label in lines if label == "narrative"]
-            chunk = Chunk(lines, context, context_lines=said[-5:] if lines[0][1] == "table_row" else said[:5]).refresh()
-            if chunk.text:
-                chunks.append(chunk)
-        chunks = merge_small(split_oversized(chunks, size))
+    rows = line_islands(labelled).select("section_id", F.col(year_col).alias("year"), "line_no", "line", "label", "island", "is_title", "page_number", "page_section", "page_subsection", "page_subsubsection")
+
+    def of_island(rows: list[tuple]) -> Chunk:
+        lines = [(r[3], r[4]) for r in rows]
+        said = [x for x, label in lines if label == "narrative"]
+        _, _, _, _, _, _, _, page, *names = rows[0]
+        context = {"page_number": page, "page_context": " - ".join(n for n in names if n), "names": names}
+        return Chunk(lines, context, context_lines=said[-5:] if lines[0][1] == "table_row" else said[:5], titles=[r[3] for r in rows if r[6]]).refresh()
+
+    def of_section(rows: list[tuple]) -> list[tuple]:
+        made = [of_island(list(part)) for _, part in groupby(rows, key=lambda r: r[5])]
+        chunks = merge_small(split_oversized([c for c in made if c.text], size))
         add_overlap(chunks, overlap)
         out = []
         for n, c in enumerate(chunks):
             main = "table_main" if c.rows > sum(label == "narrative" for _, label in c.lines) else "narrative_main"
-            out.append((pdf["section_id"].iloc[0], pdf["year"].iloc[0], n, c.text, summary_of(c, summarise), "detector_simple", "table" if c.table else "narrative", main, c.rows, c.context["page_number"], c.context["page_context"], *c.context["names"], c.context_lines))
-        columns = [f.strip().split(" ")[0] for f in CHUNK_SCHEMA.split(", ")]
-        made = pd.DataFrame(out, columns=columns)
-        made["page_number"] = made["page_number"].astype("Int32")
-        return made
-
-    return rows.groupBy("section_id").applyInPandas(build, CHUNK_SCHEMA)
+            out.append((rows[0][0], rows[0][1], n, c.text, summary_of(c, summarise), "detector_simple", "table" if c.table else "narrative", main, c.rows, c.context["page_number"], c.context["page_context"], *c.context["names"], c.context_lines))
+        return out
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines in order of section; one section is held at a time."""
+        def pack(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), CHUNK_ARROW)], schema=CHUNK_ARROW)
+
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for section, part in groupby(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: r[0]):
+                if held and held[0][0] != section:
+                    out += of_section(held)
+                    held = []
+                held += part
+            if out:
+                yield pack(out)
+        if held and (out := of_section(held)):
+            yield pack(out)
+
+    # One shuffle, by section, that the labels' windows have made already.
+    return rows.sortWithinPartitions("section_id", "line_no").mapInArrow(build, CHUNK_SCHEMA)
 
 
 def chunk_builder(kind: str) -> Callable[..., DataFrame]:
@@ -245,3 +277,20 @@ def histogram(sized: DataFrame, column: str) -> DataFrame:
     bins = base.select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     label = F.concat(F.bround(edge(F.col("bin"))).cast("long").cast("string"), F.lit("-"), F.bround(edge(F.col("bin") + 1)).cast("long").cast("string"))
     return bins.join(counted, "bin", "left").select("bin", label.alias("label"), F.coalesce("c", F.lit(0)).alias("count"))
+
+
+def summary(chunks: DataFrame) -> DataFrame:
+    """One row: totals, and statistics and histogram of the characters of all chunks."""
+    sized = sizes(chunks)
+    bins = histogram(sized, "char_size").agg(F.sort_array(F.collect_list(F.struct("bin", "label", "count"))).alias("histogram"))
+    whole = stats(sized, "char_size")
+    return totals(chunks).join(whole.select(F.struct(*whole.columns).alias("char_stats"))).join(bins)
+
+
+def review_header(rows: DataFrame, max_filings: int, bins: int = 20) -> DataFrame:
+    """One row: number of filings asked for, of chunks, and a histogram of ``char_count`` in ``bins`` equal bins."""
+    ends = rows.agg(F.count(F.lit(1)).alias("chunk_count"), F.min("char_count").alias("lo"), F.max("char_count").alias("hi"))
+    place = F.coalesce(F.least(F.floor(F.try_divide((F.col("char_count") - F.col("lo")) * bins, F.col("hi") - F.col("lo"))), F.lit(bins - 1)), F.lit(0)).cast("int")
+    counted = rows.join(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    listed = counted.agg(F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("histogram"))
+    return ends.select(F.lit(max_filings).alias("max_filings"), "chunk_count", "lo", "hi").join(listed)

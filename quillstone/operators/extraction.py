@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import urllib.request
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -70,6 +72,46 @@ def offline_completer(prompt: str) -> str:
     return f'{{"value": "{value}", "supporting_docs": {[n for v, n in found if v == value]}}}'
 
 
+def plan_prompt(display_name: str, query: str, year: int) -> str:
+    """What a completer is asked for a retrieval plan."""
+    return (
+        f"Which words help to find '{display_name}' ({query}) in an annual report filed in {year}? Answer with JSON alone: "
+        '{"locate_terms": [...], "table_terms": [...], "constraint_terms": [...]}: sections that hold it, names of its table rows, what narrows it down.'
+    )
+
+
+def no_plan(prompt: str) -> str:
+    """The completer without a service: an empty plan."""
+    return "{}"
+
+
+def query_plans(cases: DataFrame, completer: Completer = no_plan) -> DataFrame:
+    """(case_id, locate_terms, table_terms, constraint_terms) of cases (case_id, display_name, query, year).
+
+    Terms are normalised and different, eight of a kind at most. An answer that is no JSON object gives an empty plan.
+    """
+    def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"case_id": pdf["case_id"], "answer": [completer(plan_prompt(n, q, int(y))) for n, q, y in zip(pdf["display_name"], pdf["query"], pdf["year"])]})
+
+    asked = cases.select("case_id", "display_name", "query", "year").mapInPandas(complete, "case_id string, answer string")
+    kinds = ("locate_terms", "table_terms", "constraint_terms")
+    parsed = asked.withColumn("p", F.from_json(T.unfence(F.col("answer")), ", ".join(f"{k} array<string>" for k in kinds)))
+    clean = lambda k: F.filter(F.transform(F.coalesce(F.col(f"p.{k}"), F.array().cast("array<string>")), T.normalize_alias), lambda t: t != "")
+    return parsed.select("case_id", *[F.slice(F.array_distinct(clean(k)), 1, fixed.PLAN_TERMS).alias(k) for k in kinds])
+
+
+def http_completer(url: str, model: str, key: str, timeout: float = 60) -> Completer:
+    """A completer over an HTTP service with the common chat-completion interface; nothing is sent unless it is used."""
+    def complete(prompt: str) -> str:
+        body = json.dumps({"model": model, "temperature": 0, "messages": [{"role": "user", "content": prompt}]}).encode()
+        asked = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        with urllib.request.urlopen(asked, timeout=timeout) as answer:
+            return json.load(answer)["choices"][0]["message"]["content"]
+
+    return complete
+
+
 def extract_values(cases: DataFrame, completer: Completer = offline_completer) -> DataFrame:
     """Adds raw_response, value and supporting_docs to cases (case_id, documents, target, year, aliases).
 

@@ -149,6 +149,14 @@ v AS (SELECT *, {normalize_value(part('m', MENTION, 2))} AS v, substr(line, inst
 SELECT id, {strip('lower(' + part('m', MENTION, 1) + ')')} AS label, CASE WHEN {has('near', r'(?i)billion|B\b')} AND v <> 0 THEN v * 1000 ELSE v END AS value,
   TRY_CAST({part('m', MENTION, 3)} AS INTEGER) AS year FROM v"""
 
+CLEAN_LINE = strip(f"replace({plain('line')}, 'TABLE | ', '')")
+LABEL = strip(sub(strip(part("s", f"(?s)^(.*?){fixed.NUMBER}", 1)), r"[$:]+$"))
+SQL["parse_any_line"] = f"""WITH t AS (SELECT id, {CLEAN_LINE} AS s, {rule_type('line')} AS type FROM ({inputs.LINES}))
+SELECT id, type, CASE WHEN type IN ('table_row', 'single_value') THEN {LABEL} END AS label,
+  CASE WHEN type IN ('table_row', 'single_value') THEN array_to_string(list_transform(regexp_extract_all(s, {q(fixed.NUMBER)}), lambda v: coalesce(printf('%.2f', {normalize_value('v')}), 'None')), ';') END AS values,
+  CASE WHEN type = 'year_header' THEN array_to_string(regexp_extract_all(s, {q(fixed.YEAR)}), ';') END AS years,
+  CASE WHEN type = 'narrative' THEN CAST(len(regexp_extract_all(s, {q(fixed.MENTION)})) AS INTEGER) END AS n_mentions, s AS original FROM t"""
+
 CHUNKS = f"""SELECT doc_id, text, {inputs.YEAR} AS year, source AS section, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 7 AS INTEGER) END AS table_row_count,
   CASE WHEN doc_id % 4 = 0 THEN 'table_main' WHEN doc_id % 4 = 1 THEN 'narrative_main' END AS chunk_nature,
   CASE WHEN doc_id % 5 = 0 THEN concat(' summary ', source, ' ') END AS summary, CASE WHEN doc_id % 2 = 0 THEN lang END AS page_context,
@@ -191,7 +199,7 @@ SQL["compact_terms"] = f"WITH d AS (SELECT doc_id, {W} AS w FROM documents), c A
 SQL["build_queries"] = f"""WITH a AS (SELECT variable, {compact('aliases', 6)} AS own, template FROM {VARIABLES}),
 e AS (SELECT variable, own, own || ['income statement', 'notes', 'balance'] AS every, template FROM a)
 SELECT variable, CASE WHEN len(own) > 0 THEN array_to_string(own, ' ') ELSE array_to_string(({tokens("replace(template, '{year}', '2024')")})[1:6], ' ') END AS bm25_query, array_to_string(every[1:7], ' ') AS embedding_query FROM e"""
-SQL["query_plan_terms"] = f"WITH d AS (SELECT doc_id, list_filter(list_transform(({W})[1:14], lambda t: {alias('t')}), lambda t: t <> '') AS c FROM documents) SELECT doc_id, array_to_string((list_filter(c, lambda t, i: list_position(c, t) = i))[1:8], ';') AS terms FROM d"
+SQL["query_plan_terms"] = f"WITH d AS (SELECT doc_id, list_filter(list_transform({W}, lambda t: {alias('t')}), lambda t: t <> '') AS c FROM documents) SELECT doc_id, array_to_string((list_filter(c, lambda t, i: list_position(c, t) = i))[1:8], ';') AS terms FROM d"
 
 # Lines of sections.
 SECTION_LINES = f"""sections AS ({inputs.SECTIONS_DUCKDB}),
@@ -264,7 +272,7 @@ raw_idf AS (SELECT df.*, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN sco
 means AS (SELECT scope, avg(raw) AS mean FROM raw_idf GROUP BY scope),
 terms AS (SELECT scope, term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw_idf JOIN means USING (scope))"""
 SCORES = f"""{INDEX},
-asked AS (SELECT item_id AS query_id, unnest(({W})[1:8]) AS term FROM benchmark),
+asked AS (SELECT item_id AS query_id, unnest({W}) AS term FROM benchmark),
 scored AS (SELECT query_id, scope, id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked JOIN terms USING (term) JOIN tf USING (scope, term) JOIN dl USING (scope, id) JOIN scopes USING (scope) GROUP BY query_id, scope, id)"""
 SQL["bm25_idf"] = f"WITH {INDEX} SELECT scope, term, df, round(idf, 6) AS idf FROM terms"
 SQL["bm25_topk"] = f"""WITH {SCORES},
@@ -285,22 +293,23 @@ SQL["vector_topk_scoped"] = nearest("AND q.label = v.label")
 SQL["minmax_normalize"] = "WITH s AS (SELECT doc_id, CAST(len(text) AS DOUBLE) AS s, CAST(min(len(text)) OVER (PARTITION BY source) AS DOUBLE) AS lo, CAST(max(len(text)) OVER (PARTITION BY source) AS DOUBLE) AS hi FROM documents) SELECT doc_id, round(CASE WHEN hi - lo <= 1e-12 THEN CASE WHEN s > 0 THEN 1 ELSE 0 END ELSE (s - lo) / (hi - lo) END, 6) AS norm FROM s"
 
 
-def scaled(x: str) -> str:
-    lo, hi = f"min({x}) OVER (PARTITION BY query_id)", f"max({x}) OVER (PARTITION BY query_id)"
+def scaled(x: str, pool: str) -> str:
+    lo, hi = f"min({x}) OVER (PARTITION BY {pool})", f"max({x}) OVER (PARTITION BY {pool})"
     return f"CASE WHEN {hi} - {lo} <= 1e-12 THEN CASE WHEN {x} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE ({x} - {lo}) / ({hi} - {lo}) END"
 
 
 def fused(sign: str) -> str:
     return f"""WITH {SCORES},
-b AS (SELECT query_id, id, {scaled('score')} AS bm25_score FROM scored WHERE scope = 'en'),
-dist AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {sign}list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS d FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings v ON v.vec_id < 200 WHERE q.vec_id < 200),
-e AS (SELECT query_id, id, {scaled('d')} AS embedding_score FROM dist),
-j AS (SELECT query_id, id, coalesce(bm25_score, 0) AS bm25_score, coalesce(embedding_score, 0) AS embedding_score FROM b FULL JOIN e USING (query_id, id)),
+every AS (SELECT b.item_id AS query_id, dl.scope, dl.id, coalesce(score, 0) AS score FROM benchmark b CROSS JOIN dl LEFT JOIN scored s ON s.query_id = b.item_id AND s.scope = dl.scope AND s.id = dl.id),
+b AS (SELECT query_id, scope, id, {scaled('score', 'query_id, scope')} AS bm25_score FROM every),
+dist AS (SELECT q.vec_id AS query_id, lang AS scope, v.vec_id AS id, {sign}list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS d FROM embeddings q JOIN benchmark ON item_id = q.vec_id CROSS JOIN embeddings v JOIN documents ON doc_id = v.vec_id),
+e AS (SELECT query_id, scope, id, {scaled('d', 'query_id, scope')} AS embedding_score FROM dist),
+j AS (SELECT query_id, scope, id, coalesce(bm25_score, 0) AS bm25_score, coalesce(embedding_score, 0) AS embedding_score FROM b FULL JOIN e USING (query_id, scope, id)),
 f AS (SELECT j.*, CASE WHEN chunk_nature = 'table_main' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * bm25_score + embedding_score AS hybrid_score FROM j LEFT JOIN ({CHUNKS}) c ON c.doc_id = j.id)"""
 
 
 SQL["hybrid_fusion"] = fused("-") + " SELECT query_id, id, round(bm25_score, 6) AS bm25_score, round(embedding_score, 6) AS embedding_score, round(hybrid_score, 6) AS hybrid_score FROM f"
-SQL["hybrid_topk"] = fused("") + ", r AS (SELECT query_id, id, round(hybrid_score, 6) AS hybrid_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(hybrid_score, 6) DESC, id) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 5"
+SQL["hybrid_topk"] = fused("") + ", r AS (SELECT query_id, scope, id, round(hybrid_score, 6) AS hybrid_score, CAST(row_number() OVER (PARTITION BY query_id, scope ORDER BY round(hybrid_score, 6) DESC, id) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 5"
 SQL["candidate_union"] = "SELECT doc_id AS id FROM documents UNION SELECT vec_id FROM embeddings"
 
 # Extraction.
@@ -316,6 +325,7 @@ SQL["value_excerpt"] = f"WITH {EXCERPT} SELECT case_id, rank, md5(excerpt) AS ex
 SQL["excerpt"] = f"WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {strip('x')} <> '') AS ls FROM documents) SELECT doc_id, md5(left({strip('array_to_string(ls[1:5], chr(10))')}, 500)) AS excerpt_md5 FROM l"
 SQL["collect_docs"] = f"WITH {COLLECTED} SELECT case_id, doc_rank, rank, filing_year, CAST(filing_year - 2021 AS INTEGER) AS year_index, coalesce(table_row_count, 1) AS table_row_count FROM collected WHERE doc_rank <= 3"
 SQL["serialize_docs"] = f"WITH {COLLECTED} SELECT case_id, doc_rank AS rank, filing_year, section, md5(coalesce(nullif(text, ''), excerpt, '')) AS full_text_md5 FROM collected WHERE doc_rank <= 3"
+SQL["excerpt_display"] = f"WITH {COLLECTED} SELECT case_id, doc_rank, left(replace(text, chr(10), ' '), 120) AS shown FROM collected WHERE doc_rank <= 3"
 SQL["doc_blocks"] = f"""WITH {COLLECTED} SELECT case_id, md5(string_agg(concat('Document ', doc_rank, chr(10), 'Filing year: ', filing_year, chr(10), 'Section: ', section, chr(10), 'Table row count: ', coalesce(table_row_count, 1), chr(10), 'Full text:', chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY doc_rank)) AS documents_md5 FROM collected WHERE doc_rank <= 3 GROUP BY case_id"""
 
 
@@ -344,7 +354,7 @@ cases AS (SELECT year, variable, {NORMAL} AS ground_truth FROM truth CROSS JOIN
 PREDICTED = f"""{TRUTH},
 guess AS (SELECT *, CASE WHEN year % 3 = 0 THEN ground_truth WHEN ({amount('ground_truth')}) IS NOT NULL THEN CAST(CAST(({amount('ground_truth')}) + year % 250 AS BIGINT) AS VARCHAR) ELSE 'A' END AS prediction FROM cases),
 judged AS (SELECT *, CASE WHEN ({amount('prediction')}) IS NOT NULL AND ({amount('ground_truth')}) IS NOT NULL THEN abs(({amount('prediction')}) - ({amount('ground_truth')})) <= 100 ELSE prediction = ground_truth END AS correct FROM guess)"""
-FOUND_NUMBERS = f"list_transform(regexp_extract_all(text, {q(r'\(?-?\$?\d[\d,]*\.?\d*\)?')}), lambda t: {amount('t')})"
+FOUND_NUMBERS = f"list_transform(regexp_extract_all(text, {q(fixed.NUMBER_TOKEN)}), lambda t: {amount('t')})"
 HIT = f"CASE WHEN ground_truth = '' THEN false WHEN ({amount('ground_truth')}) IS NOT NULL THEN len(list_filter({FOUND_NUMBERS}, lambda v: coalesce(abs(v - ({amount('ground_truth')})) <= 100, false))) > 0 ELSE contains(upper(text), upper({strip('ground_truth')})) END"
 CASE_DOCS = f"""{PREDICTED},
 texts AS (SELECT *, [concat('first text 1,2 and ', ground_truth), concat('about (', prediction, ') so'), lower(concat('rated ', ground_truth))] AS d, CAST(year % 2 + 1 AS INTEGER) AS supporting FROM judged),

@@ -99,6 +99,9 @@ def _scratch(spark) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/quillstone-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return "file://" + tempfile.mkdtemp(prefix="quillstone-")
 
 
@@ -120,6 +123,13 @@ def parse_num(spark, d):
     return rows.select("id", T.parse_num(F.col("cell")).alias("result"))
 
 
+@query
+def parse_any_line(spark, d):
+    p = inputs.lines(spark, d).select("id", T.parse_any_line(F.col("line")).alias("p"))
+    shown = lambda c: F.array_join(F.transform(c, lambda v: F.when(v.isNotNull(), F.format_string("%.2f", v))), ";", "None")
+    return p.select("id", "p.type", "p.label", shown(F.col("p.values")).alias("values"), F.array_join(F.transform("p.years", lambda y: y.cast("string")), ";").alias("years"), F.when(F.col("p.mentions").isNotNull(), F.size("p.mentions")).alias("n_mentions"), "p.original")
+
+
 @query
 def normalize_value(spark, d):
     rows = inputs.rel(spark, d, f"SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN concat('$(', {inputs.A}, ')') WHEN 1 THEN concat('(', {inputs.B}) WHEN 2 THEN '' WHEN 3 THEN concat('$-', {inputs.C}) WHEN 4 THEN concat({inputs.A}, 'B') ELSE concat('(', {inputs.A}, '.25)') END AS cell FROM orders")
@@ -467,7 +477,13 @@ def value_excerpt(spark, d):
 def excerpt(spark, d):
     """Five lines around the third, at most 500 characters."""
     rows = F.filter(F.split("text", "\n", -1), lambda x: T.strip(x) != "")
-    return _docs(spark, d).select("doc_id", F.md5(F.left(T.strip(F.array_join(F.slice(rows, 1, 5), "\n")), F.lit(500)).cast("binary")).alias("excerpt_md5"))
+    return _docs(spark, d).select("doc_id", F.md5(T.excerpt_around(rows, F.lit(2)).cast("binary")).alias("excerpt_md5"))
+
+
+@query
+def excerpt_display(spark, d):
+    """The collected documents of each case as a list shows them."""
+    return extraction.collect_docs(_ranked(spark, d)).select("case_id", "doc_rank", T.excerpt_display(F.col("text")).alias("shown"))
 
 
 @query

@@ -21,12 +21,19 @@ def test_index_and_evaluate(spark, tmp_path, capsys):
     assert summary["cases"] == 8 and summary["retrieval_hit"] >= 3
     got = spark.read.option("header", True).csv(f"{tmp_path}/csv")
     assert got.count() == 8 and got.where("correct = 'true' AND variable = 'total_revenues' AND year = 2021").count() == 1
+    stats = spark.read.json(f"{tmp_path}/db/_chunk_stats").first()
+    assert stats.total_chunks == first["total_chunks"] == sum(b["count"] for b in stats.histogram) and stats.char_stats.max <= 1300
+    for method in ("bm25", "embedding"):
+        main(["evaluate", "--index", f"{tmp_path}/db", "--eval-path", f"{tmp_path}/truth.csv", "--output-path", f"{tmp_path}/{method}", "--match-method", method])
+        assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["cases"] == 8
 
 
 def test_review_and_labels(spark, tmp_path):
     filings(spark, f"{tmp_path}/filings")
     main(["review", "--filings", f"{tmp_path}/filings", "--out", f"{tmp_path}/review", "--chunker", "simple"])
     assert spark.read.json(f"{tmp_path}/review").count() > 1
+    header = spark.read.json(f"{tmp_path}/review/_stats").first()
+    assert header.chunk_count == spark.read.json(f"{tmp_path}/review").count() == sum(b["count"] for b in header.histogram)
     data = tmp_path / "data"
     data.mkdir()
     (data / "a.csv").write_text('line\n"Total revenues 1,100 1,200"\n\nplain prose here\nSegment overview\n' * 12)
