@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset (tests), a folder of our own is made
-and registered as checkpoint folder. A table written here survives a lost executor, unlike cached blocks.
+``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset in local mode (tests), a folder of our own is
+made and registered as checkpoint folder; on a cluster that is an error. A table written here survives a lost executor, unlike cached blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillstone-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
