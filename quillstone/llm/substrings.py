@@ -9,12 +9,12 @@ windows with one anchor form a span, so a span stands for about 180 windows and
 2. Spans that occur twice as a whole have only repeated windows. What is left are edge spans: their anchor is
    repeated, they are not.
 3. Edge spans meet the distinct spans of their anchor with their bytes. The suffixes at the anchors are ordered by
-   deep-shallow sorting; for neighbours outwards in that order, the common prefix forward and the common suffix
-   backward tell exactly which windows are equal.
+   deep-shallow sorting, and so are the bytes before them, read backwards. Two windows at one distance from their anchor are
+   equal if they lie in one interval of both orders, which the common prefixes of neighbours tell exactly. Up to
+   ``PAIRWISE`` spans, neighbours outwards in the first order are compared directly, which is the same and faster.
 
-Groups of more than ``PAIRWISE`` spans would need too many pairs; their windows are told apart by 128-bit
-fingerprints instead, and groups above ``HOT`` spans are not brought together at all: their windows' fingerprints are
-counted by a shuffle with partial sums. Spans are compared by 128-bit fingerprints, too.
+Copies of whole spans (2.) are told by 128-bit fingerprints. An anchor with more than ``HOT`` different spans is not brought
+together: its windows' 128-bit fingerprints are counted by a shuffle with partial sums.
 
 Defined results. Null text is the empty text. Texts shorter than ``LENGTH`` bytes keep everything. Repeated rows are
 separate documents, hence remove one another if they are long enough. Null ids are kept. An empty table gives no
@@ -141,7 +141,7 @@ def repeated_windows(group: list[tuple[int, int, int, bool, bytes]]) -> list[tup
     Each span is (lo, hi, m, edge, bytes). An offset is the anchor's distance from the window's start.
     """
     if len(group) > PAIRWISE:
-        return _by_prints(group)
+        return _by_orders(group)
     forward = [body[m - lo :] for lo, _, m, _, body in group]
     backward = [body[: m - lo][::-1] for lo, _, m, _, body in group]
     order, lcps = deep_shallow(forward)
@@ -171,21 +171,29 @@ def _runs_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
-def _by_prints(group: list[tuple[int, int, int, bool, bytes]]) -> list[tuple[int, int, int]]:
-    names, owners = [], []
-    for i, (lo, hi, m, _, body) in enumerate(group):
-        prints, begin = Prints(np.frombuffer(body, np.uint8)), np.arange(hi - lo + 1)
-        place = (m - lo - begin).astype(np.uint64)
-        names.append(np.stack([place, *(prints.of(begin, begin + LENGTH, k) for k in (0, 1))], 1))
-        owners.append(np.full(hi - lo + 1, i))
-    flat, owner = np.concatenate(names), np.concatenate(owners)
-    order = np.lexsort((flat[:, 2], flat[:, 1], flat[:, 0]))
-    same = (flat[order[1:]] == flat[order[:-1]]).all(1)
-    twice = np.zeros(len(flat), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    ends = np.cumsum([len(n) for n in names])
-    return [(i, lo + a, lo + b) for i, (lo, hi, _, edge, _) in enumerate(group) if edge for a, b in _runs_of(twice[ends[i] - (hi - lo + 1) : ends[i]])]
+def _by_orders(group: list[tuple[int, int, int, bool, bytes]]) -> list[tuple[int, int, int]]:
+    """The same from the orders of all spans' bytes from the anchor on and before it, one distance at a time."""
+    def places(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        order, lcps = deep_shallow(strings)
+        return np.array(order), np.array(lcps)
+
+    def intervals(order: np.ndarray, lcps: np.ndarray, length: int) -> np.ndarray:
+        """Number of each string's interval of the order whose common prefix reaches ``length``."""
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(lcps < length)
+        return out
+
+    forward, backward = places([body[m - lo :] for lo, _, m, _, body in group]), places([body[: m - lo][::-1] for lo, _, m, _, body in group])
+    near, far = np.array([m - hi for _, hi, m, _, _ in group]), np.array([m - lo for lo, _, m, _, _ in group])
+    twice = [np.zeros(hi - lo + 1, bool) if edge else None for lo, hi, _, edge, _ in group]
+    for distance in range(int(near.min()), int(far.max()) + 1):
+        have = np.flatnonzero((near <= distance) & (distance <= far))
+        names = intervals(*forward, LENGTH - distance)[have] * (len(group) + 1) + intervals(*backward, distance)[have]
+        _, which, n = np.unique(names, return_inverse=True, return_counts=True)
+        for i in have[n[which] > 1].tolist():
+            if twice[i] is not None:
+                twice[i][far[i] - distance] = True
+    return [(i, lo + a, lo + b) for i, (lo, _, _, edge, _) in enumerate(group) if edge for a, b in _runs_of(twice[i])]
 
 
 CUTS = pa.schema([("rk", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])

@@ -43,9 +43,10 @@ def corpus(copies=12):
     return texts + [exact, exact, draw(100) + "\0\n" + exact[100:900]]
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_matches_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "pairwise"), [(20_000, 64), (20_000, 1), (3, 64)])
+def test_matches_brute_force(spark, hot, pairwise, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "PAIRWISE", pairwise)
     texts = corpus()
     df = spark.createDataFrame([("x", t, i if i % 9 else None, 1, 1) for i, t in enumerate(texts)], SCHEMA).repartition(4)
     got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect())
@@ -71,7 +72,7 @@ def test_repeated_rows_and_empty(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
-def test_pairs_and_prints_agree():
+def test_pairs_and_orders_agree():
     rng = random.Random(2)
     for trial in range(30):
         base = bytes(rng.choice(b"abcd") for _ in range(900))
@@ -89,7 +90,7 @@ def test_pairs_and_prints_agree():
             for s in range(lo, hi + 1):
                 windows[m - s, body[s - lo : s - lo + LENGTH]].add(i)
         want = {(i, s) for (d, _), who in windows.items() if len(who) > 1 for i in who for s in [400 - d]}
-        for rows in (repeated_windows(group), substrings._by_prints(group)):
+        for rows in (repeated_windows(group), substrings._by_orders(group)):
             assert {(i, s) for i, a, b in rows for s in range(a, b + 1)} == want
 
 
