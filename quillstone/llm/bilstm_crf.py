@@ -20,7 +20,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 class BiLstmCrf:
     """``scores``: emissions; ``fit``: Adam on the CRF's log likelihood; ``decode``: Viterbi path with marginals."""
 
-    def __init__(self, n_symbols: int, n_tags: int, width: int = 8, hidden: int = 16, seed: int = 11):
+    def __init__(self, n_symbols: int, n_tags: int, width: int = 8, hidden: int = 16, seed: int = 11, kind: type = np.float64):
         rng = np.random.default_rng(seed)
         self.hidden = hidden
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
@@ -29,11 +29,12 @@ class BiLstmCrf:
             bias = np.zeros(4 * hidden)
             bias[hidden : 2 * hidden] = 1.0  # remember at first
             self.p |= {f"{side}_x": draw(width, 4 * hidden), f"{side}_h": draw(hidden, 4 * hidden), f"{side}_b": bias}
+        self.p = {n: v.astype(kind) for n, v in self.p.items()}
 
     def _lstm(self, x: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
         """x is time, batch, width; gates are input, forget, output, candidate."""
-        n, h = self.hidden, np.zeros((x.shape[1], self.hidden))
-        c, w, out, steps = np.zeros_like(h), self.p[f"{side}_h"], np.empty((*x.shape[:2], self.hidden)), []
+        n, h = self.hidden, np.zeros((x.shape[1], self.hidden), x.dtype)
+        c, w, out, steps = np.zeros_like(h), self.p[f"{side}_h"], np.empty((*x.shape[:2], self.hidden), x.dtype), []
         entered = x @ self.p[f"{side}_x"] + self.p[f"{side}_b"]
         for t in range(len(x)):
             z = entered[t] + h @ w
@@ -74,7 +75,7 @@ class BiLstmCrf:
 
     def _back(self, d_out: np.ndarray, x: np.ndarray, steps: list, side: str, grads: dict) -> np.ndarray:
         w, n = self.p[f"{side}_h"], self.hidden
-        dh, dc, dz_all = np.zeros(d_out.shape[1:]), np.zeros(d_out.shape[1:]), np.empty((*d_out.shape[:2], 4 * n))
+        dh, dc, dz_all = np.zeros(d_out.shape[1:], x.dtype), np.zeros(d_out.shape[1:], x.dtype), np.empty((*d_out.shape[:2], 4 * n), x.dtype)
         dw = np.zeros_like(w)
         for t in range(len(x) - 1, -1, -1):
             i, f, o, g, before, squashed, prior = steps[t]
@@ -98,7 +99,7 @@ class BiLstmCrf:
         de = marginal.copy()
         de[np.arange(steps)[:, None], rows, y] -= 1
         de /= batch
-        pairs = np.zeros((k, k))
+        pairs = np.zeros((k, k), e.dtype)
         for t in range(steps - 1):
             pairs += np.exp(a[t][:, :, None] + self.p["trans"] + (e[t + 1] + b[t + 1])[:, None, :] - whole[:, None, None]).sum(0)
         np.subtract.at(pairs, (y[:-1].ravel(), y[1:].ravel()), 1)
@@ -129,7 +130,7 @@ class BiLstmCrf:
                     v = v * clip
                     m += 0.1 * (v - m)
                     s += 0.001 * (v * v - s)
-                    self.p[n] -= step * m / (np.sqrt(s) + 1e-8)
+                    self.p[n] -= (step * m / (np.sqrt(s) + 1e-8)).astype(v.dtype)
             losses.append(total / max(1, len(order)))
         return losses
 

@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.bilstm_crf import BiLstmCrf
+from quillstone.llm.store import exists, shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, MARGIN, SURE = 128, 64, 2, 0.8
@@ -250,17 +251,33 @@ def training_set(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarra
 
 
 def train(texts: list[str], *, epochs: int = 10, seed: int = 3) -> BiLstmCrf:
-    model = BiLstmCrf(N_SYMBOLS, N_TAGS)
+    model = BiLstmCrf(N_SYMBOLS, N_TAGS, kind=np.float32)
     model.fit(*training_set(texts, seed), epochs=epochs)
     return model
 
 
-OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
-OUT_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+def trained(spark: SparkSession, texts: list[str], *, epochs: int = 10, seed: int = 3) -> BiLstmCrf:
+    """A model of these texts; its weights are kept in the shared folder, by a digest of all that they follow from."""
+    rows = training_set(texts, seed)
+    digest = hashlib.sha256(b"".join([np.ascontiguousarray(x).tobytes() for x in rows]) + repr((epochs, seed, N_SYMBOLS, N_TAGS)).encode()).hexdigest()
+    path = f"{shared_dir(spark)}/quillstone/personal-data-{digest}"
+    model = BiLstmCrf(N_SYMBOLS, N_TAGS, kind=np.float32)
+    if exists(spark, f"{path}/_SUCCESS"):
+        for r in spark.read.parquet(path).collect():
+            model.p[r["name"]] = np.frombuffer(r["weights"], np.float32).reshape(r["shape"]).copy()
+        return model
+    model.fit(*rows, epochs=epochs)
+    kept = [(n, list(v.shape), v.astype(np.float32).tobytes()) for n, v in sorted(model.p.items())]
+    spark.createDataFrame(kept, "name string, shape array<int>, weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return model
+
+
+OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_spans", pa.int64())])
+OUT_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_sample: int = MAX_SAMPLE) -> DataFrame:
-    """One row per document: doc_id, counts of base spans by kind, base_sha256, spans (all), n_added."""
+    """One row per document: doc_id, counts of base spans by kind, base_sha256, spans (all), n_added, n_spans (their number)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # Whole texts with a digit or at-sign, drawn by a hash; long ones are left to be scanned, not learned from.
     some = texts.where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike("[0-9@]")).withColumn("draw", F.xxhash64("doc_id"))
@@ -268,7 +285,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if total > max_sample:  # about a fifth more than needed, so that little is sorted and sent
         some = some.where(F.pmod("draw", F.lit(1_000_003)) < 1_000_003 * 1.2 * max_sample / total)
     sample = [r.text for r in some.orderBy("draw", "doc_id", "text").limit(max_sample).collect()]
-    model = docs.sparkSession.sparkContext.broadcast(train(sample))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs.sparkSession, sample))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +297,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 counts = [[sum(s[2] == k for s in b) for b in base] for k in range(len(KINDS))]
                 digests = [hashlib.sha256(written(b).encode()).hexdigest() for b in base]
                 extra = [len(e) - len(b) for e, b in zip(every, base)]
-                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array([written(e) for e in every]), pa.array(extra, pa.int64())]
+                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array([written(e) for e in every]), pa.array(extra, pa.int64()), pa.array(list(map(len, every)), pa.int64())]
                 yield pa.record_batch(columns, schema=OUT)
 
     return texts.mapInArrow(find, OUT_DDL)

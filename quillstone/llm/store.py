@@ -33,6 +33,11 @@ def delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete what all operator runs have left in the shared folder; their results cannot be read afterwards."""
     delete(spark, f"{shared_dir(spark)}/quillstone")

@@ -7,7 +7,7 @@ import pytest
 
 from quillstone.llm import pii
 from quillstone.llm.bilstm_crf import BiLstmCrf
-from quillstone.llm.pii import added_spans, base_spans, find_personal_data, luhn, reconcile, train, written
+from quillstone.llm.pii import trained, added_spans, base_spans, find_personal_data, luhn, reconcile, train, written
 
 SCHEMA = "spans string, text string, doc_id long, n_email int"
 
@@ -99,5 +99,15 @@ def test_query_rows(spark):
         base = brute(text)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in range(4)]
         assert r.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
-        assert r.spans == written(base) and r.n_added == 0
+        assert r.spans == written(base) and r.n_added == 0 and r.n_spans == len(base)
     assert find_personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_weights_are_kept_and_found_again(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DRAWN", 5)
+    first = trained(spark, ["mail me@host.org now"], epochs=1)
+    monkeypatch.setattr(pii.BiLstmCrf, "fit", lambda *a, **b: 1 / 0)
+    again = trained(spark, ["mail me@host.org now"], epochs=1)
+    assert all(np.array_equal(first.p[n], again.p[n]) and again.p[n].dtype == np.float32 for n in first.p)
+    with pytest.raises(ZeroDivisionError):
+        trained(spark, ["mail you@host.org now"], epochs=1)
