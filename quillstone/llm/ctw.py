@@ -8,10 +8,12 @@ Pw) / 2``. The prediction mixes all depths: a node's own estimate has weight ``P
 the rest. Counts come from all training texts; the tree is then fixed and scores every text.
 
 How it is spread. Documents are dealt to chunks of about ``CHUNK_BYTES``. A chunk lists its distinct (context,
-byte) pairs and words once, with training counts, packed by owner: the hash of the two nearest context bytes, or
-of the word. Owners add up counts and evaluate the tree below depth 2; depths 0 and 1 have at most 65,792 nodes,
-whatever the corpus, and are the only thing broadcast. Owners answer each chunk's list, and the chunk scores its
-texts. No task holds the model; what is shuffled grows with the corpus.
+byte) pairs and words once, with training counts, packed by owner. The two nearest bytes of a context name a group,
+the third one of its ``SPLITS`` owners; a word's owner is its hash. The number of owners follows the cores and not
+the input, so the rows grow with the input alone. Owners add up counts and evaluate the tree below depth 3, groups
+depth 2 from their owners' sums; depths 0 and 1 have at most 65,792 nodes, whatever the corpus, and are the only thing
+broadcast. Owners answer each chunk's list, and the chunk scores its texts. No task holds the model; what is shuffled
+grows with the corpus.
 
 Defined results. Null text is the empty text: one token, the end. A null id hashes like the empty text, hence is
 held out by the default split. Repeated rows are separate documents and equally scored. Without training texts
@@ -38,6 +40,10 @@ DEPTH = 5
 CHUNK_BYTES = 8 << 20
 SEGMENT_BYTES, SEGMENT_DOCS = 2 << 20, 60_000
 SMOOTHING = 0.1
+#: Owners of a group, and the least number of groups; a cluster of more cores has a group for every two.
+SPLITS, GROUPS = 8, 64
+#: Least depth of an owner's trees.
+TOP = 3
 GRAMS, WORDS = 0, 1
 _PAD = b"\n" * DEPTH
 _U = np.uint64
@@ -118,7 +124,8 @@ def message_of(words: list[bytes]) -> bytes:
 
 
 def owner_of_grams(keys: np.ndarray, owners: int) -> np.ndarray:
-    return (mix(keys >> _U(32)) % _U(owners)).astype(np.int64)
+    group, split = mix(keys >> _U(32)) % _U(owners // SPLITS), mix((keys >> _U(24)) & _U(0xFF)) % _U(SPLITS)
+    return (group * _U(SPLITS) + split).astype(np.int64)
 
 
 def _texts(table: pa.Table) -> list[list[bytes]]:
@@ -201,13 +208,26 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+def _added(names: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct names in order, and the sums of each."""
+    used, which = np.unique(names, return_inverse=True)
+    return used, *(np.bincount(which, x, len(used)) for x in sums)
+
+
+def _mixed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weight of the nodes' own estimates, the estimates of a one, and log Pw, from the sum of the children's log Pw."""
+    pe = log_pe(zeros, ones)
+    pw = np.logaddexp(_HALF + pe, _HALF + below)
+    return np.exp(_HALF + pe - pw), (ones + 0.5) / (zeros + ones + 1.0), pw
+
+
 class Tree:
-    """All levels from ``DEPTH`` up to 2 of the trees over an owner's pairs; distinct keys in order, and counts."""
+    """All levels from ``DEPTH`` up to ``TOP`` of the trees over an owner's pairs; distinct keys in order, and counts."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys = keys
         levels, k, c = {}, keys, counts
-        for depth in range(DEPTH, 1, -1):
+        for depth in range(DEPTH, TOP - 1, -1):
             nodes = []
             for j in range(8):
                 prefix = k >> _U(8 - j)
@@ -227,7 +247,7 @@ class Tree:
             up[order] = np.cumsum(step)
             levels[depth] = {"keys": k, "nodes": nodes, "up": up}
             k, c = sorted_parent[first], np.add.reduceat(c[order], first)
-        for depth in range(DEPTH, 1, -1):
+        for depth in range(DEPTH, TOP - 1, -1):
             for j, node in enumerate(levels[depth]["nodes"]):
                 if depth == DEPTH:
                     node["pw"] = node["pe"]
@@ -240,26 +260,23 @@ class Tree:
         self.levels = levels
 
     def upward(self) -> tuple[np.ndarray, ...]:
-        """(nearest byte, node, zeros, ones, sum of log Pw) of the depth-2 nodes, added up for each depth-1 node."""
-        k, parts = self.levels[2]["keys"], []
-        for j, node in enumerate(self.levels[2]["nodes"]):
-            key = k[node["first"]]
-            name = ((key >> _U(16)).astype(np.int64) << 8) | (1 << j) | ((key & _U(0xFF)).astype(np.int64) >> (8 - j))
-            parts.append((name, node["zeros"], node["ones"], node["pw"]))
-        name, zeros, ones, pw = (np.concatenate(x) for x in zip(*parts))
-        used = np.unique(name)
-        sums = [np.bincount(name, x, 65_536)[used] for x in (zeros, ones, pw)]
-        return used >> 8, used & 255, *sums
-
-    def log10(self, upper: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """(name, zeros, ones, sum of log Pw) of the nodes above ``TOP``; a name is the two nearest bytes and the node."""
+        k, parts = self.levels[TOP]["keys"], []
+        for j, node in enumerate(self.levels[TOP]["nodes"]):
+            key = k[node["first"]].astype(np.int64)
+            parts.append(((key >> 16 << 8) | (1 << j) | ((key & 0xFF) >> (8 - j)), node["zeros"], node["ones"], node["pw"]))
+        return _added(*(np.concatenate(x) for x in zip(*parts)))
+
+    def log10(self, second: tuple[np.ndarray, np.ndarray, np.ndarray], upper: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """log10 probability of each pair's byte after its context, mixed over all depths."""
+        names, weight2, one2 = second
         weight1, one1, weight0, one0 = upper
         total = np.zeros(len(self.keys))
-        near, byte = (self.keys >> _U(40)).astype(np.int64), (self.keys & _U(0xFF)).astype(np.int64)
+        near, byte = (self.keys >> _U(32)).astype(np.int64), (self.keys & _U(0xFF)).astype(np.int64)
         for j in range(8):
             bit, at = (byte >> (7 - j)) & 1, np.arange(len(self.keys))
             one = None
-            for depth in range(DEPTH, 1, -1):
+            for depth in range(DEPTH, TOP - 1, -1):
                 node = self.levels[depth]["nodes"][j]
                 own = (node["ones"] + 0.5) / (node["zeros"] + node["ones"] + 1.0)
                 if one is None:
@@ -270,50 +287,76 @@ class Tree:
                     one = weight[i] * own[i] + (1 - weight[i]) * one
                 at = self.levels[depth]["up"][at]
             name = (1 << j) | (byte >> (8 - j))
-            one = weight1[near, name] * one1[near, name] + (1 - weight1[near, name]) * one
+            i = np.searchsorted(names, (near << 8) | name)
+            one = weight2[i] * one2[i] + (1 - weight2[i]) * one
+            one = weight1[near >> 8, name] * one1[near >> 8, name] + (1 - weight1[near >> 8, name]) * one
             one = weight0[name] * one0[name] + (1 - weight0[name]) * one
             total += np.log10(np.where(bit == 1, one, 1 - one))
         return total
 
 
-def upper_levels(rows: list[tuple[int, int, float, float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Weights and estimates of depths 1 and 0 from (nearest byte, node, zeros, ones, sum of the children's log Pw)."""
-    zeros, ones, below = (np.zeros((256, 256)) for _ in range(3))
-    for near, node, z, o, s in rows:
-        zeros[near, node], ones[near, node], below[near, node] = z, o, s
+def second_level(parts: list[tuple[np.ndarray, ...]]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Names, weights and estimates of a group's depth-2 nodes, and the sums of the nodes above, named alike by their
+    one byte, from what ``upward`` gave for each owner."""
+    names, zeros, ones, below = _added(*(np.concatenate(x) for x in zip(*parts)))
+    weight, one, pw = _mixed(zeros, ones, below)
+    return (names, weight, one), _added((names >> 16 << 8) | (names & 0xFF), zeros, ones, pw)
 
-    def settle(z: np.ndarray, o: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        pe = log_pe(z, o)
-        pw = np.logaddexp(_HALF + pe, _HALF + s)
-        return np.exp(_HALF + pe - pw), (o + 0.5) / (z + o + 1.0), pw
 
-    weight1, one1, pw1 = settle(zeros, ones, below)
-    weight0, one0, _ = settle(zeros.sum(0), ones.sum(0), pw1.sum(0))
+def upper_levels(rows: list[tuple[int, float, float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and estimates of depths 1 and 0 from (name, zeros, ones, sum of the children's log Pw)."""
+    sums = np.zeros((3, 256, 256))
+    for name, *values in rows:
+        sums[:, name >> 8, name & 0xFF] = values
+    zeros, ones, _ = sums
+    weight1, one1, pw1 = _mixed(*sums)
+    weight0, one0, _ = _mixed(zeros.sum(0), ones.sum(0), pw1.sum(0))
     return weight1, one1, weight0, one0
 
 
-UP = pa.schema([("near", pa.int32()), ("node", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64()), ("below", pa.float64())])
+UP = pa.schema([("group", pa.int64()), *((n, pa.binary()) for n in ("names", "zeros", "ones", "below"))])
+UP_DDL = "group long, names binary, zeros binary, ones binary, below binary"
+SECOND = pa.schema([("group", pa.int64()), *((n, pa.binary()) for n in ("names", "weight", "one", "up_names", "up_zeros", "up_ones", "up_below"))])
+SECOND_DDL = "group long, names binary, weight binary, one binary, up_names binary, up_zeros binary, up_ones binary, up_below binary"
+FIRST = pa.schema([("name", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("below", pa.float64())])
+FIRST_DDL = "name long, zeros double, ones double, below double"
 
 
 def _raw(batch: pa.RecordBatch, column: int, row: int, kind) -> np.ndarray:
     return np.frombuffer(batch.column(column)[row].as_py(), kind)
 
 
+def _named(batch: pa.RecordBatch, column: int, row: int) -> tuple[np.ndarray, ...]:
+    """Names and three columns of values from ``column`` on."""
+    return _raw(batch, column, row, np.int64), *(_raw(batch, column + k, row, np.float64) for k in (1, 2, 3))
+
+
 def _upward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
-            near, node, *sums = Tree(_raw(batch, 3, r, np.uint64), _raw(batch, 4, r, np.int64)).upward()
-            yield pa.record_batch([pa.array(near, pa.int32()), pa.array(node, pa.int32()), *map(pa.array, sums)], schema=UP)
+            parts = Tree(_raw(batch, 3, r, np.uint64), _raw(batch, 4, r, np.int64)).upward()
+            yield pa.record_batch([pa.array([batch.column(0)[r].as_py() // SPLITS]), *(pa.array([x.tobytes()]) for x in parts)], schema=UP)
+
+
+def _second(table: pa.Table) -> pa.Table:
+    """A group's sums, one row for each of its owners, to its depth-2 nodes and the sums above them."""
+    here, up = second_level([_named(b, 1, r) for b in table.to_batches() for r in range(b.num_rows)])
+    return pa.table([pa.array([table.column(0)[0].as_py()]), *(pa.array([x.tobytes()]) for x in (*here, *up))], schema=SECOND)
+
+
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield pa.record_batch([pa.array(x) for x in _named(batch, 4, r)], schema=FIRST)
 
 
 def _settle(upper):
-    """An owner's counts to its answers: log10 probabilities of pairs as 32-bit floats, counts of words as they are."""
+    """An owner's counts, with its group's depth-2 nodes, to its answers: log10 probabilities of its pairs."""
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = [batch.column(k)[r].as_py() for k in range(5)]
-                if row[1] == GRAMS:
-                    row[4] = Tree(_raw(batch, 3, r, np.uint64), _raw(batch, 4, r, np.int64)).log10(upper.value).astype(np.float32).tobytes()
+                tree, second = Tree(_raw(batch, 3, r, np.uint64), _raw(batch, 4, r, np.int64)), (_raw(batch, 5, r, np.int64), _raw(batch, 6, r, float), _raw(batch, 7, r, float))
+                row = [*(batch.column(k)[r].as_py() for k in range(4)), tree.log10(second, upper.value).tobytes()]
                 yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, MODEL)], schema=MODEL)
 
     return settle
@@ -328,7 +371,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(batch.num_rows):
             owner, kind, chunk = (batch.column(k)[r].as_py() for k in range(3))
             if chunk < 0 and kind == GRAMS:
-                keys, values = _raw(batch, 3, r, np.uint64), _raw(batch, 4, r, np.float32)
+                keys, values = _raw(batch, 3, r, np.uint64), _raw(batch, 4, r, np.float64)
             elif chunk < 0:
                 table = dict(zip(batch.column(3)[r].as_py().split(b"\n"), _raw(batch, 4, r, np.int64).tolist()))
             elif kind == GRAMS:
@@ -386,11 +429,11 @@ def _lookup(messages: list[bytes], answer: dict[tuple[int, int], bytes], owners:
         return
     keys, _ = add_up([(c >> _U(16))[_runs(c >> _U(16))] for _, c in made], [np.zeros(len(_runs(c >> _U(16))), np.int64) for _, c in made])
     own = owner_of_grams(keys, owners)
-    values = np.empty(len(keys), np.float32)
+    values = np.empty(len(keys), np.float64)
     order = np.argsort(own, kind="stable")
     first = _runs(own[order])
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)]):
-        values[order[a:b]] = np.frombuffer(answer[GRAMS, int(own[order[a]])], np.float32)
+        values[order[a:b]] = np.frombuffer(answer[GRAMS, int(own[order[a]])], np.float64)
     for docs, combined in made:
         pairs = combined >> _U(16)
         first = _runs(pairs)
@@ -413,18 +456,22 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     chunks = int(max(spark.sparkContext.defaultParallelism, -(-size // CHUNK_BYTES)))
     dealt = texts.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
 
-    requests = scratch.table("requests", dealt.groupBy("chunk").applyInArrow(_ask(chunks), REQUEST_DDL))
+    owners = SPLITS * max(GROUPS, spark.sparkContext.defaultParallelism // 2)
+    requests = scratch.table("requests", dealt.groupBy("chunk").applyInArrow(_ask(owners), REQUEST_DDL))
     gathered = scratch.table("counts", requests.repartition("owner").sortWithinPartitions("owner", "kind").mapInArrow(_gather, REQUEST_DDL))
-    grams = gathered.where(F.col("kind") == GRAMS)
-    rows = grams.mapInArrow(_upward, "near int, node int, zeros double, ones double, below double").groupBy("near", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect()
-    upper = spark.sparkContext.broadcast(upper_levels([tuple(r) for r in rows]))
-    total, distinct = gathered.where(F.col("kind") == WORDS).mapInArrow(_totals, "total long, known long").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-    model = scratch.table("model", gathered.mapInArrow(_settle(upper), REQUEST_DDL))
+    grams, words = gathered.where(F.col("kind") == GRAMS), gathered.where(F.col("kind") == WORDS)
+    second = scratch.table("second", grams.mapInArrow(_upward, UP_DDL).groupBy("group").applyInArrow(_second, SECOND_DDL))
+    ups = second.mapInArrow(_first, FIRST_DDL).groupBy("name").agg(F.sum("zeros"), F.sum("ones"), F.sum("below"))
+    upper = spark.sparkContext.broadcast(upper_levels([tuple(r) for r in ups.collect()]))  # one row a node of depth 1
+    total, distinct = words.mapInArrow(_totals, "total long, known long").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    of_group = second.select("group", "names", "weight", "one").hint("merge")
+    settled = grams.join(of_group, F.floor(F.col("owner") / SPLITS) == F.col("group")).drop("group").mapInArrow(_settle(upper), REQUEST_DDL)
+    model = scratch.table("model", settled.unionByName(words))
     asked = model.unionByName(requests.select("owner", "kind", "chunk", "keys", F.lit(None).cast("binary").alias("counts")))
     answers = asked.repartition("owner").sortWithinPartitions("owner", "kind", "chunk").mapInArrow(_answer, "chunk long, owner long, kind int, answers binary")
     answers = scratch.table("answers", answers)
-    scratch.drop("requests", "counts", "model")
-    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(chunks, int(total + ends), int(distinct + (ends > 0)), int(ends)), SCORES_DDL)
+    scratch.drop("requests", "counts", "second", "model")
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(owners, int(total + ends), int(distinct + (ends > 0)), int(ends)), SCORES_DDL)
     return scored.withColumn("bits_per_byte", -F.col("score") * math.log2(10) / F.col("n_bytes"))
 
 
