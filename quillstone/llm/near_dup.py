@@ -9,7 +9,8 @@
    tree at most. The number of trees is set for the greatest depth: a pair at the threshold shares a region of
    ``MAX_DEPTH`` in no tree with probability 4e-7; lower depths only add candidates where there are few. A region that
    partitions of an order cut is linked at ``MIN_DEPTH`` across the cut.
-3. Candidates are closed to families by contracting each class to its smallest neighbour until no edge is left.
+3. Candidates are closed to families by contracting each class to its smallest neighbour, round by round, until no
+   more than ``TAIL`` edges are left, which one task closes.
 4. Families are confirmed exactly on full sets. A family that fits a block of ``BLOCK_ROWS`` classes is confirmed at
    once; a larger one is dealt to blocks, and rounds of ever more hubs, at most ``HUBS`` a family and round, go
    against all its blocks. All links that matter to the components are found, without all
@@ -43,6 +44,8 @@ MISS = 4e-7
 BLOCK_ROWS = 256
 #: Hubs of a family in the first round, four times as many in each further one, and the most in a round.
 FIRST_HUBS, HUBS = 128, 4096
+#: Edges that one task closes by union-find, at 100 bytes each; more are contracted by shuffles first.
+TAIL = 200_000
 SIGNED = "doc_id long, rk long, n_shingles long, node binary, signature binary"
 
 
@@ -178,12 +181,33 @@ def candidates(classes: DataFrame, trees: int, scratch: Scratch) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to (x, p): every node and the smallest of its component."""
+    above: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array([top(x) for x in nodes], pa.binary())], names=["x", "p"])
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label) of every node of ``edges`` (a, b): nodes are contracted to their smallest neighbour in rounds."""
-    edges = scratch.table("edges-0", edges)
-    labels = scratch.table("labels-0", edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
-    k = 0
-    while not edges.isEmpty():
+    """(node, label) of every node of ``edges`` (a, b): nodes are contracted to their smallest neighbour in rounds.
+
+    What is left of the graph after a round is closed at once when it has at most ``TAIL`` edges.
+    """
+    edges, labels, k = scratch.table("edges-0", edges), None, 0
+    while edges.count() > TAIL:
+        if labels is None:
+            labels = scratch.table("labels-0", edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
         k += 1
         both = edges.union(edges.select("b", "a"))
         parent = scratch.table(f"parent-{k}", both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("x"), F.least("a", "p").alias("p")))
@@ -192,7 +216,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         labels_next = labels.join(parent, F.col("label") == F.col("x"), "left").select("node", F.coalesce("p", "label").alias("label"))
         edges, labels = scratch.table(f"edges-{k}", moved), scratch.table(f"labels-{k}", labels_next)
         scratch.drop(f"edges-{k - 1}", f"labels-{k - 1}", f"parent-{k}")
-    return labels
+    closed = edges.coalesce(1).mapInArrow(_close, "x binary, p binary")
+    if labels is None:
+        return scratch.table("closed", closed.select(F.col("x").alias("node"), F.col("p").alias("label")))
+    # Two nodes an edge: the bound of the broadcast is TAIL's.
+    return scratch.table("closed", labels.join(F.broadcast(closed), F.col("label") == F.col("x"), "left").select("node", F.coalesce("p", "label").alias("label")))
 
 
 def link_family(values: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:

@@ -75,6 +75,30 @@ def test_large_families_in_blocks(spark, size, percent, monkeypatch):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in got) == brute(rows, size, percent)
 
 
+@pytest.mark.parametrize("tail", [0, 25, 10**6])
+def test_components_by_rounds_and_tail(spark, monkeypatch, tail):
+    """A path, a star and random edges: the same components, whether rounds or one task close them."""
+    monkeypatch.setattr(near_dup, "TAIL", tail)
+    rng = random.Random(3)
+    pairs = [(k, k + 1) for k in range(40)] + [(100, 101 + k) for k in range(20)] + [tuple(sorted(rng.sample(range(200, 260), 2))) for _ in range(35)]
+    want = {n: {n} for pair in pairs for n in pair}
+    for a, b in pairs:
+        if want[a] is not want[b]:
+            want[a] |= want[b]
+            for n in want[b]:
+                want[n] = want[a]
+    edges = spark.createDataFrame([(b"%03d" % a, b"%03d" % b) for a, b in set(pairs)], "a binary, b binary")
+    got = near_dup.components(edges, near_dup.Scratch(spark, "test")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(bytes(r.label), set()).add(int(bytes(r.node)))
+    assert len(got) == len(want) and all(int(label) in nodes and want[int(label)] == nodes for label, nodes in found.items())
+
+
+def test_no_edges_have_no_components(spark):
+    assert near_dup.components(spark.createDataFrame([], "a binary, b binary"), near_dup.Scratch(spark, "test")).count() == 0
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in near_duplicates(spark.createDataFrame([("x", None, 3, 1)], SCHEMA)).collect()] == [(3, 0, 3, True)]
