@@ -115,4 +115,11 @@ SELECT d.doc_id, CAST(len(d.ls) AS INTEGER) AS n_lines, CAST(coalesce(n_removed,
 FROM d LEFT JOIN runs USING (rid) LEFT JOIN kept USING (rid)
 """
 
-SQL: dict[str, str] = {"op2_source_mix": OP2, "op3_decontamination": OP3, "op4_va_topk": OP4, "op8_line_runs": OP8}
+OP11 = """
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW w AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)
+"""
+
+SQL: dict[str, str] = {"op2_source_mix": OP2, "op3_decontamination": OP3, "op4_va_topk": OP4, "op8_line_runs": OP8, "op11_exact_dedup": OP11}

@@ -74,6 +74,12 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.exact_dup import exact_duplicates
+
+    return exact_duplicates(read_table(spark, sf_dir, "documents"), keep="largest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
