@@ -13,6 +13,10 @@ from quillstone.functions import text as T
 
 #: Query tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Different words that a search names in the scan's filter.
+NAMED_TERMS = 1_000
+#: Documents of the rarest words that set a search's bar, for each of its k; documents that may prove a scale's start.
+PROBED, SHORTEST = 50, 32
 
 
 def weight(name: str) -> float:
@@ -36,15 +40,16 @@ def in_scope(chunks: DataFrame, year: Column, year_col: str = "year") -> DataFra
 
 @dataclass
 class Bm25Index:
-    """postings (scope, id, dl, term, tf), documents (scope, id, dl), terms (scope, term, df, idf), scopes (scope, n, avgdl).
+    """postings (scope, id, dl, term, tf), documents (scope, id, dl), terms (scope, term, df, max_tf, min_dl, idf), scopes (scope, n, avgdl).
 
-    Frames are lazy; ``persist`` keeps the postings for many queries.
+    Frames are lazy; ``persist`` keeps the postings for many queries. Postings of a stored index also have ``bucket``, one of ``buckets``.
     """
 
     postings: DataFrame
     documents: DataFrame
     terms: DataFrame
     scopes: DataFrame
+    buckets: int | None = None
 
     def persist(self) -> Bm25Index:
         for df in (self.postings, self.documents, self.terms, self.scopes):
@@ -52,33 +57,114 @@ class Bm25Index:
         return self
 
 
+def idf_terms(counts: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Adds idf to (scope, term, df, ...); a negative one becomes a quarter of the mean idf of the scope's vocabulary."""
+    raw = counts.join(small(scopes.select("scope", "n")), "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean_idf"))
+    idf = F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
+    return raw.join(mean, "scope").withColumn("idf", idf).drop("raw", "n", "mean_idf")
+
+
 def bm25_index(docs: DataFrame, id_col: str, text_col: str, scope_col: str) -> Bm25Index:
-    """Okapi BM25 statistics per scope; a negative idf becomes a quarter of the mean idf of the vocabulary."""
+    """Okapi BM25 statistics per scope."""
     words = docs.select(F.col(scope_col).alias("scope"), F.col(id_col).alias("id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).withColumn("dl", F.size("words"))
     documents = words.select("scope", "id", "dl")
     scopes = documents.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     postings = words.select("scope", "id", "dl", F.explode("words").alias("term")).groupBy("scope", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     # Counting over tf keeps both uses of the postings equal, so that their exchange is made once and reused.
-    df = postings.groupBy("scope", "term").agg(F.count_if(F.col("tf") > 0).alias("df")).join(F.broadcast(scopes), "scope")
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean_idf"))
-    idf = F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
-    terms = raw.join(F.broadcast(mean), "scope").select("scope", "term", "df", idf.alias("idf"))
-    return Bm25Index(postings, documents, terms, scopes)
+    df = postings.groupBy("scope", "term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    return Bm25Index(postings, documents, idf_terms(df, scopes), scopes)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, scope, term, times): case-sensitive words between white space; a word that a query repeats counts as often."""
+    words = queries.select("query_id", "scope", F.explode(T.tokens(F.coalesce("query", F.lit("")))).alias("term"))
+    return words.groupBy("query_id", "scope", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def gain(tf: Column | str, dl: Column | str) -> Column:
+    """What a word adds to a document's score."""
+    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col(dl) / F.col("avgdl"))
+    return F.col("times") * F.col("idf") * F.col(tf) * (fixed.BM25_K1 + 1) / (F.col(tf) + norm)
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
-    """(query_id, scope, id, score) of documents that hold a query word; ``queries`` has query_id, scope, query.
+    """(query_id, scope, id, score) of documents that hold a query word; ``queries`` has query_id, scope, query."""
+    asked = asked_terms(queries)
+    few = fits(asked)
+    weighed = index.terms.join(F.broadcast(asked) if few else asked, ["scope", "term"])  # at most a row for each asked word
+    found = index.postings.join(F.broadcast(weighed) if few else weighed, ["scope", "term"]).join(small(index.scopes), "scope")
+    return found.groupBy("query_id", "scope", "id").agg(F.sum(gain("tf", "dl")).alias("score"))
+
+
+@dataclass
+class Asked:
+    """What a search asks: its words with weights and bounds (a row for each), and the postings of these words."""
 
-    Case-sensitive words between white space; a word that a query repeats counts as often.
+    words: DataFrame
+    postings: DataFrame
+    few: bool
+
+    def near(self, df: DataFrame) -> DataFrame:
+        """Marked for broadcast if the asked words are within the bound; ``df`` has at most a row for each."""
+        return F.broadcast(df) if self.few else df
+
+
+def ask(index: Bm25Index, queries: DataFrame) -> Asked:
+    """Words of ``queries`` that the index knows, with ``most`` and ``least``, bounds of what each can add to a score.
+
+    Up to ``NAMED_TERMS`` different words go into the scan of the postings as a filter, which prunes the folders of a
+    stored index and its row groups; more are joined.
     """
-    asked = queries.select("query_id", "scope", F.explode(T.tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "scope", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = asked_terms(queries)
     few = fits(asked)
-    weighed = index.terms.join(F.broadcast(asked) if few else asked, ["scope", "term"])  # at most a row for each asked word
-    found = index.postings.join(F.broadcast(weighed) if few else weighed, ["scope", "term"]).join(F.broadcast(index.scopes), "scope")
-    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.col("avgdl"))
-    gain = F.col("times") * F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm)
-    return found.groupBy("query_id", "scope", "id").agg(F.sum(gain).alias("score"))
+    known = index.terms.join(F.broadcast(asked) if few else asked, ["scope", "term"]).join(small(index.scopes.drop("n")), "scope")
+    extreme = gain("max_tf", "min_dl")  # grows with tf and falls with dl
+    words = known.select("query_id", "scope", "term", "times", "idf", "df", "avgdl", F.greatest(extreme, F.lit(0.0)).alias("most"), F.least(extreme, F.lit(0.0)).alias("least")).persist()
+    postings = index.postings
+    named = [r.term for r in words.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+    if len(named) <= NAMED_TERMS:
+        postings = postings.where(F.col("term").isin(named))
+        if index.buckets:
+            spots = words.select(F.pmod(F.xxhash64("term"), F.lit(index.buckets)).alias("bucket")).distinct().collect()
+            postings = postings.where(F.col("bucket").isin([r.bucket for r in spots]))
+    return Asked(words, postings, few)
+
+
+def bm25_candidates(asked: Asked, k: int) -> DataFrame:
+    """(query_id, scope, id, score) that hold the k best documents of every query and scope, with exact scores.
+
+    1. The rarest words give partial scores; the k-th largest is a bar that the k-th best score reaches.
+    2. Words whose bounds together stay below the bar cannot lift a document over it by themselves: only documents with
+       another word are candidates. Frequent words, which have small weights, so never meet all their documents.
+    3. Candidates that can still reach the bar get what the remaining words add.
+
+    The bar is lowered by 2e-6 of the largest possible score, so that ties at six places of a scaled score stay in.
+    """
+    pool, words = ["query_id", "scope"], asked.words
+    rarer = Window.partitionBy(*pool).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    probes = words.withColumn("before", F.coalesce(F.sum("df").over(rarer), F.lit(0))).where(F.col("before") < PROBED * k)
+    partial = asked.postings.join(asked.near(probes), ["scope", "term"]).groupBy(*pool, "id").agg(F.sum(gain("tf", "dl")).alias("score"))
+    nth = F.row_number().over(Window.partitionBy(*pool).orderBy(F.desc("score")))
+    bars = partial.withColumn("nth", nth).where(F.col("nth") <= k).where(F.col("nth") == k).select(*pool, F.col("score").alias("kth"))
+    smaller = Window.partitionBy(*pool).orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*pool)
+    bar = F.col("kth") + F.sum("least").over(whole) - 2e-6 * F.sum("most").over(whole) - 1e-9
+    marked = words.join(asked.near(bars), pool, "left").withColumns({"bar": bar, "upto": F.sum("most").over(smaller)})
+    marked = marked.withColumn("rest", F.coalesce(F.col("upto") < F.col("bar"), F.lit(False)))
+    marked = marked.withColumn("could_add", F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))).over(whole), F.lit(0.0))).persist()
+    found = asked.postings.join(asked.near(marked.where(~F.col("rest"))), ["scope", "term"])
+    first = found.groupBy(*pool, "id").agg(F.sum(gain("tf", "dl")).alias("score"), F.max("bar").alias("bar"), F.max("could_add").alias("could_add"))
+    able = first.where(F.col("bar").isNull() | (F.col("score") + F.col("could_add") >= F.col("bar"))).select(*pool, "id", "score")
+    rest = marked.where("rest").select(*pool, "term", "times", "idf", "avgdl")
+    also = asked.postings.join(asked.near(rest.select("scope", "term").distinct()), ["scope", "term"], "left_semi").select("scope", "id", "term", "tf", "dl")
+    more = able.join(also, ["scope", "id"], "left").join(asked.near(rest), [*pool, "term"], "left")
+    return more.groupBy(*pool, "id").agg((F.max("score") + F.coalesce(F.sum(gain("tf", "dl")), F.lit(0.0))).alias("score"))
+
+
+def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, scope, id, score, rank): the k best of the documents that hold a query word, by score at six places, then id."""
+    return best(bm25_candidates(ask(index, queries), k), "score", k, "query_id", "scope")
 
 
 def minmax(rows: DataFrame, column: str, *by: str, out: str = "norm") -> DataFrame:
@@ -123,9 +209,46 @@ def best(rows: DataFrame, column: str, k: int, *by: str, descending: bool = True
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(score, tie))).where(F.col(out) <= k)
 
 
+def _lowest_is_zero(index: Bm25Index, asked: Asked) -> DataFrame:
+    """(query_id, scope) that have a document without any of their words, and no word that lowers a score: their scale starts at 0.
+
+    Found among the shortest documents of each scope; a pair that is not found may still have one.
+    """
+    short = Window.partitionBy("scope").orderBy("dl", "id")
+    docs = index.documents.select("scope", "dl", "id").withColumn("nth", F.row_number().over(short)).where(F.col("nth") <= SHORTEST)
+    probes = docs.groupBy("scope").agg(F.count(F.lit(1)).alias("probed"))
+    met = asked.postings.select("scope", "id", "term").join(small(docs.select("scope", "id")), ["scope", "id"]).join(asked.near(asked.words.select("query_id", "scope", "term")), ["scope", "term"])
+    held = met.groupBy("query_id", "scope").agg(F.countDistinct("id").alias("held"))
+    pairs = asked.words.groupBy("query_id", "scope").agg(F.min("least").alias("least")).join(probes, "scope").join(held, ["query_id", "scope"], "left")
+    return pairs.where((F.col("least") >= 0) & (F.coalesce("held", F.lit(0)) < F.col("probed"))).select("query_id", "scope")
+
+
 def bm25_topk(index: Bm25Index, queries: DataFrame, k: int = 5) -> DataFrame:
-    rows = bm25_normalized(index, queries, k).select("query_id", "scope", "id", F.col("norm").alias("bm25_score"))
-    return best(rows, "bm25_score", k, "query_id", "scope")
+    """(query_id, scope, id, bm25_score, rank): the k best of each pool, on the scale of the whole pool.
+
+    The largest score is that of the best candidate and the smallest is 0 where a document has no query word, which a
+    few documents prove; only queries without that proof are scored over their whole pool.
+    """
+    pool, asked = ["query_id", "scope"], ask(index, queries)
+    known = _lowest_is_zero(index, asked).persist()
+    scores = bm25_candidates(asked, k)
+    open_ = queries.join(known, pool, "left_anti")
+    every = queries.select(*pool).distinct()
+    bounds = scores.join(known, pool, "left_semi").groupBy(*pool).agg(F.lit(0.0).alias("low"), F.max("score").alias("high"))
+    if not open_.isEmpty():
+        full = bm25_scores(index, open_).groupBy(*pool).agg(F.count(F.lit(1)).alias("matched"), F.min("score").alias("low"), F.max("score").alias("high"))
+        sized = open_.select(*pool).distinct().join(small(index.scopes.select("scope", "n")), "scope").join(full, pool, "left")
+        zero = F.coalesce("matched", F.lit(0)) < F.col("n")
+        end = lambda f, c: F.when(zero, f(F.coalesce(c, F.lit(0.0)), F.lit(0.0))).otherwise(F.col(c)).alias(c)
+        bounds = bounds.unionByName(sized.select(*pool, end(F.least, "low"), end(F.greatest, "high")))
+    first = index.documents.select("scope", "id").withColumn("nth", F.row_number().over(Window.partitionBy("scope").orderBy("id"))).where(F.col("nth") <= k)
+    rest = first.join(every, "scope").select(*pool, "id", F.lit(0.0).alias("score"))
+    # Of the first documents of a pool those that score keep their score: the sum with 0.
+    listed = scores.unionByName(rest).groupBy(*pool, "id").agg(F.sum("score").alias("score"))
+    span = F.col("high") - F.col("low")
+    flat = F.when(F.col("score") > 0, 1.0).otherwise(0.0)
+    norm = F.when(span <= 1e-12, flat).otherwise((F.col("score") - F.col("low")) / span)
+    return best(listed.join(asked.near(bounds), pool).select(*pool, "id", norm.alias("bm25_score")), "bm25_score", k, *pool)
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -282,6 +282,12 @@ norm AS (SELECT query_id, scope, id, round(CASE WHEN high - low <= 1e-12 THEN CA
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, scope ORDER BY bm25_score DESC, id) AS INTEGER) AS rank FROM norm)
 SELECT query_id, scope, id, bm25_score, rank FROM ranked WHERE rank <= 5"""
 
+SQL["bm25_search"] = f"""WITH {SCORES},
+ranked AS (SELECT query_id, scope, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id, scope ORDER BY round(score, 6) DESC, id) AS INTEGER) AS rank FROM scored)
+SELECT * FROM ranked WHERE rank <= 5"""
+SQL["bm25_terms_by_batches"] = f"""WITH {INDEX}, ends AS (SELECT scope, term, max(tf) AS max_tf, CAST(min(dl) AS BIGINT) AS min_dl FROM tf JOIN dl USING (scope, id) GROUP BY scope, term)
+SELECT scope, term, df, max_tf, min_dl, round(idf, 6) AS idf FROM terms JOIN ends USING (scope, term)"""
+
 
 def nearest(scope: str) -> str:
     return f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))), 6) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 {scope}),

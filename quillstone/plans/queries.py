@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 from quillstone.functions import text as T
-from quillstone.operators import chunking, evaluation, extraction, learning, lines, ranking
+from quillstone.operators import chunking, evaluation, extraction, learning, lines, ranking, term_index
 from quillstone.plans import inputs
 from quillstone.sources import tables
 
@@ -396,6 +396,13 @@ def _scoped_index(spark, d):
     return ranking.bm25_index(_scoped(spark, d), "doc_id", "text", "scope")
 
 
+def _stored_index(spark, d):
+    """The index of all documents, written to the shared folder and read from there."""
+    path = _scratch(spark) + "/terms"
+    term_index.write_batch(_scoped(spark, d), path, 0, id_col="doc_id", text_col="text", scope_col="scope")
+    return term_index.load(spark, path)
+
+
 @query
 def bm25_idf(spark, d):
     return _index(spark, d).terms.select("scope", "term", "df", F.round("idf", 6).alias("idf"))
@@ -403,10 +410,27 @@ def bm25_idf(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    found = ranking.bm25_topk(_scoped_index(spark, d), _bm25_queries(spark, d), 5)
+    found = ranking.bm25_topk(_stored_index(spark, d), _bm25_queries(spark, d), 5)
     return found.select("query_id", F.col("scope.lang").alias("scope"), "id", "bm25_score", "rank")
 
 
+@query
+def bm25_search(spark, d):
+    """The best documents by their plain scores, from the stored index."""
+    found = ranking.bm25_search(_stored_index(spark, d), _bm25_queries(spark, d), 5)
+    return found.select("query_id", F.col("scope.lang").alias("scope"), "id", "score", "rank")
+
+
+@query
+def bm25_terms_by_batches(spark, d):
+    """Statistics of an index that grew by three batches, one of them twice and with documents it already had."""
+    path, docs = _scratch(spark) + "/terms", _scoped(spark, d)
+    part = lambda n: docs.where(F.pmod("doc_id", F.lit(3)) == n)
+    for batch, rows in ((0, part(0)), (1, part(1)), (1, part(1)), (2, part(2).unionByName(part(0)))):
+        term_index.append(rows, path, batch, id_col="doc_id", text_col="text", scope_col="scope")
+    return term_index.load(spark, path).terms.select(F.col("scope.lang").alias("scope"), "term", "df", "max_tf", F.col("min_dl").cast("long").alias("min_dl"), F.round("idf", 6).alias("idf"))
+
+
 def _vectors(spark, d):
     return tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 

@@ -40,12 +40,16 @@ def new_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["id"]).join(existing.select("id"), "id", "left_anti")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file system that Spark knows has that file or folder."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def upsert(rows: DataFrame, path: str) -> None:
     """Append to the index at ``path``, partitioned by year, what it does not hold."""
     spark = rows.sparkSession
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-    new = new_rows(rows, spark.read.parquet(path)) if exists else rows.dropDuplicates(["id"])
+    new = new_rows(rows, spark.read.parquet(path)) if exists(spark, path) else rows.dropDuplicates(["id"])
     new.write.mode("append").partitionBy("year").parquet(path)
 
 
