@@ -387,3 +387,12 @@ s AS (SELECT label, count(*) AS support, 0 AS given, count(*) FILTER (WHERE labe
 t AS (SELECT label, sum(support) AS support, sum(given) AS given, sum(good) AS good FROM s GROUP BY label),
 r AS (SELECT label, support, coalesce(good / nullif(given, 0), 0) AS p, coalesce(good / nullif(support, 0), 0) AS r FROM t)
 SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, CAST(support AS BIGINT) AS support FROM r"""
+
+# Jobs.
+DOCUMENT_LINES = SECTION_LINES.replace(inputs.SECTIONS_DUCKDB, "SELECT doc_id AS section_id, text FROM documents")
+SQL["job1_chunk_table"] = f"""WITH {DOCUMENT_LINES}, {ISLANDS},
+c AS (SELECT section_id, island, kind, count(*) AS n_lines, count(*) FILTER (WHERE label = 'table_row') AS t, count(*) FILTER (WHERE label = 'narrative') AS n, {strip(JOINED)} AS text FROM island GROUP BY section_id, island, kind)
+SELECT d.doc_id, d.source, d.lang, island AS chunk_no, kind, n_lines, t AS table_rows, CASE WHEN t >= 10 OR t > n THEN 'table' ELSE 'narrative' END AS chunk_type, CASE WHEN t > n THEN 'table_main' ELSE 'narrative_main' END AS chunk_nature, CAST(len(c.text) AS INTEGER) AS n_chars, c.text
+FROM c JOIN documents d ON d.doc_id = c.section_id"""
+SQL["job2_grow_index"] = f"""WITH {INDEX}, held AS (SELECT scope, term, max(tf) AS max_tf, CAST(min(dl) AS BIGINT) AS min_dl, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS occurrences, CAST(sum(id % 1000) AS BIGINT) AS id_sum FROM tf JOIN dl USING (scope, id) GROUP BY scope, term)
+SELECT scope, term, df, max_tf, min_dl, round(idf, 6) AS idf, postings, occurrences, id_sum FROM terms JOIN held USING (scope, term)"""

@@ -700,3 +700,26 @@ def stream_index(spark, d):
     for run in ("one", "two"):
         index_stream(spark, f"{base}/landing", "section_id long, year int, section string, text string", f"{base}/index", f"{base}/checkpoint-{run}", size=2000, overlap=400).awaitTermination()
     return spark.read.parquet(f"{base}/index").groupBy("year").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("id").alias("ids"))
+
+
+# Jobs. Each runs twice into a new folder below the shared one; what stands there then is the result.
+
+
+@query
+def job1_chunk_table(spark, d):
+    from jobs import chunk_table
+
+    output = _scratch(spark) + "/chunks"
+    for _ in range(2):
+        chunk_table.run(spark, d, output)
+    return chunk_table.result(spark, output)
+
+
+@query
+def job2_grow_index(spark, d):
+    from jobs import grow_index
+
+    base = _scratch(spark)
+    for _ in range(2):
+        grow_index.run(spark, d, f"{base}/index", f"{base}/checkpoint")
+    return grow_index.result(spark, f"{base}/index")
