@@ -194,11 +194,22 @@ def distinct(x: str) -> str:
 
 
 W = tokens("text")
-TERMS = f"[array_to_string(w[1:2], ' '), concat(' in ', '2024 ', w[1]), array_to_string(w[1:7], ' '), array_to_string(w[1:2], ' '), concat(w[3], '  x.'), '', w[4]]"
-SQL["compact_terms"] = f"WITH d AS (SELECT doc_id, {W} AS w FROM documents), c AS (SELECT doc_id, list_filter(list_transform({TERMS}, lambda t: {alias('t')}), lambda t: t <> '' AND NOT {has('t', r'\b(?:19|20)\d{2}\b')} AND len({tokens('t')}) <= 6) AS c FROM d WHERE len(w) >= 8) SELECT doc_id, array_to_string((list_filter(c, lambda t, i: list_position(c, t) = i))[1:3], ';') AS result FROM c"
-SQL["build_queries"] = f"""WITH a AS (SELECT variable, {compact('aliases', 6)} AS own, template FROM {VARIABLES}),
-e AS (SELECT variable, own, own || ['income statement', 'notes', 'balance'] AS every, template FROM a)
-SELECT variable, CASE WHEN len(own) > 0 THEN array_to_string(own, ' ') ELSE array_to_string(({tokens("replace(template, '{year}', '2024')")})[1:6], ' ') END AS bm25_query, array_to_string(every[1:7], ' ') AS embedding_query FROM e"""
+PHRASES = "regexp_split_to_array(coalesce(text, ''), '[.,;:\n]')"
+
+
+def compacted(named: dict[str, tuple[str, int]], rows: str, keep: str) -> str:
+    """CTEs that end in ``terms``: the columns of ``rows`` that are kept, and under each name the first so many compact terms of a list."""
+    clean = ", ".join(f"list_transform(coalesce({x}, []), lambda t: {alias('t')}) AS {n}" for n, (x, _) in named.items())
+    good = ", ".join(f"list_filter({n}, lambda t: t <> '' AND NOT {has('t', r'\b(?:19|20)\d{2}\b')} AND len({tokens('t')}) <= 6) AS {n}" for n in named)
+    first = ", ".join(f"(list_filter(good.{n}, lambda v, i: list_position(good.{n}, v) = i))[1:{k}] AS {n}" for n, (_, k) in named.items())
+    return f"clean AS (SELECT {keep}, {clean} FROM {rows}), good AS (SELECT {keep}, {good} FROM clean), terms AS (SELECT {keep}, {first} FROM good)"
+
+
+SQL["compact_terms"] = f"WITH {compacted({'said': (PHRASES, 3)}, 'documents', 'doc_id')} SELECT doc_id, array_to_string(said, ';') AS result FROM terms"
+SQL["build_queries"] = f"""WITH {compacted({'own': (f"CASE WHEN doc_id % 3 > 0 THEN {PHRASES} END", 6), 'a': ('[source, lang]', 3), 'b': (f"string_split(coalesce(text, ''), chr(10))", 3), 'c': ("['in ' || source, 'balance']", 3)}, 'documents', 'doc_id, text')},
+e AS (SELECT doc_id, text, own, own || a || b || c AS every FROM terms),
+u AS (SELECT *, array_to_string((list_filter(every, lambda v, i: list_position(every, v) = i))[1:7], ' ') AS said FROM e)
+SELECT doc_id, CASE WHEN len(own) > 0 THEN array_to_string(own, ' ') ELSE array_to_string(({tokens("coalesce(text, '')")})[1:6], ' ') END AS bm25_query, md5(CASE WHEN said = '' THEN {q(fixed.FALLBACK_QUERY)} ELSE said END) AS embedding_md5 FROM u"""
 SQL["query_plan_terms"] = f"WITH d AS (SELECT doc_id, list_filter(list_transform({W}, lambda t: {alias('t')}), lambda t: t <> '') AS c FROM documents) SELECT doc_id, array_to_string((list_filter(c, lambda t, i: list_position(c, t) = i))[1:8], ';') AS terms FROM d"
 
 # Lines of sections.

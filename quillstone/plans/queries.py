@@ -202,18 +202,24 @@ def variable_lookup(spark, d):
     return rows.join(F.broadcast(_variables(spark)), "variable").select("o_orderkey", "variable", F.array_join("aliases", ";").alias("aliases"))
 
 
+def _phrases(c):
+    """The phrases between punctuation marks or line ends of a whole text."""
+    return F.split(F.coalesce(c, F.lit("")), "[.,;:\n]")
+
+
 @query
 def compact_terms(spark, d):
-    words = T.tokens(F.col("text"))
-    terms = F.array(F.array_join(F.slice(words, 1, 2), " "), F.concat(F.lit(" in "), F.lit("2024 "), F.get(words, F.lit(0))), F.array_join(F.slice(words, 1, 7), " "), F.array_join(F.slice(words, 1, 2), " "), F.concat(F.get(words, F.lit(2)), F.lit("  x.")), F.lit(""), F.get(words, F.lit(3)))
-    return _docs(spark, d).where(F.size(words) >= 8).select("doc_id", F.array_join(T.compact_terms(terms, 3), ";").alias("result"))
+    """Of all phrases of each document the first three short ones that differ."""
+    return _docs(spark, d).select("doc_id", F.array_join(T.compact_terms(_phrases(F.col("text")), 3), ";").alias("result"))
 
 
 @query
 def build_queries(spark, d):
-    none = F.array().cast("array<string>")
-    rows = _variables(spark).select("variable", T.build_queries(F.col("aliases"), F.replace("query_template", F.lit("{year}"), F.lit("2024")), F.array(F.lit("income statement"), F.lit("notes")), F.array(F.lit("in 2023"), F.lit("balance")), none).alias("q"))
-    return rows.select("variable", "q.bm25_query", "q.embedding_query")
+    """Each document as a variable: its phrases as aliases, its text as template, its lines and metadata as plan terms."""
+    aliases = F.when(F.col("doc_id") % 3 > 0, _phrases(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    terms = (F.array("source", "lang"), F.split(F.coalesce("text", F.lit("")), "\n", -1), F.array(F.concat(F.lit("in "), F.col("source")), F.lit("balance")))
+    q = T.build_queries(aliases, F.coalesce("text", F.lit("")), *terms)
+    return _docs(spark, d).select("doc_id", q.alias("q")).select("doc_id", "q.bm25_query", F.md5(F.col("q.embedding_query").cast("binary")).alias("embedding_md5"))
 
 
 @query
@@ -529,7 +535,7 @@ def doc_blocks(spark, d):
 @query
 def extract_value(spark, d):
     docs = extraction.collect_docs(_ranked(spark, d))
-    aliases = docs.groupBy("case_id").agg(F.first("aliases").alias("aliases"))
+    aliases = docs.groupBy("case_id").agg(F.min_by("aliases", "doc_rank").alias("aliases"))
     cases = extraction.doc_blocks(docs).join(aliases, "case_id").withColumn("target", F.lit("total revenue")).withColumn("year", F.lit(2021))
     return extraction.extract_values(cases).select("case_id", "value", F.size("supporting_docs").alias("supporting"))
 
