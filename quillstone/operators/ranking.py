@@ -131,35 +131,40 @@ def ask(index: Bm25Index, queries: DataFrame) -> Asked:
     return Asked(words, postings, few)
 
 
+def _kth(scores: DataFrame, k: int, *pool: str) -> DataFrame:
+    """The k-th largest score of each pool that has so many; only k rows a task and pool are dealt out."""
+    nth = F.row_number().over(Window.partitionBy(*pool).orderBy(F.desc("score")))
+    return scores.withColumn("nth", nth).where(F.col("nth") <= k).where(F.col("nth") == k).select(*pool, F.col("score").alias("kth"))
+
+
 def bm25_candidates(asked: Asked, k: int) -> DataFrame:
     """(query_id, scope, id, score) that hold the k best documents of every query and scope, with exact scores.
 
     1. The rarest words give partial scores; the k-th largest is a bar that the k-th best score reaches.
     2. Words whose bounds together stay below the bar cannot lift a document over it by themselves: only documents with
-       another word are candidates. Frequent words, which have small weights, so never meet all their documents.
-    3. Candidates that can still reach the bar get what the remaining words add.
+       another word are scored, by those words, which gives a higher bar.
+    3. Documents that can still reach it get what the remaining words add. They are broadcast if they are few.
 
-    The bar is lowered by 2e-6 of the largest possible score, so that ties at six places of a scaled score stay in.
+    A bar is lowered by 2e-6 of the largest possible score, so that ties at six places of a scaled score stay in.
     """
     pool, words = ["query_id", "scope"], asked.words
     rarer = Window.partitionBy(*pool).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     probes = words.withColumn("before", F.coalesce(F.sum("df").over(rarer), F.lit(0))).where(F.col("before") < PROBED * k)
     partial = asked.postings.join(asked.near(probes), ["scope", "term"]).groupBy(*pool, "id").agg(F.sum(gain("tf", "dl")).alias("score"))
-    nth = F.row_number().over(Window.partitionBy(*pool).orderBy(F.desc("score")))
-    bars = partial.withColumn("nth", nth).where(F.col("nth") <= k).where(F.col("nth") == k).select(*pool, F.col("score").alias("kth"))
     smaller = Window.partitionBy(*pool).orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*pool)
-    bar = F.col("kth") + F.sum("least").over(whole) - 2e-6 * F.sum("most").over(whole) - 1e-9
-    marked = words.join(asked.near(bars), pool, "left").withColumns({"bar": bar, "upto": F.sum("most").over(smaller)})
-    marked = marked.withColumn("rest", F.coalesce(F.col("upto") < F.col("bar"), F.lit(False)))
-    marked = marked.withColumn("could_add", F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))).over(whole), F.lit(0.0))).persist()
+    slack = F.sum("least").over(whole) - 2e-6 * F.sum("most").over(whole) - 1e-9
+    marked = words.join(asked.near(_kth(partial, k, *pool)), pool, "left").withColumns({"slack": slack, "upto": F.sum("most").over(smaller)})
+    marked = marked.withColumn("rest", F.coalesce(F.col("upto") < F.col("kth") + F.col("slack"), F.lit(False))).persist()
     found = asked.postings.join(asked.near(marked.where(~F.col("rest"))), ["scope", "term"])
-    first = found.groupBy(*pool, "id").agg(F.sum(gain("tf", "dl")).alias("score"), F.max("bar").alias("bar"), F.max("could_add").alias("could_add"))
-    able = first.where(F.col("bar").isNull() | (F.col("score") + F.col("could_add") >= F.col("bar"))).select(*pool, "id", "score")
+    first = found.groupBy(*pool, "id").agg(F.sum(gain("tf", "dl")).alias("score"))
+    could_add = F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))), F.lit(0.0)).alias("could_add")
+    left = marked.groupBy(*pool).agg(F.first("slack").alias("slack"), could_add).join(asked.near(_kth(first, k, *pool)), pool, "left")
+    able = first.join(asked.near(left), pool).where(F.col("kth").isNull() | (F.col("score") + F.col("could_add") >= F.col("kth") + F.col("slack"))).select(*pool, "id", "score").persist()
     rest = marked.where("rest").select(*pool, "term", "times", "idf", "avgdl")
     also = asked.postings.join(asked.near(rest.select("scope", "term").distinct()), ["scope", "term"], "left_semi").select("scope", "id", "term", "tf", "dl")
-    more = able.join(also, ["scope", "id"], "left").join(asked.near(rest), [*pool, "term"], "left")
-    return more.groupBy(*pool, "id").agg((F.max("score") + F.coalesce(F.sum(gain("tf", "dl")), F.lit(0.0))).alias("score"))
+    more = also.join(small(able.drop("score")), ["scope", "id"]).join(asked.near(rest), [*pool, "term"]).select(*pool, "id", gain("tf", "dl").alias("score"))
+    return able.unionByName(more).groupBy(*pool, "id").agg(F.sum("score").alias("score"))
 
 
 def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 5) -> DataFrame:

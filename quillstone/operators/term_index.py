@@ -53,7 +53,7 @@ def write_batch(docs: DataFrame, path: str, batch: int, *, id_col: str, text_col
     postings = exploded.select("scope", "id", "dl", "c.term", "c.tf").withColumn("bucket", bucket(F.col("term"), buckets))
     # Rebalancing splits the bucket of a frequent word by size.
     dealt = postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "scope", "term")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+    dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(at("postings"))
     documents = docs.select(F.col(scope_col).alias("scope"), F.col(id_col).alias("id"), F.size(T.tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
     documents.write.mode("overwrite").parquet(at("documents"))
     written = spark.read.schema(postings.schema).parquet(at("postings"))
