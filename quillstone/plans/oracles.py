@@ -226,6 +226,7 @@ meta AS (SELECT *, {', '.join(f"CASE WHEN label = 'footer' THEN {e} END AS {n}"
 run AS (SELECT *, first_value(page_number IGNORE NULLS) OVER w AS p, first_value(form_label IGNORE NULLS) OVER w AS f, last_value(said IGNORE NULLS) OVER w AS s FROM meta WINDOW w AS (PARTITION BY section_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT r.section_id, CAST(r.line_no AS INTEGER) AS line_no, r.label, r.p AS page_number, r.f AS form_label, m.section AS page_section, m.subsection AS page_subsection, m.subsubsection AS page_subsubsection, {is_title('r.line')} AS is_title
 FROM run r LEFT JOIN meta m ON m.section_id = r.section_id AND m.line_no = r.s"""
+SQL["stream_page_context"] = SQL["page_context"]
 PSEUDO = "pseudo AS (SELECT raw.section_id, raw.line_no, raw.line, CASE WHEN " + strip("raw.line") + " = '' THEN 'blank' ELSE coalesce(labelled.label, 'narrative') END AS label FROM raw LEFT JOIN labelled USING (section_id, line_no))"
 SQL["pseudo_label"] = f"WITH {SECTION_LINES}, {PSEUDO} SELECT section_id, CAST(line_no AS INTEGER) AS line_no, label FROM pseudo"
 SQL["label_counts"] = f"WITH {SECTION_LINES}, {PSEUDO} SELECT label, count(*) AS n FROM pseudo GROUP BY label"

@@ -708,6 +708,24 @@ def stream_index(spark, d):
     return spark.read.parquet(f"{base}/index").groupBy("year").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("id").alias("ids"))
 
 
+@query
+def stream_page_context(spark, d):
+    """The lines of all sections land in four parts out of order, one part twice; a run for the lines, one for the end of the day."""
+    from quillstone.streaming.page_stream import LANDED, page_stream
+
+    base = _scratch(spark)
+    rows = lines.split_lines(inputs.sections(spark, d), "section_id", "text").withColumn("part", F.pmod(F.xxhash64("section_id", "line_no"), F.lit(4)))
+    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("part") * 60 + F.col("line_no") % 50)
+    landed = rows.select("section_id", "line_no", "line", arrived.alias("landed"), "part")
+    for part in ("part >= 2", "part < 2", "part = 3"):
+        landed.where(part).drop("part").write.mode("append").parquet(f"{base}/landing")
+    page_stream(spark, f"{base}/landing", f"{base}/lines", f"{base}/checkpoint").awaitTermination()
+    spark.sql("SELECT -1L, 0, 'end', timestamp_seconds(1700100000)").toDF(*[f.split(" ")[0] for f in LANDED.split(", ")]).write.mode("append").parquet(f"{base}/landing")
+    page_stream(spark, f"{base}/landing", f"{base}/lines", f"{base}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{base}/lines").where("section_id >= 0")
+    return out.select("section_id", "line_no", "label", "page_number", "form_label", "page_section", "page_subsection", "page_subsubsection", "is_title")
+
+
 # Jobs. Each runs twice into a new folder below the shared one; what stands there then is the result.
 
 
