@@ -1,7 +1,7 @@
 """Chunk builders: fixed windows, and table-aware chunks of labelled lines.
 
-Table-aware chunks are built in stages that depend on their predecessor's output (split, merge, overlap), so a
-section's islands go through one pass over its lines, many sections an Arrow batch; sections are independent.
+Table-aware chunks are built in stages that depend on their predecessor's output (split, merge, overlap): folds over a section's
+arrays (``chunk_fold``), or, where a summariser is asked for each chunk, one pass over its lines, many sections an Arrow batch. Sections are independent.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 from quillstone.functions import text as T
+from quillstone.operators import chunk_fold, ranks
 from quillstone.operators.lines import classify, islands
 
 
@@ -188,10 +189,15 @@ CHUNK_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split(" ") fo
 
 
 def table_aware_chunks(sections: DataFrame, id_col: str, text_col: str, year_col: str, *, size: int = 1000, overlap: int = 100, labeller=None, summarise: Callable[[str], str] | None = None) -> DataFrame:
-    """Chunks that end where table lines and prose meet; large ones are split, small ones merged, then overlapped."""
+    """Chunks that end where table lines and prose meet; large ones are split, small ones merged, then overlapped.
+
+    They are made by column functions (``chunk_fold``); only with a summariser, which is asked for each chunk, by a pass in Python.
+    """
     options = {"labeller": labeller} if labeller else {}
     labelled = classify(sections, id_col, text_col, year_col, **options)
     rows = line_islands(labelled).select("section_id", F.col(year_col).alias("year"), "line_no", "line", "label", "island", "is_title", "page_number", "page_section", "page_subsection", "page_subsubsection")
+    if summarise is None:
+        return chunk_fold.fold_chunks(rows, size, overlap)
 
     def of_island(rows: list[tuple]) -> Chunk:
         lines = [(r[3], r[4]) for r in rows]
@@ -257,15 +263,17 @@ def sizes(chunks: DataFrame, *keep: str) -> DataFrame:
 
 def stats(sized: DataFrame, column: str, *by: str) -> DataFrame:
     """min, max, mean, median, population stdev and exact percentiles, rounded to two places."""
-    p = F.percentile(column, F.array(*map(F.lit, (0.5, 0.1, 0.25, 0.75, 0.9))))
-    out = sized.groupBy(*by).agg(F.min(column).alias("min"), F.max(column).alias("max"), F.round(F.avg(column), 2).alias("mean"), p.alias("p"), F.round(F.stddev_pop(column), 2).alias("stdev"))
-    return out.select(*by, "min", "max", "mean", *[F.round(F.get("p", F.lit(k)), 2).alias(n) for k, n in enumerate(("median", "p10", "p25", "p75", "p90"))], "stdev")
+    shares = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
+    out = sized.groupBy(*by).agg(F.min(column).alias("min"), F.max(column).alias("max"), F.round(F.avg(column), 2).alias("mean"), F.round(F.stddev_pop(column), 2).alias("stdev"))
+    found = ranks.quantiles(sized, column, list(by), shares).select(*[F.col(b).alias(f"of_{b}") for b in by], *[F.round(n, 2).alias(n) for n in shares])
+    joined = out.join(found, [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by], "left") if by else out.join(found, F.lit(True), "left")
+    return joined.select(*by, "min", "max", "mean", *shares, "stdev")
 
 
 def histogram(sized: DataFrame, column: str) -> DataFrame:
     """Equal-width bins whose number follows from the quartile distance and the count; the last bin is closed."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
-    base = sized.agg(F.count(F.lit(1)).alias("n"), F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"), q.alias("q"))
+    q = ranks.quantiles(sized, column, [], {"low": 0.25, "high": 0.75}).select(F.array("low", "high").alias("q"))
+    base = sized.agg(F.count(F.lit(1)).alias("n"), F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).join(q, F.lit(True), "left")
     span = F.col("hi") - F.col("lo")
     sturges = span / (F.log2(F.col("n")) + 1)
     width = F.when(F.get("q", F.lit(1)) > F.get("q", F.lit(0)), F.least(F.greatest(2 * (F.get("q", F.lit(1)) - F.get("q", F.lit(0))) / F.pow(F.col("n"), F.lit(1 / 3)), span / (2 * F.sqrt("n"))), sturges)).otherwise(sturges)

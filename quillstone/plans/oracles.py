@@ -221,11 +221,11 @@ typed AS (SELECT *, {rule_type('line')} AS kind FROM paged WHERE {strip('line')}
 labelled AS (SELECT section_id, line_no, line, CASE WHEN lone THEN 'footer' WHEN kind = 'table_row' THEN 'table_row' WHEN kind IN ('header', 'year_header') THEN 'footer' ELSE 'narrative' END AS label FROM typed)"""
 SQL["page_number_lines"] = f"WITH {SECTION_LINES} SELECT section_id, CAST(line_no AS INTEGER) AS line_no, line FROM paged WHERE lone"
 META = footer("line")
-SQL["page_context"] = f"""WITH {SECTION_LINES},
-meta AS (SELECT *, {', '.join(f"CASE WHEN label = 'footer' THEN {e} END AS {n}" for n, e in META.items())}, CASE WHEN label = 'footer' AND {has(strip('line'), fixed.FOOTER_SECTION)} THEN line_no END AS said FROM labelled),
-run AS (SELECT *, first_value(page_number IGNORE NULLS) OVER w AS p, first_value(form_label IGNORE NULLS) OVER w AS f, last_value(said IGNORE NULLS) OVER w AS s FROM meta WINDOW w AS (PARTITION BY section_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT r.section_id, CAST(r.line_no AS INTEGER) AS line_no, r.label, r.p AS page_number, r.f AS form_label, m.section AS page_section, m.subsection AS page_subsection, m.subsubsection AS page_subsubsection, {is_title('r.line')} AS is_title
-FROM run r LEFT JOIN meta m ON m.section_id = r.section_id AND m.line_no = r.s"""
+CONTEXT = f"""meta AS (SELECT *, {', '.join(f"CASE WHEN label = 'footer' THEN {e} END AS {n}" for n, e in META.items())}, CASE WHEN label = 'footer' AND {has(strip('line'), fixed.FOOTER_SECTION)} THEN line_no END AS said FROM labelled),
+run AS (SELECT *, first_value(page_number IGNORE NULLS) OVER w AS p, first_value(form_label IGNORE NULLS) OVER w AS f, last_value(said IGNORE NULLS) OVER w AS s FROM meta WINDOW w AS (PARTITION BY section_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+context AS (SELECT r.section_id, CAST(r.line_no AS INTEGER) AS line_no, r.label, r.p AS page_number, r.f AS form_label, m.section AS page_section, m.subsection AS page_subsection, m.subsubsection AS page_subsubsection, {is_title('r.line')} AS is_title
+FROM run r LEFT JOIN meta m ON m.section_id = r.section_id AND m.line_no = r.s)"""
+SQL["page_context"] = f"WITH {SECTION_LINES}, {CONTEXT} SELECT * FROM context"
 SQL["stream_page_context"] = SQL["page_context"]
 PSEUDO = "pseudo AS (SELECT raw.section_id, raw.line_no, raw.line, CASE WHEN " + strip("raw.line") + " = '' THEN 'blank' ELSE coalesce(labelled.label, 'narrative') END AS label FROM raw LEFT JOIN labelled USING (section_id, line_no))"
 SQL["pseudo_label"] = f"WITH {SECTION_LINES}, {PSEUDO} SELECT section_id, CAST(line_no AS INTEGER) AS line_no, label FROM pseudo"
@@ -244,6 +244,36 @@ JOINED = sub(f"string_agg({SHOWN}, chr(10) ORDER BY line_no)", "\n{3,}", "\n\n")
 SQL["render_lines"] = f"WITH {SECTION_LINES}, {ISLANDS} SELECT section_id, island, {strip(JOINED)} AS text FROM island GROUP BY section_id, island"
 SQL["chunk_nature"] = f"""WITH {SECTION_LINES}, {ISLANDS}, c AS (SELECT section_id, count(*) FILTER (WHERE label = 'table_row') AS t, count(*) FILTER (WHERE label = 'narrative') AS n FROM island GROUP BY section_id)
 SELECT section_id, t AS table_rows, n AS narrative, CASE WHEN t >= 10 OR t > n THEN 'table' ELSE 'narrative' END AS chunk_type, CASE WHEN t > n THEN 'table_main' ELSE 'narrative_main' END AS chunk_nature FROM c"""
+CHUNK_CHARS, OVERLAP_CHARS = 400, 80
+RENDERED = lambda x: strip(sub(x, "\n{3,}", "\n\n"))
+WITHIN = lambda a, limit: f"len(list_filter({a}, lambda v: v <= {limit}))"
+BELOW = lambda a, limit: f"len(list_filter({a}, lambda v: v < {limit}))"
+SHOWN_TAIL = sub(f"replace(CASE WHEN was_table THEN {table_text('tail')} ELSE tail END, chr(9), '    ')", r"\s+$")
+ORDERED = lambda x: f"list({x} ORDER BY line_no)"
+#: Splitting, merging and overlap: pieces by recursion over their starts, merged runs by a running sum, overlap by recursion over chunks.
+SQL["chunk_overlap"] = f"""WITH RECURSIVE {SECTION_LINES}, {ISLANDS}, {CONTEXT},
+l AS (SELECT i.section_id, i.island, i.line_no, i.line, i.label, {SHOWN.replace("line END", "i.line END")} AS shown, greatest(len({strip('i.line')}), 1) + 1 AS cost, c.is_title, c.page_number, c.page_section, c.page_subsection, c.page_subsubsection FROM island i JOIN (SELECT section_id, line_no, is_title, page_number, page_section, page_subsection, page_subsubsection FROM context) c USING (section_id, line_no)),
+sums AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY section_id, island ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM l),
+isles AS (SELECT section_id, island, string_agg(shown, chr(10) ORDER BY line_no) AS raw, {ORDERED('shown')} AS shown, {ORDERED('label')} AS labels, {ORDERED('e')} AS es, {ORDERED('e - cost')} AS bs,
+  coalesce({ORDERED('line')} FILTER (WHERE label = 'narrative'), []) AS said, ({ORDERED('line')} FILTER (WHERE is_title))[1] AS title, ({ORDERED('page_number')})[1] AS page_number, ({ORDERED('page_section')})[1] AS a, ({ORDERED('page_subsection')})[1] AS b, ({ORDERED('page_subsubsection')})[1] AS c FROM sums GROUP BY section_id, island),
+whole AS (SELECT *, len({RENDERED('raw')}) > {CHUNK_CHARS} AS split, CASE WHEN labels[1] = 'table_row' THEN said[greatest(len(said) - 4, 1):] ELSE said[1:5] END AS told FROM isles WHERE {RENDERED('raw')} <> ''),
+cores AS (SELECT section_id, island, 1 AS s, CASE WHEN split THEN greatest({WITHIN('es', f'bs[1] + {CHUNK_CHARS}')}, 1) ELSE len(es) END AS t FROM whole
+  UNION ALL SELECT section_id, island, cores.t + 1, greatest({WITHIN('es', f'bs[cores.t + 1] + {CHUNK_CHARS}')}, cores.t + 1) FROM cores JOIN whole USING (section_id, island) WHERE cores.t < len(es)),
+wide AS (SELECT whole.*, s, t, {BELOW('bs', f'bs[s] - {fixed.SPLIT_OVERLAP_CHARS}')} + 1 AS f0, {WITHIN('es', f'es[t] + {fixed.SPLIT_OVERLAP_CHARS}')} AS l0 FROM cores JOIN whole USING (section_id, island)),
+back AS (SELECT *, least(l0, greatest(t, {WITHIN('es', f'bs[f0] + {CHUNK_CHARS}')})) AS l1 FROM wide),
+front AS (SELECT *, least(s, greatest(f0, {BELOW('bs', f'es[l1] - {CHUNK_CHARS}')} + 1)) AS f1 FROM back),
+cut AS (SELECT *, CASE WHEN split THEN f1 ELSE 1 END AS f, CASE WHEN split THEN greatest(f1, least(l1, {WITHIN('es', f'bs[f1] + {CHUNK_CHARS}')})) ELSE len(es) END AS z FROM front),
+parts AS (SELECT section_id, island, s, split, title, told, page_number, a, b, c, array_to_string(shown[f:z], chr(10)) AS raw, len(list_filter(labels[f:z], lambda x: x = 'table_row')) AS rows, len(list_filter(labels[f:z], lambda x: x = 'narrative')) AS prose FROM cut),
+joins AS (SELECT *, CASE WHEN len({RENDERED('raw')}) <= {fixed.SMALL_CHUNK_CHARS} AND NOT split AND NOT lag(split, 1, true) OVER (PARTITION BY section_id ORDER BY island, s) THEN 0 ELSE 1 END AS begins FROM parts),
+runs AS (SELECT *, CAST(sum(begins) OVER (PARTITION BY section_id ORDER BY island, s ROWS UNBOUNDED PRECEDING) AS INTEGER) AS chunk FROM joins),
+g AS (SELECT section_id, chunk, string_agg(raw, chr(10) ORDER BY island, s) AS raw, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(prose) AS BIGINT) AS prose, bool_or(split) AS split, (list(title ORDER BY island, s) FILTER (WHERE title IS NOT NULL))[1] AS title, flatten(list(told ORDER BY island, s)) AS told,
+  (list(page_number ORDER BY island, s))[1] AS page_number, (list(a ORDER BY island, s))[1] AS a, (list(b ORDER BY island, s))[1] AS b, (list(c ORDER BY island, s))[1] AS c FROM runs GROUP BY section_id, chunk),
+o AS (SELECT section_id, chunk, {RENDERED('raw')} AS text, rows, prose FROM g WHERE chunk = 1
+  UNION ALL SELECT section_id, chunk, CASE WHEN widened THEN {RENDERED(f"concat({SHOWN_TAIL}, chr(10), raw)")} ELSE plain END, rows + CAST(widened AND was_table AS BIGINT), prose + CAST(widened AND NOT was_table AS BIGINT)
+  FROM (SELECT *, tail <> '' AND NOT split AND NOT starts_with(plain, tail) AS widened FROM (SELECT g.section_id, g.chunk, g.raw, g.rows, g.prose, g.split, {RENDERED('g.raw')} AS plain, {strip(f'right(o.text, {OVERLAP_CHARS})')} AS tail, o.rows >= 10 OR o.rows > o.prose AS was_table FROM o JOIN g ON g.section_id = o.section_id AND g.chunk = o.chunk + 1))),
+named AS (SELECT g.*, o.text, o.rows AS t, o.prose AS n, array_to_string(list_filter([a, b, c], lambda x: x <> ''), ' - ') AS page_context FROM o JOIN g USING (section_id, chunk))
+SELECT section_id, CAST(2021 + section_id % 5 AS INTEGER) AS year, CAST(chunk - 1 AS INTEGER) AS chunk_no, text, {truncate("coalesce(nullif(page_context, ''), nullif(title, ''), nullif(told[greatest(len(told) - 4, 1)], ''), 'No summary')", 30)} AS summary,
+  CASE WHEN t >= 10 OR t > n THEN 'table' ELSE 'narrative' END AS chunk_type, CASE WHEN t > n THEN 'table_main' ELSE 'narrative_main' END AS chunk_nature, CAST(t AS INTEGER) AS table_row_count, page_number, page_context FROM named"""
 SQL["context_lines"] = f"WITH {SECTION_LINES}, {ISLANDS}, n AS (SELECT *, row_number() OVER (PARTITION BY section_id, island ORDER BY line_no) AS rn FROM island WHERE kind = 'narrative') SELECT section_id, island, string_agg(line, chr(10) ORDER BY line_no) AS context FROM n WHERE rn <= 5 GROUP BY section_id, island"
 INTRO = sub(strip(part(strip("before"), fixed.TABLE_INTRO, 1)), r"^[.:]+|[.:]+$")
 SQL["table_intro"] = f"WITH {SECTION_LINES}, {ISLANDS} SELECT section_id, CAST(line_no AS INTEGER) AS line_no, {INTRO} AS intro FROM island WHERE kind = 'table' AND previous = 'narrative' AND {INTRO} <> ''"

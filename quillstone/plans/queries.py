@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 from quillstone.functions import text as T
-from quillstone.operators import chunking, evaluation, extraction, learning, lines, ranking, term_index
+from quillstone.operators import chunking, evaluation, extraction, learning, lines, ranking, ranks, term_index
 from quillstone.plans import inputs
 from quillstone.sources import tables
 
@@ -172,8 +172,8 @@ def hybrid_text(spark, d):
 @query
 def doc_id(spark, d):
     """Ids with the position within year and section."""
-    n = F.row_number().over(Window.partitionBy("year", "section").orderBy("doc_id")) - 1
-    return _chunks(spark, d).select("doc_id", tables.doc_id(F.col("year"), F.col("section"), n).alias("id"))
+    rows = ranks.numbered(_chunks(spark, d).select("doc_id", "year", "section"), ["year", "section"], "doc_id", "n")
+    return rows.select("doc_id", tables.doc_id(F.col("year"), F.col("section"), F.col("n") - 1).alias("id"))
 
 
 @query
@@ -376,8 +376,8 @@ def chunk_union(spark, d):
 
 @query
 def chunk_review(spark, d):
-    n = F.row_number().over(Window.partitionBy("year").orderBy("doc_id"))
-    return _chunks(spark, d).select("year", n.alias("id"), F.size(F.split("text", "\n", -1)).alias("line_count"), F.length("text").alias("char_count"), F.coalesce("table_row_count", F.lit(0)).alias("table_rows"))
+    rows = _chunks(spark, d).select("doc_id", "year", F.size(F.split("text", "\n", -1)).alias("line_count"), F.length("text").alias("char_count"), F.coalesce("table_row_count", F.lit(0)).alias("table_rows"))
+    return ranks.numbered(rows, ["year"], "doc_id", "id").drop("doc_id")
 
 
 # Ranking.

@@ -142,3 +142,15 @@ def test_labeller_from_a_saved_model(spark, tmp_path):
     assert set(learning.predictions(again, lines.context_windows(rows, 2, ("footer",))).columns) == {"input", "true_label", "predicted_label"}
     with pytest.raises(FileNotFoundError):
         learning.load(spark, f"{tmp_path}/none")
+
+
+@pytest.mark.parametrize("size, overlap", [(400, 80), (150, 20), (2000, 400), (0, 0), (60, 300)])
+def test_folded_chunks_equal_the_pass_in_python(spark, size, overlap):
+    rng = random.Random(size + overlap)
+    rows = [(i, section(rng), 2020 + i % 3) for i in range(60)] + [(900, "", 2020), (901, "only", 2020), (902, None, 2020), (903, "Premiums 1,204 980 77\n" * 40 + "word " * 300, 2021)]
+    df = spark.createDataFrame(rows, "id long, text string, year int")
+    made = [chunking.table_aware_chunks(df, "id", "text", "year", size=size, overlap=overlap, summarise=s) for s in (None, lambda _: "")]
+    assert made[0].columns == made[1].columns
+    assert [sorted(map(repr, m.collect())) for m in made][0] == sorted(map(repr, made[1].collect()))
+    plan = made[0]._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan
