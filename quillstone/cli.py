@@ -23,7 +23,8 @@ def _chunks(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     by = Window.orderBy(F.col("filing_date").desc())
     nth = filings.select("filing_date").distinct().withColumn("nth", F.row_number().over(by)).where((F.col("nth") > 1) & (F.col("nth") <= a.max_filings + 1))
     kept = filings.join(F.broadcast(nth.select("filing_date")), "filing_date").withColumn("year", F.year("filing_date"))
-    named = kept.withColumn("section_id", F.xxhash64("year", "section", "text"))
+    # Ids stay the same over runs, so that the index takes a section once; equal sections of a year are one.
+    named = kept.withColumn("section_id", F.xxhash64("year", "section", "text")).dropDuplicates(["year", "section", "text"])
     if a.chunker == "simple":
         made = chunking.simple_chunks(named, "section_id", "text", "year", "section", size=a.max_chunk_chars, overlap=a.chunk_overlap_chars)
         plain = {"summary": F.lit(None).cast("string"), "chunk_type": F.lit("narrative"), "chunk_nature": F.lit("narrative_main"), "table_row_count": F.lit(0), "page_number": F.lit(0), **{f"page_{n}": F.lit("") for n in ("context", "section", "subsection", "subsubsection")}}

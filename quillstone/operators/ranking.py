@@ -157,7 +157,8 @@ def bm25_candidates(asked: Asked, k: int) -> DataFrame:
     marked = words.join(asked.near(_kth(partial, k, *pool)), pool, "left").withColumns({"slack": slack, "upto": F.sum("most").over(smaller)})
     marked = marked.withColumn("rest", F.coalesce(F.col("upto") < F.col("kth") + F.col("slack"), F.lit(False))).persist()
     found = asked.postings.join(asked.near(marked.where(~F.col("rest"))), ["scope", "term"])
-    first = found.groupBy(*pool, "id").agg(F.sum(gain("tf", "dl")).alias("score"))
+    # Both uses of the scores have the same filter, so that their exchange is made once and reused.
+    first = found.where("query_id IS NOT NULL AND scope IS NOT NULL").groupBy(*pool, "id").agg(F.sum(gain("tf", "dl")).alias("score"))
     could_add = F.coalesce(F.max(F.when(F.col("rest"), F.col("upto"))), F.lit(0.0)).alias("could_add")
     left = marked.groupBy(*pool).agg(F.first("slack").alias("slack"), could_add).join(asked.near(_kth(first, k, *pool)), pool, "left")
     able = first.join(asked.near(left), pool).where(F.col("kth").isNull() | (F.col("score") + F.col("could_add") >= F.col("kth") + F.col("slack"))).select(*pool, "id", "score").persist()
@@ -192,11 +193,11 @@ def bm25_normalized(index: Bm25Index, queries: DataFrame, k: int | None = None)
         first = Window.partitionBy("scope").orderBy("id")
         pool = pool.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k).drop("rn")
     asked = queries.select("query_id", "scope").distinct()
-    rest = pool.join(F.broadcast(asked) if k is not None else asked, "scope").select("query_id", "scope", "id", F.lit(0.0).alias("score"))
+    rest = pool.join(asked, "scope").select("query_id", "scope", "id", F.lit(0.0).alias("score"))
     # A document of the pool that also scores keeps its score: the sum with 0.
     every = scores.unionByName(rest).groupBy("query_id", "scope", "id").agg(F.sum("score").alias("score"))
     bounds = scores.groupBy("query_id", "scope").agg(F.count(F.lit(1)).alias("matched"), F.min("score").alias("low"), F.max("score").alias("high"))
-    bounds = asked.join(F.broadcast(index.scopes), "scope").join(bounds, ["query_id", "scope"], "left")
+    bounds = asked.join(small(index.scopes), "scope").join(bounds, ["query_id", "scope"], "left")
     zero = F.coalesce("matched", F.lit(0)) < F.col("n")
     low = F.when(zero, F.least(F.coalesce("low", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("low"))
     high = F.when(zero, F.greatest(F.coalesce("high", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("high"))

@@ -420,6 +420,11 @@ SQL["rank_string"] = f"WITH {CASE_DOCS} SELECT year, doc_rank, hit FROM hits WHE
 SQL["eval_summary"] = f"WITH {CASE_DOCS} SELECT count(*) AS cases, count(*) FILTER (WHERE correct) AS correct, round(count(*) FILTER (WHERE correct) / count(*), 6) AS accuracy, count(*) FILTER (WHERE retrieval_hit) AS retrieval_hit, round(count(*) FILTER (WHERE retrieval_hit) / count(*), 6) AS retrieval_hit_rate, round(avg(CASE WHEN retrieval_rank > 0 THEN 1.0::DOUBLE / retrieval_rank ELSE 0 END), 6) AS mrr FROM judged JOIN rank_rows USING (year, variable)"
 SQL["eval_mrr"] = f"WITH {CASE_DOCS} SELECT variable, round(avg(CASE WHEN retrieval_rank > 0 THEN 1.0::DOUBLE / retrieval_rank ELSE 0 END), 6) AS mrr FROM rank_rows GROUP BY variable"
 SQL["eval_csv_projection"] = f"WITH {CASE_DOCS} SELECT year, variable, prediction, ground_truth, correct, retrieval_rank, retrieval_hit, retrieval_hit_in_supporting_docs FROM judged JOIN rank_rows USING (year, variable)"
+SQL["eval_json"] = f"""WITH scored AS ({SQL['eval_csv_projection']}), s AS ({SQL['eval_summary']}),
+b AS (SELECT year, variable, CAST(to_json({{'correct': correct, 'ground_truth': ground_truth, 'prediction': prediction, 'retrieval_hit': retrieval_hit, 'retrieval_hit_in_supporting_docs': retrieval_hit_in_supporting_docs, 'retrieval_rank': retrieval_rank, 'variable': variable, 'year': year}}) AS VARCHAR) AS body, row_number() OVER (ORDER BY year, variable) AS n FROM scored)
+SELECT CAST(1 AS INTEGER) AS part, year, variable, CASE WHEN n = 1 THEN body ELSE ',' || body END AS json FROM b
+UNION ALL SELECT 0, NULL, NULL, concat('{{"summary":', CAST(to_json({{'cases': cases, 'correct': correct, 'accuracy': accuracy, 'retrieval_hit': retrieval_hit, 'retrieval_hit_rate': retrieval_hit_rate, 'mrr': mrr}}) AS VARCHAR), ',"cases":[') FROM s
+UNION ALL SELECT 2, NULL, NULL, ']}}'"""
 
 # Learning.
 SQL["line_ngrams"] = f"WITH n AS (SELECT line, unnest([2, 3, 4, 5]) AS n FROM ({inputs.LINES})), g AS (SELECT line, n, unnest(range(1, len(line) - n + 2)) AS i FROM n) SELECT substr(line, i, n) AS gram, count(*) AS n FROM g GROUP BY substr(line, i, n)"

@@ -391,7 +391,7 @@ def _scoped(spark, d):
 def _bm25_queries(spark, d):
     """Every benchmark item's whole text, asked in every pool there is."""
     items = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return items.crossJoin(F.broadcast(_scoped(spark, d).select("scope").distinct()))
+    return items.crossJoin(ranking.small(_scoped(spark, d).select("scope").distinct()))
 
 
 def _index(spark, d):

@@ -75,12 +75,23 @@ EVAL_COLUMNS = ["year", "variable", "prediction", "ground_truth", "correct", "re
 
 
 def eval_json(cases: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row of JSON with the summary and all cases. Cases are few: one for each year and variable."""
-    every = cases.agg(F.sort_array(F.collect_list(F.struct(*sorted(cases.columns)))).alias("cases"))
-    return summary.select(F.struct("*").alias("summary")).join(every).select(F.to_json(F.struct("summary", "cases")).alias("json"))
+    """The lines of one JSON document with the summary and all cases: part, year, variable, json; in order of the first three.
+
+    A case is a line, so nothing is gathered; all but the first case begin with a comma.
+    """
+    first = cases.agg(F.min(F.struct("year", "variable")).alias("first"))
+    body = F.to_json(F.struct(*sorted(cases.columns)), {"ignoreNullFields": "false"})
+    own = F.struct("year", "variable")
+    lines = cases.join(F.broadcast(first)).select(F.lit(1).alias("part"), "year", "variable", F.when(own == F.col("first"), body).otherwise(F.concat(F.lit(","), body)).alias("json"))
+    ends = summary.select(F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.concat(F.lit('{"summary":'), F.to_json(F.struct(*summary.columns), {"ignoreNullFields": "false"}), F.lit(',"cases":[')).alias("json")),
+        F.struct(F.lit(2).alias("part"), F.lit("]}").alias("json")),
+    )).alias("e")).select("e.part", F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("variable"), "e.json")
+    return lines.unionByName(ends)
 
 
 def write_eval(cases: DataFrame, summary: DataFrame, json_path: str, csv_path: str | None = None) -> None:
-    eval_json(cases, summary).write.mode("overwrite").text(json_path)
+    """One JSON file, which a single task sorts and writes line by line, and the cases as CSV."""
+    eval_json(cases, summary).repartition(1).sortWithinPartitions("part", "year", "variable").select("json").write.mode("overwrite").text(json_path)
     if csv_path:
         cases.select(*EVAL_COLUMNS).write.mode("overwrite").option("header", True).csv(csv_path)
