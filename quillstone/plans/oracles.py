@@ -336,7 +336,7 @@ def nearest(scope: str) -> str:
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM s) SELECT query_id, id, distance, rank FROM r WHERE rank <= 5"""
 
 
-SQL["vector_topk"] = nearest("")
+SQL["vector_topk"] = SQL["vector_topk_indexed"] = nearest("")
 SQL["vector_topk_scoped"] = nearest("AND q.label = v.label")
 SQL["minmax_normalize"] = "WITH s AS (SELECT doc_id, CAST(len(text) AS DOUBLE) AS s, CAST(min(len(text)) OVER (PARTITION BY source) AS DOUBLE) AS lo, CAST(max(len(text)) OVER (PARTITION BY source) AS DOUBLE) AS hi FROM documents) SELECT doc_id, round(CASE WHEN hi - lo <= 1e-12 THEN CASE WHEN s > 0 THEN 1 ELSE 0 END ELSE (s - lo) / (hi - lo) END, 6) AS norm FROM s"
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 from quillstone.functions import text as T
-from quillstone.operators import chunking, evaluation, extraction, learning, lines, ranking, ranks, term_index
+from quillstone.operators import chunking, evaluation, extraction, learning, lines, ranking, ranks, term_index, vector_index
 from quillstone.plans import inputs
 from quillstone.sources import tables
 
@@ -455,6 +455,15 @@ def vector_topk_scoped(spark, d):
     return ranking.vector_topk(v, asked, 5, prefilter="label").select("query_id", "id", "distance", "rank")
 
 
+@query
+def vector_topk_indexed(spark, d):
+    """The same from vectors stored by cells; further cells are read until the k best are certain."""
+    v, path = _vectors(spark, d), _scratch(spark) + "/vectors"
+    vector_index.write(v, path)
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vector_index.search(spark, path, asked, 5).select("query_id", "id", "distance", "rank")
+
+
 @query
 def minmax_normalize(spark, d):
     rows = _docs(spark, d).select("source", "doc_id", F.length("text").cast("double").alias("score"))
