@@ -18,7 +18,7 @@ if the weighted Jaccard similarity of its shingles and the item's, each weighted
    enough of them.
 
 At similarity 0.8 a fingerprint bit differs with probability 0.15, so 64 bits differ in 9.7 on average and beyond
-the radius with a probability below 1e-6; 1 / STEPS further on with 1e-4. The item index is broadcast while it has at most
+the radius with a probability of 9e-6; 1 / STEPS further on with 1e-4. The item index is broadcast while it has at most
 ``BROADCAST_ROWS`` rows and joined by a shuffle above that.
 
 Defined results. Null or empty texts, and those without letters and digits, hold and are nothing. Repeated rows of
