@@ -89,7 +89,9 @@ def test_reconcile_takes_the_best_set():
     assert reconcile(text, [(0, 5, 1)], found) == [(0, 5, 1), (15, 29, 3)]
 
 
-def test_query_rows(spark):
+def test_query_rows(spark, model, monkeypatch):
+    asked = []
+    monkeypatch.setattr(pii, "train", lambda texts: asked.append(texts) or model)  # fitted once for all tests
     long = "filler words " * 30_000 + "me@host.example.org"
     rows = [("x", "mail me@host.org or +1 (988) 555-2485", 1, 9), ("x", None, 2, 9), ("x", "", 3, 9), ("x", "4111 1111 1111 1111", None, 9), ("x", long, 4, 9), ("x", "same 1.2.3.4", 5, 9), ("x", "same 1.2.3.4", 5, 9)]
     got = find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -101,3 +103,4 @@ def test_query_rows(spark):
         assert r.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
         assert r.spans == written(base) and r.n_added == 0 and r.n_spans == len(base)
     assert find_personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert len(asked) == 2 and set(asked[0]) == {t for _, t, _, _ in rows if t and re.search("[0-9@]", t) and len(t) <= pii.SAMPLE_BYTES} and asked[1] == []
