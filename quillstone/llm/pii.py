@@ -255,6 +255,22 @@ def train(texts: list[str], *, epochs: int = 10, seed: int = 3) -> BiLstmCrf:
     return model
 
 
+def fitted(sample: DataFrame) -> BiLstmCrf:
+    """A model of the ``text`` column of a bounded sample, trained in one task; only its weights come to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = sorted(t for batch in batches for t in batch.column(0).to_pylist() if t is not None)
+        made = sorted(train(texts).p.items())
+        columns = [[n for n, _ in made], [list(v.shape) for _, v in made], [np.ascontiguousarray(v, np.float32).tobytes() for _, v in made]]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.list_(pa.int32()), pa.binary()))], ["name", "shape", "weights"])
+
+    # The row without text lets the task run where no document has anything to learn from.
+    rows = sample.select("text").union(sample.sparkSession.range(1).select(F.lit(None).cast("string"))).coalesce(1)
+    model = BiLstmCrf(N_SYMBOLS, N_TAGS, kind=np.float32)
+    for r in rows.mapInArrow(run, "name string, shape array<int>, weights binary").collect():
+        model.p[r["name"]] = np.frombuffer(r["weights"], np.float32).reshape(r["shape"]).copy()
+    return model
+
+
 OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_spans", pa.int64())])
 OUT_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
@@ -267,8 +283,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     total = some.count()
     if total > max_sample:  # about a fifth more than needed, so that little is sorted and sent
         some = some.where(F.pmod("draw", F.lit(1_000_003)) < 1_000_003 * 1.2 * max_sample / total)
-    sample = [r.text for r in some.orderBy("draw", "doc_id", "text").limit(max_sample).collect()]
-    model = docs.sparkSession.sparkContext.broadcast(train(sample))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(some.orderBy("draw", "doc_id", "text").limit(max_sample)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

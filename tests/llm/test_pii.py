@@ -7,7 +7,7 @@ import pytest
 
 from quillstone.llm import pii
 from quillstone.llm.bilstm_crf import BiLstmCrf
-from quillstone.llm.pii import added_spans, base_spans, find_personal_data, luhn, reconcile, train, written
+from quillstone.llm.pii import added_spans, base_spans, find_personal_data, luhn, reconcile, written
 
 SCHEMA = "spans string, text string, doc_id long, n_email int"
 
@@ -56,8 +56,8 @@ def test_gradients():
 
 
 @pytest.fixture(scope="module")
-def model():
-    return train([])
+def model(spark):
+    return pii.fitted(spark.createDataFrame([], "text string"))
 
 
 def test_held_out_spans_are_found(model):
@@ -91,7 +91,7 @@ def test_reconcile_takes_the_best_set():
 
 def test_query_rows(spark, model, monkeypatch):
     asked = []
-    monkeypatch.setattr(pii, "train", lambda texts: asked.append(texts) or model)  # fitted once for all tests
+    monkeypatch.setattr(pii, "fitted", lambda sample: asked.append([r.text for r in sample.collect()]) or model)  # fitted once for all tests
     long = "filler words " * 30_000 + "me@host.example.org"
     rows = [("x", "mail me@host.org or +1 (988) 555-2485", 1, 9), ("x", None, 2, 9), ("x", "", 3, 9), ("x", "4111 1111 1111 1111", None, 9), ("x", long, 4, 9), ("x", "same 1.2.3.4", 5, 9), ("x", "same 1.2.3.4", 5, 9)]
     got = find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()
