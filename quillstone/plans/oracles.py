@@ -435,6 +435,9 @@ t AS (SELECT label, sum(support) AS support, sum(given) AS given, sum(good) AS g
 r AS (SELECT label, support, coalesce(good / nullif(given, 0), 0) AS p, coalesce(good / nullif(support, 0), 0) AS r FROM t)
 SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, CAST(support AS BIGINT) AS support FROM r"""
 
+# Streaming.
+SQL["stream_index"] = f"WITH c AS (SELECT year, CAST(ceil(greatest(len(text) - 2000, 0) / 1600.0) AS BIGINT) + 1 AS n FROM ({CHUNKS}) WHERE len(text) > 0) SELECT year, CAST(sum(n) AS BIGINT) AS chunks, CAST(sum(n) AS BIGINT) AS ids FROM c GROUP BY year"
+
 # Jobs.
 DOCUMENT_LINES = SECTION_LINES.replace(inputs.SECTIONS_DUCKDB, "SELECT doc_id AS section_id, text FROM documents")
 SQL["job1_chunk_table"] = f"""WITH {DOCUMENT_LINES}, {ISLANDS},

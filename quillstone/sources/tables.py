@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone.functions import text as T
 
@@ -46,11 +47,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
-def upsert(rows: DataFrame, path: str) -> None:
-    """Append to the index at ``path``, partitioned by year, what it does not hold."""
+def upsert(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add to the index at ``path``, partitioned by year, what it does not hold.
+
+    With ``batch`` the rows go into a folder of that number, which they replace: a batch that broke off and comes again leaves
+    neither half of it nor a row twice. An index is written with numbers or without.
+    """
     spark = rows.sparkSession
-    new = new_rows(rows, spark.read.parquet(path)) if exists(spark, path) else rows.dropDuplicates(["id"])
-    new.write.mode("append").partitionBy("year").parquet(path)
+    known = exists(spark, path)
+    if batch is None:
+        new = new_rows(rows, spark.read.parquet(path)) if known else rows.dropDuplicates(["id"])
+        new.write.mode("append").partitionBy("year").parquet(path)
+        return
+    whole = StructType([*rows.schema.fields]).add("batch", "integer")  # named, as the batches so far may be empty
+    new = new_rows(rows, spark.read.schema(whole).parquet(path).where(F.col("batch") != batch)) if known else rows.dropDuplicates(["id"])
+    new.write.mode("overwrite").partitionBy("year").parquet(f"{path}/batch={batch}")
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:

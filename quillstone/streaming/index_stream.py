@@ -19,7 +19,7 @@ def index_stream(spark: SparkSession, landing: str, schema: str, index: str, che
     """Read Parquet that lands in a folder, append unseen chunks to the index, stop when nothing is left."""
     stream = spark.readStream.schema(schema).parquet(landing)
 
-    def append(batch: DataFrame, _: int) -> None:
-        tables.upsert(chunk_rows(batch, size, overlap), index)
+    def append(batch: DataFrame, number: int) -> None:
+        tables.upsert(chunk_rows(batch, size, overlap), index, number)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -164,3 +164,15 @@ def test_line_classifier_learns_the_labels(spark):
     model = learning.train(windows, features=512, max_iter=10)
     report = evaluation.classification_report(learning.predict(model, windows)).collect()
     assert len(report) == 3 and all(r.f1 > 0.95 for r in report)
+
+
+def test_batches_of_the_index_replace_what_broke_off(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    rows = lambda ids: spark.createDataFrame([(i, 2021 + len(i)) for i in ids], "id string, year int")
+    tables.upsert(rows(["a"]).limit(0), path, 0)
+    tables.upsert(rows(["a", "b", "b"]), path, 0)
+    tables.upsert(rows(["c"]), path, 1)  # broken off after one row
+    tables.upsert(rows(["b", "c", "dd"]), path, 1)
+    tables.upsert(rows(["b", "c", "dd"]), path, 1)
+    tables.upsert(rows(["a", "dd"]), path, 2)
+    assert sorted((r.id, r.batch) for r in spark.read.parquet(path).collect()) == [("a", 0), ("b", 0), ("c", 1), ("dd", 1)]
