@@ -376,6 +376,20 @@ SQL["serialize_docs"] = f"WITH {COLLECTED} SELECT case_id, doc_rank AS rank, fil
 SQL["excerpt_display"] = f"WITH {COLLECTED} SELECT case_id, doc_rank, left(replace(text, chr(10), ' '), 120) AS shown FROM collected WHERE doc_rank <= 3"
 SQL["doc_blocks"] = f"""WITH {COLLECTED} SELECT case_id, md5(string_agg(concat('Document ', doc_rank, chr(10), 'Filing year: ', filing_year, chr(10), 'Section: ', section, chr(10), 'Table row count: ', coalesce(table_row_count, 1), chr(10), 'Full text:', chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY doc_rank)) AS documents_md5 FROM collected WHERE doc_rank <= 3 GROUP BY case_id"""
 
+BLOCK = "concat('Document ', doc_rank, chr(10), 'Filing year: ', filing_year, chr(10), 'Section: ', section, chr(10), 'Table row count: ', coalesce(table_row_count, 1), chr(10), 'Full text:', chr(10), text)"
+#: The offline completer: in each document the first number after an alias, of these the most frequent, else the first.
+SQL["extract_value"] = f"""WITH {COLLECTED},
+blocks AS (SELECT case_id, doc_rank, {BLOCK} AS block, aliases FROM collected WHERE doc_rank <= 3),
+own AS (SELECT case_id, aliases AS asked FROM blocks WHERE doc_rank = 1),
+said AS (SELECT case_id, doc_rank, asked, string_split({ENDS.replace('text', 'block')}, chr(10)) AS ls FROM blocks JOIN own USING (case_id)),
+lines AS (SELECT case_id, doc_rank, asked, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM said),
+met AS (SELECT *, list_filter(asked, lambda a: contains(lower(line), lower(a)))[1] AS hit FROM lines),
+numbers AS (SELECT case_id, doc_rank, place, regexp_extract(substr(line, strpos(lower(line), hit) + len(hit)), '-?\\(?\\$?\\d[\\d,]*\\.?\\d*\\)?') AS number FROM met WHERE hit IS NOT NULL),
+firsts AS (SELECT case_id, doc_rank, arg_min(number, place) AS number FROM numbers WHERE number <> '' GROUP BY case_id, doc_rank),
+votes AS (SELECT case_id, number, count(*) AS n, min(doc_rank) AS first FROM firsts GROUP BY case_id, number),
+chosen AS (SELECT case_id, number, n FROM votes QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, first) = 1)
+SELECT case_id, coalesce(number, 'N/A') AS value, CAST(coalesce(n, 0) AS INTEGER) AS supporting FROM own LEFT JOIN chosen USING (case_id)"""
+
 
 def unfence(x: str) -> str:
     s = strip(x)
