@@ -95,3 +95,22 @@ def test_keep_one_with_shared_ids(spark):
     rows = [(1, "a b c d e f g", "en", "s", 1), (1, "other text under the same id", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (2, "A B C D E F G", "en", "s", 1), (3, "", "en", "s", 1), (3, "", "en", "s", 1), (None, "a b c d e f g", "en", "s", 1)]
     got = sorted((repr(r.doc_id), r.text) for r in keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [("1", "a b c d e f g"), ("1", "other text under the same id"), ("3", ""), ("3", "")]
+
+
+def test_stages_take_odd_tables(spark, corpus, tmp_path):
+    """A very long text, nulls and columns with the helpers' names go through all stages; so does an empty table."""
+    d, rows, _ = corpus
+    rng = random.Random(5)
+    long = " ".join(rng.choice(["ba", "ke", "lo", "mira", "nuke"]) + str(k % 977) for k in range(40_000))
+    some = [*rows[1:40:3], (950, long, None, None, None), (951, None, "en", "s1", 0), (None, "", None, "s2", 0)]
+    names = {"rk": "rid", "node": "score", "position": "h", "start": "taken"}
+    docs = spark.createDataFrame(some, SCHEMA).selectExpr("*", *[f"doc_id AS {a}" for a in names], *[f"lang AS {b}" for b in names.values()])
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs, empty = stage(spark, docs, d).cache(), stage(spark, empty, d).cache()
+        assert empty.count() == 0 and docs.count() > 5
+        if name == "token_ids":
+            assert docs.where("doc_id = 950").count() >= 1
+        else:
+            assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars", *names, *names.values()}
+            assert docs.where("doc_id = 950").first().text == long
