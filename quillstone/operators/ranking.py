@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import fixed
 from quillstone.functions import text as T
+from quillstone.operators import nearest
 
 #: Query tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -272,7 +273,10 @@ def vector_distances(vectors: DataFrame, queries: DataFrame, *, prefilter: str |
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, *, prefilter: str | None = None) -> DataFrame:
-    return best(vector_distances(vectors, queries, prefilter=prefilter), "distance", k, "query_id", descending=False)
+    """(query_id, id, distance, rank): the k nearest of vectors (id, embedding) for queries (query_id, embedding), by blocks."""
+    by = [prefilter] if prefilter else []
+    asked = queries.select("query_id", F.col("embedding").alias("asked"), *by)
+    return best(nearest.candidates(vectors, asked, k, *by), "distance", k, "query_id", descending=False)
 
 
 def fuse(bm25: DataFrame, embedding: DataFrame, chunks: DataFrame, *, table_bonus: bool = True, polarity: str = "similarity", bm25_weight: float | None = None, embedding_weight: float | None = None, scope: str | None = None) -> DataFrame:
