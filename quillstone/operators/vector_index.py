@@ -11,21 +11,24 @@ to the smaller id. Fewer than k rows are given where there are fewer vectors. An
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from quillstone.operators import nearest
+from quillstone.operators.nearest import usable
 from quillstone.operators.ranking import best, small, squared_distance
 
 #: Vectors that the centres are fitted on at most.
 SAMPLE, SEED = 50_000, 7
 
 
-def usable(vector: Column) -> Column:
-    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-
-
 def write(vectors: DataFrame, path: str, cells: int | None = None) -> None:
     """Store vectors (id, embedding and any other columns) below ``path``; by default as many cells as the root of their number."""
     rows = vectors.where(usable(F.col("embedding"))).withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
@@ -45,28 +48,57 @@ def write(vectors: DataFrame, path: str, cells: int | None = None) -> None:
     radius.write.mode("overwrite").parquet(f"{path}/cells")
 
 
-def _compared(stored: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, id, distance) of the vectors in the cells that each query asks."""
-    return stored.join(small(asked), "cell").select("query_id", "id", squared_distance(F.col("embedding"), F.col("asked")).alias("distance"))
+def _cells_of(queries: DataFrame, cells: list, probes: int | None, beyond: int | None) -> DataFrame:
+    """(query_id, asked, slab, cells): the cells that a query asks, a row for each slab that holds some.
+
+    ``probes``: its nearest ones. ``beyond``: of those after so many nearest ones, all that may hold a vector within ``bar``; with a null bar all.
+    """
+    names, slabs = np.array([c.cell for c in cells]), np.array([c.slab for c in cells])
+    centres, radii = np.array([c.centre for c in cells]), np.array([c.radius for c in cells])
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = []
+            for row in pdf.itertuples():
+                if len(row.asked) != centres.shape[1]:
+                    continue
+                far = np.sqrt(((centres - np.asarray(row.asked, dtype=float)) ** 2).sum(1))
+                nearest_first = np.lexsort((names, far))
+                if beyond is None:
+                    wanted = nearest_first[:probes]
+                else:
+                    wanted = nearest_first[beyond:]
+                    wanted = wanted if pd.isna(row.bar) else wanted[far[wanted] - radii[wanted] <= row.bar]
+                found += [(row.query_id, row.asked, s, names[wanted[slabs[wanted] == s]]) for s in np.unique(slabs[wanted])]
+            yield pd.DataFrame(found, columns=["query_id", "asked", "slab", "cells"])
+
+    out = StructType([queries.schema["query_id"], queries.schema["asked"], StructField("slab", LongType()), StructField("cells", ArrayType(IntegerType()))])
+    return queries.mapInPandas(choose, out)
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, *, probes: int = 4, exact: bool = True) -> DataFrame:
-    """(query_id, id, distance, rank) of queries (query_id, embedding)."""
-    cells = spark.read.parquet(f"{path}/cells")
-    stored = spark.read.parquet(f"{path}/vectors") if not cells.isEmpty() else spark.createDataFrame([], "id long, embedding array<double>, cell int")
+    """(query_id, id, distance, rank) of queries (query_id, embedding).
+
+    Cells are compared by slabs of about ``nearest.SIDE`` vectors, a query with its cells of the slab only; the centres, as many as the root of
+    the number of vectors, go to the tasks.
+    """
     asked = queries.where(usable(F.col("embedding"))).select("query_id", F.col("embedding").alias("asked"))
-    far = F.sqrt(squared_distance(F.col("asked"), F.col("centre")))
-    every = asked.join(small(cells), F.size("asked") == F.size("centre")).select("query_id", "asked", "cell", "radius", far.alias("far"))
-    nearest = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "cell"))
-    ordered = every.withColumn("nth", nearest).persist()
-    first = _compared(stored, ordered.where(F.col("nth") <= probes).select("query_id", "asked", "cell"))
-    found = best(first, "distance", k, "query_id", descending=False).persist()
+    stored_cells = spark.read.parquet(f"{path}/cells")
+    before = F.sum("rows").over(Window.orderBy("cell")) - F.col("rows")
+    cells = stored_cells.withColumn("slab", F.floor(before / nearest.SIDE)).collect()
+    if not cells:
+        return spark.createDataFrame([], StructType([queries.schema["query_id"]]).add("id", "long").add("distance", "double").add("rank", "integer"))
+    slabs = spark.createDataFrame([(c.cell, c.slab) for c in cells], "cell int, slab long")
+    stored = spark.read.parquet(f"{path}/vectors").join(small(slabs), "cell")
+    first = nearest.candidates(stored, _cells_of(asked, cells, probes, None), k, "slab")
+    found = best(first, "distance", k, "query_id", descending=False)
     if not exact:
         return found
+    found = found.persist()
     # Distances are compared at six places; the bar lies above what rounding may have lowered.
-    bars = found.where(F.col("rank") == k).select("query_id", (F.sqrt("distance") + 1e-6 * (1 + F.sqrt("distance"))).alias("bar"))
-    more = ordered.where(F.col("nth") > probes).join(bars, "query_id", "left").where(F.col("bar").isNull() | (F.col("far") - F.col("radius") <= F.col("bar")))
-    second = _compared(stored, more.select("query_id", "asked", "cell"))
+    bars = found.where(F.col("rank") == k).select("query_id", (F.sqrt(F.col("distance") + 1e-6) * (1 + 1e-6)).alias("bar"))
+    more = _cells_of(asked.join(bars, "query_id", "left"), cells, None, probes)
+    second = nearest.candidates(stored, more, k, "slab")
     return best(found.drop("rank").unionByName(second), "distance", k, "query_id", descending=False)
 
 

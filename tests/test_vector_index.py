@@ -55,3 +55,11 @@ def test_odd_vectors_few_vectors_and_none(spark, tmp_path):
     assert rows(vector_index.search(spark, path, queries, 5)) == [(9, 1, 1, 0.0), (9, 2, 2, 1.0)]
     empty = stored(spark, tmp_path / "b", vectors.limit(0))
     assert vector_index.search(spark, empty, queries, 5).count() == 0
+
+
+def test_ties_by_rounding_lie_in_further_cells(spark, tmp_path):
+    """A vector whose distance rounds to that of the k-th best counts by its id, also beyond the probed cell."""
+    vectors = spark.createDataFrame([(10, [0.0, 0.0]), (1, [5e-4, 0.0])], "id long, embedding array<double>")
+    path = stored(spark, tmp_path, vectors, cells=2)
+    queries = spark.createDataFrame([(7, [0.0, 0.0])], "query_id long, embedding array<double>")
+    assert rows(vector_index.search(spark, path, queries, 1, probes=1)) == [(7, 1, 1, 0.0)]
