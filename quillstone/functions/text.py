@@ -262,16 +262,24 @@ def excerpt_display(text: Column) -> Column:
 
 def value_excerpt(text: Column, aliases: Column) -> Column:
     """Lines around the first that holds a table mark and an alias, else an alias, else a table mark; else the start."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0B\x0C\x85\u2028\u2029]"), lambda x: strip(x) != "")
-    alias = lambda x: F.exists(aliases, lambda a: F.contains(F.lower(x), a))
-    mark = lambda x: F.lower(x).contains("table_row")
+    split = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0B\x0C\x85\u2028\u2029]")
 
-    def first(test) -> Column:
-        return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()))
+    def kinds(x: Column, names: Column) -> Column:
+        return let(F.lower(x), lambda low: F.struct(low.contains("table_row").alias("mark"), F.exists(names, lambda a: F.contains(low, a)).alias("alias")))
 
-    at = F.coalesce(first(lambda x: mark(x) & alias(x)), first(alias), first(mark))
-    excerpt = F.when(at.isNotNull(), excerpt_around(lines, at)).otherwise(F.left(text, F.lit(fixed.EXCERPT_CHARS)))
-    return F.when(F.size(lines) > 0, excerpt).otherwise(F.lit(""))
+    def first(of: Column, test: Callable[[Column], Column]) -> Column:
+        return F.nullif(F.array_position(F.transform(of, lambda k: F.coalesce(test(k), F.lit(False))), F.lit(True)), F.lit(0)).cast("int") - 1
+
+    def place(of: Column) -> Column:
+        return F.coalesce(first(of, lambda k: k["mark"] & k["alias"]), first(of, lambda k: k["alias"]), first(of, lambda k: k["mark"]))
+
+    def excerpt(lines: Column) -> Column:
+        at = let(let(aliases, lambda names: F.transform(lines, lambda x: kinds(x, names))), place)
+        found = let(at, lambda i: F.when(i.isNotNull(), excerpt_around(lines, i)).otherwise(F.left(text, F.lit(fixed.EXCERPT_CHARS))))
+        return F.when(F.size(lines) > 0, found).otherwise(F.lit(""))
+
+    # Lines, aliases, kinds and place are evaluated once each: the whole is linear in the text.
+    return let(F.filter(split, lambda x: x.rlike(r"\S")), excerpt)
 
 
 def unfence(c: Column) -> Column:
