@@ -44,3 +44,26 @@ def test_more_words_than_tasks_take_are_still_asked(spark, monkeypatch):
     by_documents = run()
     monkeypatch.setattr(ranking, "BROADCAST_ROWS", 50)
     assert run() == by_documents
+
+
+def test_best_of_pools_equal_the_stored_index_in_small_blocks(spark, tmp_path, monkeypatch):
+    from quillstone.operators import term_index
+
+    docs = [(i, " ".join(f"w{(i * j * j + j) % (5 + i % 9)}" for j in range(i % 11)), "ab"[i % 2] if i % 3 else None) for i in range(120)] + [(120, None, "a"), (121, " w1\tw1\n ", "b")]
+    docs = spark.createDataFrame(docs, "id long, text string, lang string").withColumn("scope", F.struct("lang"))
+    queries = spark.createDataFrame([(1, "w0 w1 w1 w7"), (2, "w12"), (3, "zz"), (4, None)], "query_id long, query string")
+    term_index.write_batch(docs, f"file://{tmp_path}/terms", 0, id_col="id", text_col="text", scope_col="scope", buckets=4)
+    index, every = term_index.load(spark, f"file://{tmp_path}/terms", 4), queries.crossJoin(docs.select("scope").distinct())
+    listed = lambda df: sorted(map(repr, df.select("query_id", "scope", "rank", "id", *[F.round(c, 5) for c in df.columns if c.endswith("score")]).collect()))
+    monkeypatch.setattr(pool_scores, "BLOCK", 40)
+    monkeypatch.setattr(pool_scores, "ADDED", 7)
+    few = docs.coalesce(1)
+    assert listed(pool_scores.pool_search(few, queries, 3)) == listed(ranking.bm25_search(index, every, 3))
+    assert listed(pool_scores.pool_topk(few, queries, 3)) == listed(ranking.bm25_topk(index, every, 3))
+
+
+def test_searches_shuffle_neither_pairs_nor_postings(spark):
+    for name in ("bm25_topk", "bm25_search"):
+        found = QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan and "bucket" not in plan
