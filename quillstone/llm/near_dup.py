@@ -390,16 +390,19 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop("neighbours")
     members = classes.select("node", "rep").join(families, "node").select("node", "rep", F.col("label").alias("family"))
     large = scratch.table("large", members.groupBy("family").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK_ROWS))
+    # Texts are joined once: what is in families is stored, and both sizes of families read it.
     own = texts.join(members.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("family", "node", "rep", "text")
+    own = own if large.isEmpty() else scratch.table("own", own)
     small = own if large.isEmpty() else own.join(large, "family", "left_anti")
     by_family = small.repartition("family").sortWithinPartitions("family")
     confirmed = scratch.table("confirmed", by_family.mapInArrow(_confirm(size, percent), "node binary, component long, group binary"))
     if not large.isEmpty():
         block = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BLOCK_ROWS)).alias("block")
-        dealt = members.join(large, "family").select("family", block, "node", "rep")
-        told = texts.join(dealt.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("family", "block", "node", "rep", "text")
+        told = own.join(large, "family").select("family", block, "node", "rep", "text")
         sets = told.mapInArrow(_sets(size), "family binary, block long, node binary, rep long, values binary").dropDuplicates(["node"])
-        confirmed = confirmed.unionByName(link_large(scratch.table("sets", sets, "lz4"), percent, scratch))
+        stored = scratch.table("sets", sets, "lz4")
+        scratch.drop("own")
+        confirmed = confirmed.unionByName(link_large(stored, percent, scratch))
     named = classes.select("node", "rep").join(confirmed, "node", "left").select("node", F.coalesce("component", "rep").alias("component"), F.coalesce("group", "node").alias("group"))
     named = scratch.table("named", named)  # a plain side lets adaptive execution split a class with very many members
     joined = signed.select("doc_id", "rk", "n_shingles", "node").join(named, "node", "left")

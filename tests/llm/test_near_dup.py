@@ -158,3 +158,18 @@ def test_keep_one_with_clashing_columns(spark):
     kept = keep_one(df)
     assert kept.columns == df.columns
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[3], rows[4]], key=repr)
+
+
+def test_texts_are_read_once_for_signatures_and_once_for_families(spark, monkeypatch, tmp_path):
+    """Large families do not shuffle the texts of all documents once more."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 3)
+    spark.createDataFrame([("x", t, d, 1) for d, t in corpus()], SCHEMA).write.parquet(f"{tmp_path}/texts")
+    reads, table = {}, near_dup.Scratch.table
+
+    def seen(self, name, df, *codec):
+        reads.setdefault(name, any("/texts/" in f for f in df.inputFiles()))
+        return table(self, name, df, *codec)
+
+    monkeypatch.setattr(near_dup.Scratch, "table", seen)
+    near_duplicates(spark.read.parquet(f"{tmp_path}/texts"), size=3, percent=85).collect()
+    assert "sets" in reads and [n for n, r in reads.items() if r] == ["signed", "own"]
