@@ -56,7 +56,7 @@ def _distances(vectors: pa.Array, asked: list) -> np.ma.MaskedArray:
     return out
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Number of words of each text, and all words: those of ``T.tokens``, between ASCII white space."""
     split = pc.ascii_split_whitespace(texts)
     flat = split.flatten()
@@ -71,7 +71,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, (dl, flat) = batch.column(0).dictionary_encode(), _words(batch.column(1))
+        keys, (dl, flat) = batch.column(0).dictionary_encode(), words_of(batch.column(1))
         key, terms = keys.indices.to_numpy(), flat.dictionary_encode()
         width = max(len(terms.dictionary), 1)
         doc, term = np.divmod(np.unique(np.repeat(np.arange(len(dl)), dl) * width + terms.indices.to_numpy()), width)
@@ -90,7 +90,7 @@ def _bm25(weights: dict, terms: pa.Array, average: dict, n_queries: int):
     """
     def bm25(keys: list, texts: pa.Array, count: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         n = len(keys)
-        dl, flat = _words(texts)
+        dl, flat = words_of(texts)
         doc = np.repeat(np.arange(n), dl)
         at = pc.index_in(flat, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
         known = at >= 0

@@ -120,3 +120,22 @@ def test_counts_by_runs(spark):
     rows = [(1, "b a  b\tc\nb", "s"), (2, "", "s"), (3, None, "s"), (4, "x " * 30_000, None)]
     got = {r.id: (r.dl, [(c.term, c.tf) for c in r.counts]) for r in term_index.counted_terms(spark.createDataFrame(rows, SCHEMA), **KEYS).collect()}
     assert got == {1: (5, [("a", 1), ("b", 3), ("c", 1)]), 2: (0, []), 3: (0, []), 4: (30_000, [("x", 30_000)])}
+
+
+def test_writing_shuffles_terms_and_not_texts_or_postings(spark, tmp_path):
+    """A row for each term and task, and texts stay where they are unless ids are repeated or known."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(400).select(F.col("id"), F.lit("a b c d e " * 3).alias("text"), F.struct(F.lit("x").alias("scope")).alias("scope")).coalesce(2)
+    path, seen = f"file://{tmp_path}/few", []
+    write = term_index.write_batch
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(term_index, "write_batch", lambda docs, *a, **k: (seen.append(docs._jdf.queryExecution().optimizedPlan().toString()), write(docs, *a, **k)))
+        term_index.append(texts, path, 0, **KEYS, buckets=4)
+        term_index.append(texts.withColumn("id", F.col("id") + 400), path, 1, **KEYS, buckets=4)
+        term_index.append(texts.withColumn("id", F.col("id") + 600), path, 2, **KEYS, buckets=4)
+    assert ["Window" in p or "Join" in p for p in seen] == [False, False, True]
+    assert spark.read.parquet(f"{path}/postings").where("batch = 0").count() == 10
+    index = term_index.load(spark, path, 4)
+    assert index.postings.count() == 5 * 1000 and index.documents.count() == 1000
+    assert {(r.term, r.df, r.max_tf, r.min_dl) for r in index.terms.collect()} == {(t, 1000, 3, 15) for t in "abcde"}
